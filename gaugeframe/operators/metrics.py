@@ -18,7 +18,9 @@ from gaugeframe.functions.columns import col, cols
 from gaugeframe.operators.columns import flatten_document
 
 DEFAULT_UNITS = {"*": "s"}
-NUMBER = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"
+# A csv cell that is a number, and a text Python reads as a float.
+CSV_NUMBER = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"
+FLOAT = r"(?i)^\s*[-+]?(\d+\.?\d*(e[-+]?\d+)?|\.\d+(e[-+]?\d+)?|inf|infinity|nan)\s*$"
 
 
 def metric_units(name: Column, units: Mapping[str, str] = DEFAULT_UNITS) -> Column:
@@ -28,17 +30,18 @@ def metric_units(name: Column, units: Mapping[str, str] = DEFAULT_UNITS) -> Colu
     return F.coalesce(F.create_map(*named)[name], default) if named else default
 
 
-def number_or_text(text: Column, pattern: str | None = None) -> tuple[Column, Column]:
-    """The number a text holds, and the text where it holds none."""
-    number = text.try_cast("double")
-    if pattern:
-        number = F.when(text.rlike(pattern), number)
+def number_or_text(text: Column, pattern: str = FLOAT) -> tuple[Column, Column]:
+    """The number a text holds, and the text where it holds none.
+
+    The pattern comes first because a cast alone also reads ``10d`` as a number.
+    """
+    number = F.when(text.rlike(pattern), text.try_cast("double"))
     return number, F.when(number.isNull(), text)
 
 
 def _finish(
     rows: DataFrame, keys: Sequence[str], name: Column, text: Column, stage: str | None, suffix: Column | None,
-    units: Mapping[str, str], pattern: str | None = None,
+    units: Mapping[str, str], pattern: str = FLOAT,
 ) -> DataFrame:
     full = F.concat(F.lit(f"{stage}_"), name) if stage else name
     number, rest = number_or_text(text, pattern)
@@ -74,7 +77,7 @@ def csv_metrics(
     in_cells = in_rows.select(*cols(keys), "__header", "__n", "__row", F.posexplode(cells).alias("__i", "__cell"))
     name = F.get("__header", F.col("__i"))
     suffix = F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__row").cast("string"))).otherwise(F.lit(""))
-    return _finish(in_cells, keys, name, F.col("__cell"), stage, suffix, units, NUMBER)
+    return _finish(in_cells, keys, name, F.col("__cell"), stage, suffix, units, CSV_NUMBER)
 
 
 def tsv_metrics(
