@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from gaugeframe.catalogue import runs, tables, transforms  # noqa: F401
+from gaugeframe.catalogue import runs, scalars, sources, tables, transforms  # noqa: F401

@@ -68,6 +68,20 @@ def text_of(df: DataFrame, name: str) -> Column:
     return python_text(col(name), data_type(df, name))
 
 
+def variant_text(value: Column) -> Column:
+    """Text of a variant scalar as Python writes it; a JSON null is null.
+
+    Variants store 18.0 as the decimal 18, so a number with a point goes by its double.
+    """
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return (
+        F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), number_text(F.try_variant_get(value, "$", "double")))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .otherwise(text)
+    )
+
+
 def choose_column(choices: str | None, available: Sequence[str]) -> str | None:
     """First name of ``a|b|c`` the table has; None when there is none."""
     if not choices:

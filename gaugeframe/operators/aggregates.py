@@ -57,7 +57,7 @@ def group_rows(
     if isinstance(agg, str):
         agg = {c: agg for c in df.columns if c not in keys and c != order_by}
     require_columns(df, [*keys, *agg])
-    kept = df.dropna(subset=list(keys)) if keys else df
+    kept = df.where(reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys]))
     plain = {c: fn for c, fn in agg.items() if fn != "median"}
     medians = [c for c, fn in agg.items() if fn == "median"]
     parts = []

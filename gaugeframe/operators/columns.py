@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, require_columns
+from gaugeframe.functions.columns import col, cols, require_columns, variant_text
 
 
 def computed_columns(df: DataFrame, expressions: Mapping[str, str]) -> DataFrame:
@@ -80,7 +80,7 @@ def flatten_document(
     kind = F.schema_of_variant("__node")
     nested = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
     empty = kind.isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>") & (F.try_variant_get("__node", F.lit("$[0]"), "variant").isNull())
-    value = F.when(~nested, F.try_variant_get("__node", "$", "string")).otherwise(
+    value = F.when(~nested, variant_text(F.col("__node"))).otherwise(
         F.raise_error(F.concat(F.lit(f"document deeper than {depth} levels at "), F.col("path")))
     )
     return rows.where((F.col("path") != parent) & ~empty).select(*cols(keys), "path", value.alias("value"))

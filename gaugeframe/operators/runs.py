@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.functions.columns import col, cols, require_columns
+from gaugeframe.functions.columns import col, cols, require_columns, variant_text
 
 # The fields of a run report, and the slots of a metric array.
 SESSION_FIELDS = {
@@ -40,10 +40,10 @@ def parse_reports(df: DataFrame, text: str, schema: T.StructType | None = None)
 def _parameters(check_params: Column) -> Column:
     """``{dim: v}`` as text; an object value gives one ``dim.sub`` entry per field."""
     def entries(entry):
-        single = F.array(F.struct(entry["key"].alias("key"), F.try_variant_get(entry["value"], "$", "string").alias("value")))
-        fields = F.map_entries(F.try_variant_get(entry["value"], "$", "map<string,string>"))
+        single = F.array(F.struct(entry["key"].alias("key"), variant_text(entry["value"]).alias("value")))
+        fields = F.map_entries(F.try_variant_get(entry["value"], "$", "map<string,variant>"))
         nested = F.transform(
-            fields, lambda f: F.struct(F.concat(entry["key"], F.lit("."), f["key"]).alias("key"), f["value"].alias("value"))
+            fields, lambda f: F.struct(F.concat(entry["key"], F.lit("."), f["key"]).alias("key"), variant_text(f["value"]).alias("value"))
         )
         return F.when(F.schema_of_variant(entry["value"]).startswith("OBJECT<"), nested).otherwise(single)
 
