@@ -15,37 +15,30 @@ from gaugeframe.operators.metrics import CustomVariable
 # object parameters, one with a single text metric, one without metrics.
 
 
+REPORT = (
+    '{"session_info":{"hostname":"node","num_cases":3},"runs":[{"run_index":%d,"num_cases":3,"num_failures":%d,"testcases":['
+    '{"hashcode":"h0-%d","system":"gaia","partition":"public","result":"%s","time_total":%s,'
+    '"check_params":{"tasks":%d,"mem":{"size":"L","gb":%d}},"perfvalues":{'
+    '"gaia:public:price":[%s,1.0,-0.1,0.1,"s","pass"],"gaia:public:rank":[%d,0,null,null,"rows","fail"]}},'
+    '{"hashcode":"h1-%d","system":"gaia","partition":"public","result":"%s","time_total":%s,'
+    '"check_params":{"tasks":%d},"perfvalues":{"gaia":["%s",0,null,null,"text","pass"]}},'
+    '{"hashcode":"h2-%d","system":"gaia","partition":"public","result":"fail","time_total":%s,'
+    '"check_params":{"tasks":0},"perfvalues":{}}]}]}'
+)
+
+
 def order_reports(t: Tables) -> DataFrame:
     """``(leaf, report)``: the order written as the JSON text of a run report."""
-    order, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    result = F.when(status == "F", "pass").otherwise("fail")
-    slots = lambda *values: F.array(*[F.lit(None).cast("string") if v is None else F.lit(v).cast("string") for v in values])
-    case = lambda i, outcome, params, perf: F.struct(
-        F.concat(F.lit(f"h{i}-"), order.cast("string")).alias("hashcode"),
-        F.lit("gaia").alias("system"),
-        F.lit("public").alias("partition"),
-        outcome.alias("result"),
-        (order / 4).alias("time_total"),
-        F.parse_json(F.to_json(params)).alias("check_params"),
-        perf.alias("perfvalues"),
-    )
-    first = F.create_map(
-        F.lit("gaia:public:price"), slots(F.col("o_totalprice"), 1.0, -0.1, 0.1, "s", "pass"),
-        F.lit("gaia:public:rank"), slots(order % 100, 0, None, None, "rows", "fail"),
-    )
-    second = F.create_map(F.lit("gaia"), slots(F.col("o_orderpriority"), 0, None, None, "text", "pass"))
-    cases = F.array(
-        case(0, result, F.struct((order % 8).alias("tasks"), F.struct(F.lit("L").alias("size"), (order % 3).alias("gb")).alias("mem")), first),
-        case(1, result, F.struct((order % 8 + 8).alias("tasks")), second),
-        case(2, F.lit("fail"), F.struct(F.lit(0).alias("tasks")), F.create_map().cast("map<string,array<string>>")),
-    )
-    run = F.struct(
-        (order % 2).alias("run_index"), F.lit(3).alias("num_cases"), F.when(status == "F", 1).otherwise(3).alias("num_failures"),
-        cases.alias("testcases"),
+    key, passed = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
+    result, time = F.when(passed, "pass").otherwise("fail"), (key / 4).cast("string")
+    report = F.format_string(
+        REPORT,
+        key % 2, F.when(passed, 1).otherwise(3),
+        key, result, time, key % 8, key % 3, F.col("o_totalprice").cast("string"), key % 100,
+        key, result, time, key % 8 + 8, F.col("o_orderpriority"),
+        key, time,
     )
-    session = F.struct(F.lit("node").alias("hostname"), F.lit(3).alias("num_cases"))
-    report = F.to_json(F.struct(session.alias("session_info"), F.array(run).alias("runs")), {"ignoreNullFields": "false"})
-    return t("orders").select(F.concat(F.lit("leaf-"), order.cast("string")).alias("leaf"), report.alias("report"))
+    return t("orders").select(F.concat(F.lit("leaf-"), key.cast("string")).alias("leaf"), report.alias("report"))
 
 
 def order_facts(t: Tables) -> DataFrame:

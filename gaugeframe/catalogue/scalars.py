@@ -112,18 +112,31 @@ def duration_seconds(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", scalars.duration_seconds(duration).alias("seconds"))
 
 
-@query(
-    "fill_text",
-    """SELECT event_id, event_type || ' by ' || user_id || ' k=' || json_extract_string(props, '$.k') || ' 2nd=' || value
-       || ' n=2 @{no.path}@ ' || length(event_type) || '.' AS filled FROM events""",
-)
-def fill_text(t: Tables) -> DataFrame:
+FILLED = """SELECT event_id, event_type || ' by ' || user_id || ' k=' || json_extract_string(props, '$.k') || ' 2nd=' || value
+       || ' n=2 @{no.path}@ ' || length(event_type) || '.' AS filled FROM events"""
+TEMPLATE = "@{type}@ by @{user.id}@ k=@{props.k}@ 2nd=@{list.1}@ n=@{list | length}@ @{no.path}@ @{type|length}@."
+
+
+def event_documents(t: Tables) -> DataFrame:
     doc = F.format_string(
         '{"type":"%s","user":{"id":%d},"props":%s,"list":["a",%s]}', "event_type", "user_id", "props", F.col("value").cast("string")
     )
-    template = "@{type}@ by @{user.id}@ k=@{props.k}@ 2nd=@{list.1}@ n=@{list | length}@ @{no.path}@ @{type|length}@."
-    filled = text.fill_text(F.lit(template), F.col("data"))
-    return t("events").select("event_id", F.parse_json(doc).alias("data")).select("event_id", filled.alias("filled"))
+    return t("events").select("event_id", F.parse_json(doc).alias("data"))
+
+
+@query("fill_text", FILLED)
+def fill_text(t: Tables) -> DataFrame:
+    return event_documents(t).select("event_id", text.fill_text(TEMPLATE, F.col("data")).alias("filled"))
+
+
+@query(
+    "fill_text_column",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'user ' || user_id ELSE event_type || ' @{none}@' END AS filled FROM events""",
+)
+def fill_text_column(t: Tables) -> DataFrame:
+    """Texts that differ by row."""
+    written = F.when(F.col("event_id") % 2 == 0, "user @{user.id}@").otherwise("@{type}@ @{none}@")
+    return event_documents(t).select("event_id", text.fill_text(written, F.col("data")).alias("filled"))
 
 
 @query(

@@ -166,11 +166,12 @@ def table_to_object(t: Tables) -> DataFrame:
 )
 def object_text(t: Tables) -> DataFrame:
     """Object to text and back, and a table row as text."""
-    events = t("events")
-    documents = events.select("event_id", readers.object_to_text(readers.text_to_object(F.col("props"))).alias("text"))
-    again = documents.select("event_id", F.concat(F.lit("k:"), F.get_json_object("text", "$.k")).alias("again"))
-    lines = events.select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("line"))
-    return again.join(lines, "event_id")
+    again = readers.object_to_text(readers.text_to_object(F.col("props")))
+    return t("events").select(
+        "event_id",
+        F.concat(F.lit("k:"), F.get_json_object(again, "$.k")).alias("again"),
+        F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("line"),
+    )
 
 
 @query(

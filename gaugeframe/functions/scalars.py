@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.functions.columns import col, data_type, python_text
+from gaugeframe.functions.columns import col, data_type, python_text, rare
 
 _FORMAT = re.compile(r"^((?:[^%]|%%)*)%([-+ 0#]*)(\d*)(?:\.(\d+))?([a-zA-Z])((?:[^%]|%%)*)$")
 _NUMERIC = (T.NumericType, T.BooleanType)
@@ -32,11 +32,19 @@ def fixed(value: Column, digits: int) -> Column:
     """``%.<digits>f`` as Python prints it: the exact binary value, ties to even.
 
     The built-in format rounds the shortest decimal form half up (2.25 gives 2.3,
-    1.005 gives 1.01). Here the product with 10^digits is compared with the half
-    step, and with its own rounding error where it seems to sit on it. Past 2^53
-    the product has no half steps and the built-in format is used.
+    1.005 gives 1.01). It is right unless the value is next to a half step or so
+    large that steps blur, and those cases are worked out exactly.
     """
-    x = F.abs(value.cast("double"))
+    x = value.cast("double")
+    scaled = F.abs(x) * F.lit(10.0**digits)
+    clear = (F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > 1e-4) & (scaled < 1e11)
+    return F.when(clear, F.format_string(f"%.{digits}f", x)).otherwise(rare(x, lambda v: _exact_fixed(v, digits)))
+
+
+def _exact_fixed(value: Column, digits: int) -> Column:
+    """Compares the product with 10^digits with the half step, and where it seems to sit on it
+    its rounding error decides. Past 2^53 the product has no half steps and the built-in format is used."""
+    x = F.abs(value)
     scaled = x * F.lit(10.0**digits)
     low = F.floor(scaled).cast("double")
     half = (scaled - low) - F.lit(0.5)
@@ -50,7 +58,7 @@ def fixed(value: Column, digits: int) -> Column:
         F.when(F.isnan(value), "nan")
         .when(scaled < 2.0**53, F.concat(sign, shown))
         .when(x == float("inf"), F.concat(sign, F.lit("inf")))
-        .otherwise(F.format_string(f"%.{digits}f", value))
+        .when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
     )
 
 
@@ -91,7 +99,7 @@ def printf(value: Column, dtype: T.DataType, template: str) -> Column:
         elif kind in "fF":
             body = fixed(double, digits)
         elif kind in "gG":
-            body = _general(double, digits)
+            body = rare(double, lambda v: _general(v, digits))
         else:
             body = F.format_string(f"%.{digits}e", double)
         body = F.upper(body) if kind.isupper() else body
@@ -134,17 +142,16 @@ def sanitize(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, " ", "-"), r"[^\p{L}\p{N}_.\-]", "")
 
 
-def _capital(word: Column) -> Column:
-    """First letter as a capital, the rest small; a letter whose capital is two letters gives ``Ss``."""
-    first = F.upper(F.left(word, F.lit(1)))
-    small = F.lower(F.concat(F.substring(first, 2, 3), F.substring(word, 2, 2147483647)))
-    return F.concat(F.left(first, F.lit(1)), small)
+def _initcap(text: Column) -> Column:
+    """Capital after every blank; the one small letter whose capital is two letters gives ``Ss``."""
+    return F.regexp_replace(F.initcap(text), "(^| )ß", "$1Ss")
 
 
 def title_label(text: Column) -> Column:
     """Title case that starts over at every character that is no letter: ``num_cases`` to ``Num_Cases``."""
-    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, _capital), "")
+    mark = "\x01 "
+    marked = F.regexp_replace(text, r"([^\p{L} ])(?=\p{L})", "$1" + mark)
+    return F.replace(_initcap(marked), F.lit(mark), F.lit(""))
 
 
 def split_part(text: Column, separator: str, index: int) -> Column:
@@ -181,5 +188,4 @@ def strip_newlines(text: Column) -> Column:
 
 def capitalise_words(text: Column) -> Column:
     """Words with a capital first letter, joined by single blanks."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, _capital), " ")
+    return _initcap(F.trim(F.regexp_replace(text, r"\s+", " ")))

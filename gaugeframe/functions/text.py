@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,16 @@ def _variant_length(value: Column) -> Column:
     )
 
 
-def fill_text(text: Column, data: Column, pattern: str = PLACEHOLDER) -> Column:
+def fill_text(text: str | Column, data: Column, pattern: str = PLACEHOLDER) -> Column:
     """Fill ``@{a.b.0}@`` and ``@{a.b | length}@`` from a variant of the same row.
 
-    A path the data lacks stays as written; an unknown operation is ignored.
+    A path the data lacks stays as written; an unknown operation is ignored. The
+    paths of a fixed text are known to the plan; those of a text column are made
+    row by row.
     """
+    if isinstance(text, str):
+        return _fill_fixed(text, data, pattern)
+
     def value_of(token, whole):
         parts = F.transform(F.split(token, r"\|"), lambda p: F.trim(p))
         path = F.when(token.contains("|"), F.get(parts, F.lit(0))).otherwise(token)
@@ -65,6 +72,24 @@ def fill_text(text: Column, data: Column, pattern: str = PLACEHOLDER) -> Column:
     return replace_tokens(text, pattern, value_of)
 
 
+def _fill_fixed(text: str, data: Column, pattern: str) -> Column:
+    pieces, end = [], 0
+    for match in re.finditer(pattern, text):
+        path, *operations = [p.strip() for p in match[1].split("|")] if "|" in match[1] else [match[1]]
+        parts = path.split(".")
+        value = F.lit(None).cast("string")
+        if '"' not in path and all(parts):
+            named = "".join(f'["{p}"]' for p in parts)
+            placed = "".join(f"[{p}]" if p.isdigit() else f'["{p}"]' for p in parts)
+            found = F.try_variant_get(data, f"${placed}", "variant")
+            if placed != named:
+                found = F.coalesce(found, F.try_variant_get(data, f"${named}", "variant"))
+            value = _variant_length(found).cast("string") if "length" in operations else _shown(found)
+        pieces += [F.lit(text[end : match.start()]), F.coalesce(value, F.lit(match[0]))]
+        end = match.end()
+    return F.concat(*pieces, F.lit(text[end:]))
+
+
 def fill_config(
     df: DataFrame, target: str, lookup: str, pattern: str = CONFIG_PLACEHOLDER, rounds: int = 8
 ) -> DataFrame:

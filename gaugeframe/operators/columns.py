@@ -77,10 +77,10 @@ def flatten_document(
             F.coalesce(path, F.col("path")).alias("path"),
             F.coalesce(F.col("value"), F.col("__node")).alias("__node"),
         )
-    kind = F.schema_of_variant("__node")
-    nested = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
-    empty = kind.isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>") & (F.try_variant_get("__node", F.lit("$[0]"), "variant").isNull())
-    value = F.when(~nested, variant_text(F.col("__node"))).otherwise(
-        F.raise_error(F.concat(F.lit(f"document deeper than {depth} levels at "), F.col("path")))
-    )
-    return rows.where((F.col("path") != parent) & ~empty).select(*cols(keys), "path", value.alias("value"))
+    kinds = rows.withColumn("__kind", F.schema_of_variant("__node")).where(F.col("path") != parent)
+    nested = F.col("__kind").startswith("OBJECT<") | F.col("__kind").startswith("ARRAY<")
+    hollow = F.col("__kind").isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>")
+    full = ~hollow | F.try_variant_get("__node", "$[0]", "variant").isNotNull()
+    too_deep = F.raise_error(F.concat(F.lit(f"document deeper than {depth} levels at "), F.col("path")))
+    value = F.when(nested, too_deep).otherwise(variant_text(F.col("__node")))
+    return kinds.where(full).select(*cols(keys), "path", value.alias("value"))

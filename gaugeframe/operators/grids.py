@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, python_text
+from gaugeframe.functions.columns import col, cols, explode_rows, python_text
 
 
 def _number(value: Any) -> Column:
@@ -94,7 +94,7 @@ def expand(base: DataFrame, parameters: Sequence[Parameter]) -> DataFrame:
     """Every combination of the active parameters for every base row."""
     for p in parameters:
         if p.active:
-            base = base.withColumn(p.name, F.explode(p.generator))
+            base = explode_rows(base, cols(base.columns), p.generator, p.name).drop("__position")
     return base
 
 

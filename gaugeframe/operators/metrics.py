@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols
+from gaugeframe.functions.columns import col, cols, explode_rows
 from gaugeframe.operators.columns import flatten_document
 
 DEFAULT_UNITS = {"*": "s"}
@@ -71,10 +71,11 @@ def csv_metrics(
         F.get("__t", F.lit(0)).alias("__header"),
         F.slice("__t", F.lit(2), F.greatest(F.size("__t") - 1, F.lit(0))).alias("__rows"),
     )
-    in_rows = parsed.select(*cols(keys), "__header", F.size("__rows").alias("__n"), F.posexplode("__rows").alias("__row", "__cells"))
+    kept = [*cols(keys), F.col("__header"), F.size("__rows").alias("__n")]
+    in_rows = explode_rows(parsed, kept, F.col("__rows"), "__cells", "__row")
     width = F.size("__cells") == F.size("__header")
     cells = F.when(width, F.col("__cells")).otherwise(F.raise_error(F.lit("csv row and header differ in width")))
-    in_cells = in_rows.select(*cols(keys), "__header", "__n", "__row", F.posexplode(cells).alias("__i", "__cell"))
+    in_cells = explode_rows(in_rows, cols([*keys, "__header", "__n", "__row"]), cells, "__cell", "__i")
     name = F.get("__header", F.col("__i"))
     suffix = F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__row").cast("string"))).otherwise(F.lit(""))
     return _finish(in_cells, keys, name, F.col("__cell"), stage, suffix, units, CSV_NUMBER)
@@ -97,17 +98,18 @@ def tsv_metrics(
     parsed = files.select(*cols(keys), col(text), wanted.alias("__index"))
     parsed = parsed.select(*cols(keys), header.alias("__header"), F.get(found, F.lit(0)).alias("__fields"))
     row = F.when(F.col("__fields").isNotNull(), F.col("__fields")).otherwise(F.raise_error(F.lit("index not found in tsv text")))
-    fields = parsed.select(*cols(keys), "__header", F.posexplode(row).alias("__i", "__field")).where("__i > 0")
+    fields = explode_rows(parsed, cols([*keys, "__header"]), row, "__field", "__i").where("__i > 0")
     return _finish(fields, keys, F.get("__header", F.col("__i")), F.col("__field"), stage, None, units)
 
 
-def _path_pattern(path: str, separator: str) -> tuple[str, int]:
-    """Regex of a wildcard path over flattened names, and how many groups name the metric."""
-    parts = path.split(".")
-    named = [i for i, p in enumerate(parts) if p == "*"] or [len(parts) - 1]
-    quoted = [f"[^{separator}]+" if p == "*" else re.escape(p) for p in parts]
-    groups = [f"({q})" if i in named else q for i, q in enumerate(quoted)]
-    return f"^{separator.join(groups)}(?:{separator}(.+))?$", len(named)
+def _under_path(parts: Column, path: str) -> tuple[Column, Column]:
+    """Whether the parts of a flattened name lie under a wildcard path, and the metric name they give."""
+    steps = path.split(".")
+    at = lambda i: F.get(parts, F.lit(i))
+    fits = reduce(lambda a, b: a & b, [at(i) == step for i, step in enumerate(steps) if step != "*"], F.size(parts) >= len(steps))
+    naming = [i for i, step in enumerate(steps) if step == "*"] or [len(steps) - 1]
+    inner = F.when(F.size(parts) > len(steps), F.array_join(F.slice(parts, F.lit(len(steps) + 1), F.size(parts)), "."))
+    return fits, F.concat_ws(".", *map(at, naming), inner)
 
 
 def json_metrics(
@@ -127,17 +129,16 @@ def json_metrics(
     """
     separator = "\x1f"
     flat = flatten_document(documents, document, keys, separator=separator, depth=depth)
-    named = []
-    for order, path in enumerate(paths):
-        pattern, groups = _path_pattern(path, separator)
-        parts = [F.regexp_extract("path", pattern, i + 1) for i in range(groups)]
-        inner = F.translate(F.regexp_extract("path", pattern, groups + 1), separator, ".")
-        name = F.concat_ws(".", *parts, F.when(inner != "", inner))
-        named.append(F.when(F.col("path").rlike(pattern), F.struct(F.lit(order).alias("order"), name.alias("name"))))
-    matched = flat.select(*cols(keys), "value", F.explode(F.array_compact(F.array(*named))).alias("m"))
-    rows = matched.select(*cols(keys), F.col("m.name").alias("__name"), F.col("m.order").alias("__order"), "value")
-    if len(paths) > 1:
-        rows = rows.groupBy(*cols(keys), "__name").agg(F.max_by("value", "__order").alias("value"))
+    split = flat.select(*cols(keys), "value", F.split("path", separator).alias("__parts"))
+    found = [_under_path(F.col("__parts"), path) for path in paths]
+    if len(paths) == 1:
+        rows = split.where(found[0][0]).select(*cols(keys), found[0][1].alias("__name"), "value")
+    else:
+        named = [F.when(fits, F.struct(F.lit(i).alias("order"), n.alias("name"))) for i, (fits, n) in enumerate(found)]
+        matched = explode_rows(split, cols([*keys, "value"]), F.array_compact(F.array(*named)), "m")
+        rows = matched.groupBy(*cols(keys), F.col("m.name").alias("__name")).agg(
+            F.max_by("value", F.col("m.order")).alias("value")
+        )
     return _finish(rows, keys, F.col("__name"), F.col("value"), stage, None, units)
 
 
@@ -157,7 +158,7 @@ def regex_metrics(
     every = lambda name: F.regexp_extract_all(col(text), F.lit(java), F.lit(group[name]))
     names = every(name_group) if name_group else F.lit(None).cast("array<string>")
     parsed = files.select(*cols(keys), names.alias("__names"), every(value_group).alias("__values"))
-    rows = parsed.select(*cols(keys), "__names", F.posexplode("__values").alias("__i", "__value"))
+    rows = explode_rows(parsed, cols([*keys, "__names"]), F.col("__values"), "__value", "__i")
     if name_group:
         name = F.trim(F.get("__names", F.col("__i")))
     else:

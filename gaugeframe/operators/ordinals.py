@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from gaugeframe.functions.columns import col, cols, data_type, null_safe_join
 
 BUCKET_WIDTH = 1_000_000
-SPLITS = 256
+SPLITS = 255
 
 
 def _with_bucket(df: DataFrame, order_by: str, width: int) -> DataFrame:
@@ -37,7 +37,10 @@ def _with_bucket(df: DataFrame, order_by: str, width: int) -> DataFrame:
         .select(F.sort_array(F.collect_list("v")))
     )
     with_splits = df.withColumn("__splits", sample.scalar())
-    below = F.size(F.filter("__splits", lambda split: split <= col(order_by)))
+    # Binary search: how many of the sorted split points are not above the value.
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(SPLITS.bit_length()))])
+    reach = lambda at, step: F.get(F.col("__splits"), at + step - 1) <= col(order_by)
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at))
     return with_splits.withColumn("__bucket", below.cast("bigint")).drop("__splits")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.functions.columns import col, cols, require_columns, variant_text
+from gaugeframe.functions.columns import col, cols, explode_rows, require_columns
 
 # The fields of a run report, and the slots of a metric array.
 SESSION_FIELDS = {
@@ -25,7 +25,7 @@ METRIC_SLOTS = ["value", "reference", "low_threshold", "up_threshold", "unit", "
 def report_schema(run_fields: Mapping[str, str] = RUN_FIELDS, case_fields: Mapping[str, str] = CASE_FIELDS) -> T.StructType:
     """Schema of a report; pass more fields to carry them into the facts."""
     fields = lambda spec: ", ".join(f"`{n}`: {t}" for n, t in spec.items())
-    case = f"STRUCT<{fields(case_fields)}, check_params: MAP<STRING, VARIANT>, perfvalues: MAP<STRING, ARRAY<STRING>>>"
+    case = f"STRUCT<{fields(case_fields)}, check_params: MAP<STRING, STRING>, perfvalues: MAP<STRING, ARRAY<STRING>>>"
     run = f"STRUCT<{fields(run_fields)}, testcases: ARRAY<{case}>>"
     return T.StructType.fromDDL(f"session_info STRUCT<{fields(SESSION_FIELDS)}>, runs ARRAY<{run}>")
 
@@ -38,16 +38,22 @@ def parse_reports(df: DataFrame, text: str, schema: T.StructType | None = None)
 
 
 def _parameters(check_params: Column) -> Column:
-    """``{dim: v}`` as text; an object value gives one ``dim.sub`` entry per field."""
+    """Parameters as texts; an object value gives one ``dim.sub`` entry per field, flags read True and False.
+
+    The map is only rebuilt for a case that has an object or a flag.
+    """
+    text = lambda v: F.when(v.isin("true", "false"), F.initcap(v)).otherwise(v)
+    entry_of = lambda key, value: F.struct(key.alias("key"), text(value).alias("value"))
+
     def entries(entry):
-        single = F.array(F.struct(entry["key"].alias("key"), variant_text(entry["value"]).alias("value")))
-        fields = F.map_entries(F.try_variant_get(entry["value"], "$", "map<string,variant>"))
-        nested = F.transform(
-            fields, lambda f: F.struct(F.concat(entry["key"], F.lit("."), f["key"]).alias("key"), variant_text(f["value"]).alias("value"))
-        )
-        return F.when(F.schema_of_variant(entry["value"]).startswith("OBJECT<"), nested).otherwise(single)
+        fields = F.map_entries(F.from_json(entry["value"], "map<string,string>"))
+        nested = F.transform(fields, lambda f: entry_of(F.concat(entry["key"], F.lit("."), f["key"]), f["value"]))
+        single = F.array(entry_of(entry["key"], entry["value"]))
+        return F.when(entry["value"].startswith("{"), F.coalesce(nested, single)).otherwise(single)
 
-    return F.map_from_entries(F.flatten(F.transform(F.map_entries(check_params), entries)))
+    rebuilt = F.map_from_entries(F.flatten(F.transform(F.map_entries(check_params), entries)))
+    special = F.exists(F.map_values(check_params), lambda v: v.startswith("{") | v.isin("true", "false"))
+    return F.when(special, rebuilt).otherwise(check_params)
 
 
 def split_metric_key(key: Column) -> list[Column]:
@@ -80,24 +86,32 @@ def run_facts(reports: DataFrame, runs: str = "runs") -> DataFrame:
     case_names = [n for n in case_type.names if n not in ("check_params", "perfvalues")]
     keys = [c for c in reports.columns if c not in (runs, "session_info")]
 
-    in_run = reports.select(*cols(keys), F.explode(col(runs)).alias("__run"))
-    in_case = in_run.select(*cols(keys), "__run", F.explode("__run.testcases").alias("__case"))
-    metric = F.explode_outer("__case.perfvalues").alias("__key", "__values")
-    rows = in_case.select(*cols(keys), "__run", "__case", metric)
+    in_run = explode_rows(reports, cols(keys), col(runs), "__run").select(
+        *cols(keys), *[F.col("__run")[n].alias(f"runs.{n}") for n in run_names], F.col("__run.testcases").alias("__cases")
+    )
+    carried = cols([*keys, *[f"runs.{n}" for n in run_names]])
+    in_case = explode_rows(in_run, carried, F.col("__cases"), "__case").select(
+        *carried,
+        *[F.col("__case")[n].alias(f"testcases.{n}") for n in case_names],
+        _parameters(F.col("__case.check_params")).alias("params"),
+        F.col("__case.perfvalues").alias("perfvalues"),
+    )
+    carried += [*cols([f"testcases.{n}" for n in case_names]), F.col("params")]
+    rows = in_case.select(*carried, F.explode_outer("perfvalues").alias("__key", "__values"))
     system, partition, name = split_metric_key(F.col("__key"))
     bare = F.col("__key").isNull()
     values = metric_slots(F.col("__values"))
-    result = F.when(bare, F.col("__case.result")).otherwise(values.pop()).alias("result")
+    own = lambda n, otherwise: F.when(bare, col(f"testcases.{n}")).otherwise(otherwise).alias(n)
     return rows.select(
         *cols(keys),
         name,
-        *values,
-        result,
-        F.when(bare, F.col("__case.system")).otherwise(system).alias("system"),
-        F.when(bare, F.col("__case.partition")).otherwise(partition).alias("partition"),
-        *[F.col("__case")[n].alias(f"testcases.{n}") for n in case_names],
-        _parameters(F.col("__case.check_params")).alias("params"),
-        *[F.col("__run")[n].alias(f"runs.{n}") for n in run_names],
+        *values[:-1],
+        own("result", values[-1]),
+        own("system", system),
+        own("partition", partition),
+        *cols([f"testcases.{n}" for n in case_names]),
+        "params",
+        *cols([f"runs.{n}" for n in run_names]),
     )
 
 

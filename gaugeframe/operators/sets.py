@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, null_safe_join
+from gaugeframe.functions.columns import col, cols, explode_rows, null_safe_join
 from gaugeframe.operators.aggregates import spread
 from gaugeframe.operators.ordinals import group_ordinals
 
@@ -56,9 +56,8 @@ def merge_paths(
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator)
     )
-    below = merged.where(F.size(parts) > 1).select(
-        *cols(keys), col(path).alias("__path"), F.col("__rank").alias("__path_rank"), F.explode(above).alias(path)
-    )
+    kept = [*cols(keys), col(path).alias("__path"), F.col("__rank").alias("__path_rank")]
+    below = explode_rows(merged.where(F.size(parts) > 1), kept, above, path).drop("__position")
     clashes = null_safe_join(below, merged.select(*cols(keys), col(path), "__rank"), [*keys, path])
     loser = F.when(F.col("__rank") > F.col("__path_rank"), F.col("__path")).otherwise(col(path))
     losers = clashes.select(*cols(keys), loser.alias(path)).distinct()

@@ -55,7 +55,7 @@ def report_data(
             data = fields.resolve(node["ref"]) if node.get("ref") else spark.sql("SELECT parse_json('{}') AS value")
             if data.schema["value"].dataType.typeName() == "string":
                 data = data.select(F.parse_json(F.to_json(F.struct(F.col("value").alias(node["ref"])))).alias("value"))
-            filled = data.select(fill_text(F.lit(node["text"]), F.col("value")).alias("text"))
+            filled = data.select(fill_text(node["text"], F.col("value")).alias("text"))
             shown.append(("text", node["text"], filled))
     return fields, shown
 

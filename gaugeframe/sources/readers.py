@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.functions.columns import col, cols, text_of
+from gaugeframe.functions.columns import col, cols, explode_rows, text_of
 from gaugeframe.operators.ordinals import group_ordinals
 
 # File suffix to format, and the Python type names an inline column may ask for.
@@ -107,13 +107,14 @@ def relaxed_json(text: Column) -> Column:
 def records_to_table(df: DataFrame, document: str, schema: str, keys: Sequence[str] = ()) -> DataFrame:
     """A JSON list of records to one row per record; ``schema`` is that of a record."""
     record = F.from_json(col(document), f"array<struct<{schema}>>", {"mode": "FAILFAST"})
-    return df.select(*cols(keys), F.inline(record))
+    return explode_rows(df, cols(keys), record, "__row").select(*cols(keys), "__row.*")
 
 
 def object_to_table(df: DataFrame, document: str, schema: str, keys: Sequence[str] = (), name: str = "index") -> DataFrame:
     """A JSON object of records to one row per key."""
     entries = F.from_json(col(document), f"map<string,struct<{schema}>>", {"mode": "FAILFAST"})
-    return df.select(*cols(keys), F.explode(entries).alias(name, "__row")).select(*cols(keys), name, "__row.*")
+    rows = explode_rows(df, cols(keys), F.map_entries(entries), "__entry")
+    return rows.select(*cols(keys), F.col("__entry.key").alias(name), "__entry.value.*")
 
 
 def table_to_objects(df: DataFrame, order_by: str, chunk: int = 10_000) -> DataFrame:
