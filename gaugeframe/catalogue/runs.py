@@ -141,18 +141,18 @@ def customer_summary(t: Tables) -> DataFrame:
     return runs.leaf_summary(customer_facts(t), levels=LEVELS)
 
 
-def _dates_as_text(df: DataFrame, *names: str) -> DataFrame:
+def dates_as_text(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in names})
 
 
 @query("leaf_summary", f"SELECT * REPLACE (date::VARCHAR AS date) FROM {LEAF_SUMMARY}")
 def leaf_summary(t: Tables) -> DataFrame:
-    return _dates_as_text(customer_summary(t), "date")
+    return dates_as_text(customer_summary(t), "date")
 
 
 @query("group_summary", f"SELECT n_name, {SUMMED} FROM {LEAF_SUMMARY} GROUP BY n_name")
 def group_summary(t: Tables) -> DataFrame:
-    return _dates_as_text(runs.group_summary(customer_summary(t), "n_name"), "latest")
+    return dates_as_text(runs.group_summary(customer_summary(t), "n_name"), "latest")
 
 
 @query(
@@ -163,13 +163,13 @@ def group_summary(t: Tables) -> DataFrame:
 )
 def latest_15(t: Tables) -> DataFrame:
     latest = runs.latest_reports(customer_facts(t), 15, levels=["n_name", "use_cases"])
-    return _dates_as_text(latest, "date")
+    return dates_as_text(latest, "date")
 
 
 @query("rollup_levels", f"""SELECT 3 - (grouping(r_name) + grouping(n_name) + grouping(c_mktsegment)) AS depth, r_name, n_name,
        c_mktsegment, {SUMMED} FROM {LEAF_SUMMARY} GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""")
 def rollup_levels(t: Tables) -> DataFrame:
-    return _dates_as_text(hierarchy.roll_up(customer_summary(t), LEVELS, runs.summary_columns()), "latest")
+    return dates_as_text(hierarchy.roll_up(customer_summary(t), LEVELS, runs.summary_columns()), "latest")
 
 
 @query(
@@ -181,7 +181,7 @@ def rollup_levels(t: Tables) -> DataFrame:
 )
 def rollup_views(t: Tables) -> DataFrame:
     views = [["r_name", "n_name"], ["c_mktsegment", "r_name", "n_name"]]
-    return _dates_as_text(hierarchy.roll_up_views(customer_summary(t), views, runs.summary_columns()), "latest")
+    return dates_as_text(hierarchy.roll_up_views(customer_summary(t), views, runs.summary_columns()), "latest")
 
 
 @query(

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.catalogue.registry import Tables, query
-from gaugeframe.catalogue.runs import FACTS, LEAF_SUMMARY, LEVELS, ORDER_FACTS, SUMMED, _dates_as_text, order_reports
+from gaugeframe.catalogue.runs import ORDER_FACTS, SUMMED, dates_as_text, order_reports
 from gaugeframe.catalogue.transforms import COUNT_CELLS, COUNTS, count_cells
 from gaugeframe.functions.scalars import strip_newlines
-from gaugeframe.operators import aggregates, runs
+from gaugeframe.operators import runs
 from gaugeframe.operators.columns import computed_columns
 from gaugeframe.plans.fields import Field, Fields
 from gaugeframe.plans.plots import Plot, plot_series
@@ -191,7 +191,7 @@ def report_tree(t: Tables) -> DataFrame:
     placed.write.partitionBy("application", "use_case", "machine", "run").json(base)
     levels = ["application", "use_case", "machine"]
     found = readers.report_tree(t.spark, base, levels, "*.json", "c_custkey BIGINT, c_acctbal DOUBLE", multi_line=False)
-    return _dates_as_text(found, "date")
+    return dates_as_text(found, "date")
 
 
 FLAG_COLUMNS = ", ".join(f"max(l_quantity) FILTER (l_returnflag = '{f}') AS \"{f}\"" for f in "ANR")
@@ -367,21 +367,32 @@ def stream_ingest(t: Tables) -> DataFrame:
     )
 
 
-@query("stream_summary", f"SELECT n_name, {SUMMED} FROM {LEAF_SUMMARY} GROUP BY n_name")
-def stream_summary(t: Tables) -> DataFrame:
-    """Customer rows arrive as files, and every leaf is sent twice; it counts once."""
-    from gaugeframe.catalogue.runs import customer_facts
+ORDER_LEAVES = """(SELECT 'order-' || lpad(o_orderkey::VARCHAR, 12, '0') AS leaves, 2 AS num_runs, o_orderdate AS date,
+    o_orderkey % 7 AS num_cases, o_orderkey % 3 AS num_failures, n_name,
+    CASE WHEN o_orderstatus <> 'P' THEN 'pass' ELSE 'fail' END AS result
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
 
+@query("stream_summary", f"SELECT n_name, {SUMMED} FROM {ORDER_LEAVES} GROUP BY n_name")
+def stream_summary(t: Tables) -> DataFrame:
+    """Every order is a leaf with two runs. Its report arrives twice, in different batches, and counts once."""
     base = scratch_dir(t.spark, "stream-summary")
-    facts = customer_facts(t).withColumn("date", F.col("date").cast("string"))
-    schema = facts.schema
-    rows = F.collect_list(F.struct(*[F.col(f"`{c}`").alias(c) for c in facts.columns if c != "leaves"])).alias("rows")
-    row_type = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema if f.name != "leaves")
-    for attempt in ("first", "again"):
-        facts.groupBy("leaves").agg(rows).write.json(f"{base}/in/{attempt}")
-    arriving = ingest.report_stream(
-        t.spark, f"{base}/in/*", f"leaves STRING, rows ARRAY<STRUCT<{row_type}>>", multi_line=False, max_files=4
+    placed = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    placed = placed.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    reports = placed.select(
+        F.concat(F.lit("order-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("leaves"),
+        F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderkey").alias("key"),
+        F.when(F.col("o_orderstatus") != "P", "pass").otherwise("fail").alias("result"), "n_name",
     )
-    flatten = lambda reports: reports.select("leaves", F.inline("rows"))
-    ingest.keep_summaries(arriving, flatten, f"{base}/log", f"{base}/checkpoint", "leaves", LEVELS).awaitTermination()
+    for attempt in ("first", "again"):
+        reports.write.json(f"{base}/in/{attempt}")
+    schema = "leaves STRING, date STRING, key BIGINT, result STRING, n_name STRING"
+    arriving = ingest.report_stream(t.spark, f"{base}/in/*", schema, multi_line=False, max_files=4)
+
+    def flatten(batch: DataFrame) -> DataFrame:
+        run = F.explode(F.array(F.lit(0), F.lit(1))).alias("runs.run_index")
+        counts = [(F.col("key") % 7).alias("runs.num_cases"), (F.col("key") % 3).alias("runs.num_failures")]
+        return batch.select("leaves", "date", "result", "n_name", run, *counts)
+
+    ingest.keep_summaries(arriving, flatten, f"{base}/log", f"{base}/checkpoint", "leaves", ["n_name"]).awaitTermination()
     return runs.group_summary(ingest.current_leaves(t.spark, f"{base}/log"), "n_name")

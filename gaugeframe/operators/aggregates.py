@@ -107,13 +107,14 @@ def _level_product(df: DataFrame, index: Sequence[str], blocks: int = 64) -> Dat
     """Every combination of the index levels, which is what a dense pivot shows.
 
     The levels of the next column are dealt into blocks and the rows so far are
-    copied to each block, so no task holds a whole side.
+    copied to each block in use, so no task holds a whole side.
     """
     level = lambda name: df.select(col(name)).where(col(name).isNotNull()).distinct()
     rows = level(index[0])
     for name in index[1:]:
         dealt = level(name).withColumn("__block", F.pmod(F.xxhash64(col(name)), F.lit(blocks)))
-        copied = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        used = dealt.select(F.collect_set("__block")).scalar()
+        copied = rows.withColumn("__used", used).withColumn("__block", F.explode("__used")).drop("__used")
         rows = copied.join(dealt, "__block").drop("__block")
     return rows
 

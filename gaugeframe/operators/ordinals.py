@@ -51,8 +51,14 @@ def _offsets(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
         .orderBy("__bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offset = F.coalesce(F.sum("__amount").over(before), F.lit(0)).alias("__offset")
-    return per_bucket.select(*cols(keys), "__bucket", offset)
+    offsets = per_bucket.select(*cols(keys), "__bucket", F.sum("__amount").over(before).alias("__offset"))
+    return offsets.where(F.col("__offset") != 0)
+
+
+def _with_offset(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
+    """Only groups that fill more than one bucket have offsets; without any, the join is dropped at run time."""
+    joined = null_safe_join(df, _offsets(df, keys, amount), [*keys, "__bucket"], "left")
+    return joined.withColumn("__offset", F.coalesce("__offset", F.lit(0)))
 
 
 def _in_bucket(keys: Sequence[str], order_by: str):
@@ -63,8 +69,7 @@ def group_ordinals(
     df: DataFrame, keys: Sequence[str], order_by: str, name: str, width: int = BUCKET_WIDTH
 ) -> DataFrame:
     """0-based position of every row in its group, by an order column unique in the group."""
-    bucketed = _with_bucket(df, order_by, width)
-    joined = null_safe_join(bucketed, _offsets(bucketed, keys, F.count(F.lit(1))), [*keys, "__bucket"])
+    joined = _with_offset(_with_bucket(df, order_by, width), keys, F.count(F.lit(1)))
     position = F.row_number().over(_in_bucket(keys, order_by)) - 1 + F.col("__offset")
     return joined.withColumn(name, position.cast("bigint")).drop("__bucket", "__offset")
 
@@ -73,8 +78,7 @@ def running_total(
     df: DataFrame, keys: Sequence[str], order_by: str, value: str, name: str, width: int = BUCKET_WIDTH
 ) -> DataFrame:
     """Sum of ``value`` up to and including the row, by an order column unique in the group."""
-    bucketed = _with_bucket(df, order_by, width)
-    joined = null_safe_join(bucketed, _offsets(bucketed, keys, F.sum(col(value))), [*keys, "__bucket"])
+    joined = _with_offset(_with_bucket(df, order_by, width), keys, F.sum(col(value)))
     local = F.sum(col(value)).over(_in_bucket(keys, order_by).rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn(name, F.col("__offset") + F.coalesce(local, F.lit(0))).drop("__bucket", "__offset")
 

@@ -47,21 +47,21 @@ def merge_paths(
     replaces another one. Where one document has a scalar and another an object
     under the same name, the later of the two replaces the whole subtree.
     """
-    filled = F.coalesce(~col(value).isin("", "0", "0.0", "false"), F.lit(False))
-    ranked = paths.withColumn("__rank", F.struct(F.lit(True) if keep_empty else filled, col(order_by)))
-    merged = ranked.groupBy(*cols(keys), col(path)).agg(
-        F.max("__rank").alias("__rank"), F.max_by(col(value), F.col("__rank")).alias(value)
-    )
+    filled = F.lit(True) if keep_empty else F.coalesce(~col(value).isin("", "0", "0.0", "false", "False"), F.lit(False))
+    entry = F.struct(F.struct(filled.alias("filled"), col(order_by).alias("order")).alias("rank"), col(value).alias("value"))
+    # One struct, so that all uses below share the same shuffled result.
+    merged = paths.groupBy(*cols(keys), col(path)).agg(F.max(entry).alias("__top"))
     parts = F.split(col(path), F.lit("\\Q" + separator + "\\E"))
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator)
     )
-    kept = [*cols(keys), col(path).alias("__path"), F.col("__rank").alias("__path_rank")]
-    below = explode_rows(merged.where(F.size(parts) > 1), kept, above, path).drop("__position")
-    clashes = null_safe_join(below, merged.select(*cols(keys), col(path), "__rank"), [*keys, path])
-    loser = F.when(F.col("__rank") > F.col("__path_rank"), F.col("__path")).otherwise(col(path))
+    kept = [*cols(keys), col(path).alias("__path"), F.col("__top").alias("__path_top")]
+    below = explode_rows(merged, kept, F.when(F.size(parts) > 1, above), path).drop("__position")
+    clashes = null_safe_join(below, merged, [*keys, path])
+    loser = F.when(F.col("__top.rank") > F.col("__path_top.rank"), F.col("__path")).otherwise(col(path))
     losers = clashes.select(*cols(keys), loser.alias(path)).distinct()
-    return null_safe_join(merged, losers, [*keys, path], "left_anti").drop("__rank")
+    kept = null_safe_join(merged, losers, [*keys, path], "left_anti")
+    return kept.select(*cols(keys), col(path), F.col("__top.value").alias(value))
 
 
 def merge_lists(items: DataFrame, keys: Sequence[str], item: str, order_by: str) -> DataFrame:

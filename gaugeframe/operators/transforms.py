@@ -8,7 +8,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, data_type, null_safe_join, python_text, require_columns
+from gaugeframe.functions.columns import (
+    col,
+    cols,
+    data_type,
+    explode_rows,
+    null_safe_join,
+    python_text,
+    require_columns,
+)
 from gaugeframe.operators.aggregates import reduce_dimensions
 from gaugeframe.operators.filters import filter_and_relabel
 
@@ -75,38 +83,31 @@ def speedup(df: DataFrame, axes: Axes, steps: Steps = (), order_by: str | None =
     The smallest x belongs to the outer group (secondary and extra axes), not to
     the series: a series without a row there has no base and gives null. Base
     values come from grouped minima, so a hot outer group is pre-aggregated and
-    never lands in one window.
+    never lands in one window. ``optimal`` is x over the smallest x and
+    ``half-optimal`` half its gain; every cell gives both and the copies are
+    merged, which is cheaper than reading the data again for them.
     """
     cells = performance(df, axes, steps, order_by).where(col(axes.x).isNotNull())
-    outer = axes.outer or ["__all"]
-    if not axes.outer:
-        cells = cells.withColumn("__all", F.lit(0))
-    starts = cells.groupBy(*cols(outer), col(axes.color)).agg(
-        F.min(col(axes.x)).alias("__x0"), F.min_by(col(axes.y), col(axes.x)).alias("__y0")
+    outer = axes.outer
+    start = F.struct(F.min(col(axes.x)).alias("x"), F.min_by(col(axes.y), col(axes.x)).alias("y"))
+    starts = cells.groupBy(*cols(outer), col(axes.color)).agg(start.alias("__start"))
+    lowest = starts.groupBy(*cols(outer)).agg(F.min("__start").alias("__lowest"))
+    started = null_safe_join(cells, starts, [*outer, axes.color])
+    bases = null_safe_join(started, lowest, outer) if outer else started.withColumn("__lowest", lowest.scalar())
+
+    x, y = col(axes.x).cast("double"), col(axes.y).cast("double")
+    base = F.when(F.col("__start.x") == F.col("__lowest.x"), F.col("__start.y")).cast("double")
+    optimal = F.try_divide(x, F.col("__lowest.x").cast("double"))
+    series = python_text(col(axes.color), data_type(cells, axes.color))
+    line = lambda name, value: F.struct(name.alias("s"), value.alias("v"))
+    lines = F.array(
+        line(series, F.try_divide(base, y)),
+        line(F.lit(OPTIMAL), optimal),
+        line(F.lit(HALF_OPTIMAL), (optimal - 1) / 2 + 1),
     )
-    lowest = starts.groupBy(*cols(outer)).agg(F.min("__x0").alias("__ref"))
-    bases = null_safe_join(starts, lowest, outer)
-    bases = bases.select(
-        *cols(outer), col(axes.color), F.when(F.col("__x0") == F.col("__ref"), F.col("__y0")).alias("__base")
-    )
-    series = python_text(col(axes.color), data_type(cells, axes.color)).alias(axes.color)
-    ratio = F.try_divide(F.col("__base").cast("double"), col(axes.y).cast("double"))
-    speeds = null_safe_join(cells, bases, [*outer, axes.color]).select(*cols(axes.index), series, ratio.alias(axes.y))
-    return speeds.unionByName(_guides(cells, lowest, outer, axes))
-
-
-def _guides(cells: DataFrame, lowest: DataFrame, outer: list[str], axes: Axes) -> DataFrame:
-    """``optimal`` is x over the smallest x; ``half-optimal`` is half its gain."""
-    points = cells.select(*cols(dict.fromkeys([*outer, *axes.index]))).distinct()
-    optimal = F.try_divide(col(axes.x).cast("double"), F.col("__ref").cast("double"))
-    lines = F.explode(
-        F.array(
-            F.struct(F.lit(OPTIMAL).alias("s"), optimal.alias("v")),
-            F.struct(F.lit(HALF_OPTIMAL).alias("s"), ((optimal - 1) / 2 + 1).alias("v")),
-        )
-    ).alias("__line")
-    lined = null_safe_join(points, lowest, outer).select(*cols(axes.index), lines)
-    return lined.select(*cols(axes.index), F.col("__line.s").alias(axes.color), F.col("__line.v").alias(axes.y))
+    points = explode_rows(bases, cols(axes.index), lines, "__line")
+    points = points.select(*cols(axes.index), F.col("__line.s").alias(axes.color), F.col("__line.v").alias(axes.y))
+    return points.groupBy(*cols(axes.index), col(axes.color)).agg(F.max(col(axes.y)).alias(axes.y))
 
 
 TRANSFORMATIONS: dict[str, Callable[..., DataFrame]] = {
