@@ -182,7 +182,7 @@ def group_all(t: Tables) -> DataFrame:
 
 @query(
     "agg_functions",
-    """SELECT user_id, round(sum(value), 4) AS f_sum, round(avg(value), 4) AS f_mean, min(value) AS f_min,
+    """SELECT user_id, round(sum(value), 4) AS f_sum, round(avg(value), 6) AS f_mean, min(value) AS f_min,
        max(value) AS f_max, arg_min(kind, event_id) FILTER (kind IS NOT NULL) AS f_first, count(kind) AS f_count,
        count(DISTINCT kind) AS f_nunique, median(value) AS f_median, round(stddev_samp(value), 4) AS f_std,
        round(var_samp(value), 3) AS f_var, arg_max(kind, event_id) FILTER (kind IS NOT NULL) AS f_last,
@@ -200,7 +200,7 @@ def agg_functions(t: Tables) -> DataFrame:
     rows = t("events").withColumn("kind", kind).withColumn("factor", 1 + F.col("value") / 1e6)
     rows = rows.select("user_id", "event_id", *[F.col(c).alias(name) for name, (_, c) in named.items()])
     grouped = aggregates.group_rows(rows, ["user_id"], {n: fn for n, (fn, _) in named.items()}, order_by="event_id")
-    digits = {"f_sum": 4, "f_mean": 4, "f_std": 4, "f_var": 3, "f_prod": 6}
+    digits = {"f_sum": 4, "f_mean": 6, "f_std": 4, "f_var": 3, "f_prod": 6}
     return grouped.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
@@ -347,11 +347,13 @@ def except_defaults(t: Tables) -> DataFrame:
          UNION ALL SELECT user_id, event_id, 'seen', 'never' FROM events WHERE event_type = 'signup'
          UNION ALL SELECT user_id, event_id, 'seen.' || event_type, value::VARCHAR FROM events
            WHERE value >= 50 AND event_type <> 'signup'),
-       m AS (SELECT user_id, path, arg_max(value, event_id) AS value, max(event_id) AS at FROM p GROUP BY ALL)
-       SELECT user_id, path, value FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.user_id = m.user_id AND o.at > m.at
+       r AS (SELECT *, event_id + CASE WHEN value IN ('', '0', '0.0', 'false') THEN 0 ELSE 1000000000000 END AS tm FROM p),
+       m AS (SELECT user_id, path, arg_max(value, tm) AS value, max(tm) AS tm FROM r GROUP BY ALL)
+       SELECT user_id, path, value FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.user_id = m.user_id AND o.tm > m.tm
          AND (starts_with(m.path, o.path || '.') OR starts_with(o.path, m.path || '.')))""",
 )
 def deep_merge(t: Tables) -> DataFrame:
+    """The last writer of a path wins, but an empty value (here ``k`` = 0) never replaces another."""
     seen = F.when(F.col("event_type") == "signup", '"never"').when(
         F.col("value") >= 50, F.format_string('{"%s":"%s"}', "event_type", F.col("value").cast("string"))
     )
