@@ -182,7 +182,7 @@ def group_all(t: Tables) -> DataFrame:
 
 @query(
     "agg_functions",
-    """SELECT user_id, round(sum(value), 4) AS f_sum, round(avg(value), 6) AS f_mean, min(value) AS f_min,
+    """SELECT user_id, round(sum(value), 4) AS f_sum, avg(event_id) AS f_mean, min(value) AS f_min,
        max(value) AS f_max, arg_min(kind, event_id) FILTER (kind IS NOT NULL) AS f_first, count(kind) AS f_count,
        count(DISTINCT kind) AS f_nunique, median(value) AS f_median, round(stddev_samp(value), 4) AS f_std,
        round(var_samp(value), 3) AS f_var, arg_max(kind, event_id) FILTER (kind IS NOT NULL) AS f_last,
@@ -192,7 +192,7 @@ def group_all(t: Tables) -> DataFrame:
 def agg_functions(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") != "signup", F.col("event_type"))
     named = {
-        "f_sum": ("sum", "value"), "f_mean": ("mean", "value"), "f_min": ("min", "value"), "f_max": ("max", "value"),
+        "f_sum": ("sum", "value"), "f_mean": ("mean", "event_id"), "f_min": ("min", "value"), "f_max": ("max", "value"),
         "f_first": ("first", "kind"), "f_count": ("count", "kind"), "f_nunique": ("nunique", "kind"),
         "f_median": ("median", "value"), "f_std": ("std", "value"), "f_var": ("var", "value"),
         "f_last": ("last", "kind"), "f_size": ("size", "value"), "f_prod": ("prod", "factor"),
@@ -200,7 +200,7 @@ def agg_functions(t: Tables) -> DataFrame:
     rows = t("events").withColumn("kind", kind).withColumn("factor", 1 + F.col("value") / 1e6)
     rows = rows.select("user_id", "event_id", *[F.col(c).alias(name) for name, (_, c) in named.items()])
     grouped = aggregates.group_rows(rows, ["user_id"], {n: fn for n, (fn, _) in named.items()}, order_by="event_id")
-    digits = {"f_sum": 4, "f_mean": 6, "f_std": 4, "f_var": 3, "f_prod": 6}
+    digits = {"f_sum": 4, "f_std": 4, "f_var": 3, "f_prod": 6}
     return grouped.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
