@@ -191,11 +191,6 @@ def latest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], k
     return found.select(*cols(keys), *[F.col("__latest")[c].alias(c) for c in keep])
 
 
-def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of an ordering, for a top-n report."""
-    return df.orderBy(*order).limit(n)
-
-
 def sort_rows(df: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFrame:
     """Sort by ``(column, ascending)``; nulls come last in both directions."""
     return df.orderBy(*[col(c).asc_nulls_last() if up else col(c).desc_nulls_last() for c, up in keys])

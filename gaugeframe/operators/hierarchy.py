@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions.columns import col, cols, require_columns
 from gaugeframe.operators.columns import flatten_document
-from gaugeframe.operators.ordinals import group_ordinals
 
 
 def mapping_paths(
@@ -133,8 +132,3 @@ def upsert_catalogue(
         F.min_by(col(title), F.when(col(title).isNotNull(), order)).alias(title),
     )
 
-
-def number_nodes(paths: DataFrame, levels: Sequence[str], name: str = "position") -> DataFrame:
-    """Distinct nodes of the last level given with their position in path order."""
-    nodes = paths.select(*cols(levels)).distinct().withColumn("__at", F.struct(*cols(levels)))
-    return group_ordinals(nodes, [], "__at", name).drop("__at")
