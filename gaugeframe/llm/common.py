@@ -94,9 +94,9 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), base, np.uint64))])[:n]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word of the flat texts."""
-    solid = ~SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word of the flat texts; ``between`` marks the bytes that separate words."""
+    solid = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], solid[:-1]]) if len(data) else solid

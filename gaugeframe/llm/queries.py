@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gaugeframe.catalogue.registry import Tables, query
-from gaugeframe.llm import exact_dedup, packing, url_filter
+from gaugeframe.llm import bpe, exact_dedup, packing, repeats, toxicity, url_filter
 
 RULES = [
     ("com", "/", "allow"),
@@ -43,6 +43,18 @@ def op1_url_filter(tables: Tables):
     return url_filter.judge_urls(tables("pages"), rules, "page_id", "url")
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(tables: Tables):
+    return repeats.repeated_spans(tables("documents"), "doc_id", "text").drop("spans")
+
+
+@query("op3_bpe")
+def op3_bpe(tables: Tables):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode_ids(bpe.encode_texts(tables("documents"), "doc_id", "text", path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP4_SQL = r"""
 WITH normal AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
@@ -63,3 +75,11 @@ def op4_exact_dedup(tables: Tables):
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(tables: Tables):
     return packing.pack(tables("documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(tables: Tables):
+    docs = tables("documents")
+    model = toxicity.learn(docs, tables("labels"), "doc_id", "text", "toxic")
+    scored = toxicity.score(docs, model, "doc_id", "text")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
