@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.llm.common import body, flat, slices, small_batches
+from gaugeframe.llm.common import Known, body, flat, gather, slices, small_batches
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 600_000
+ENCODED_BYTES = 4 << 20
 LONG_WORD = 2048
 # Fixed: Unicode white space, and the pre-tokens of the byte-level scheme.
 WIDE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -66,7 +68,7 @@ class Bpe:
         marks = b"|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.mark = regex.compile(marks) if marks else None
         self.odd = regex.compile(WIDE_WHITE + (b"|" + marks if marks else b""))
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = Known(CACHED_UNITS)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair by binary search, ``NONE`` if it never merges."""
@@ -117,7 +119,10 @@ class Bpe:
             moved = at - np.arange(len(at))
             sizes = sizes - np.bincount(word[at], minlength=len(live))
             symbols, ranks, word = symbols[~gone], ranks[~gone], word[~gone]
-            touched = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            near = np.zeros(len(symbols), bool)
+            near[moved] = True
+            near[moved[moved > 0] - 1] = True
+            touched = np.flatnonzero(near)
             ranks[touched] = NONE
             inner = touched[touched + 1 < len(symbols)]
             inner = inner[word[inner] == word[inner + 1]]
@@ -167,15 +172,19 @@ class Bpe:
         if at < len(raw):
             yield raw[at:], False
 
-    def unit_ids(self, units: list[bytes]) -> list[np.ndarray]:
-        fresh = [u for u in units if u not in self.known]
-        split = [[u] if u in self.special else [m.group().encode() for m in PRETOKEN.finditer(u.decode())] for u in fresh]
-        words = list({w for ws in split for w in ws if w not in self.special})
-        ids = dict(zip(words, self.merge(words))) | {t: np.array([i], np.uint32) for t, i in self.special.items()}
-        coded = {u: ids[ws[0]] if len(ws) == 1 else np.concatenate([ids[w] for w in ws]) for u, ws in zip(fresh, split)}
-        if len(self.known) < CACHED_UNITS:
-            self.known |= coded
-        return [coded[u] if u in coded else self.known[u] for u in units]
+    def unit_ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of units that are not known yet."""
+        split = [[u] if u in self.special else [m.group().encode() for m in PRETOKEN.finditer(u.decode())] for u in units]
+        every = list(chain.from_iterable(split))
+        words = list(dict.fromkeys(every))
+        merged = self.merge([w if w not in self.special else b"" for w in words])
+        ids = [np.array([self.special[w]], np.uint32) if w in self.special else m for w, m in zip(words, merged)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        number = dict(zip(words, range(len(words))))
+        own = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        row, ends = gather((np.cumsum(sizes) - sizes)[own], sizes[own], np.concatenate(ids))
+        last = np.cumsum([len(c) for c in split])
+        return np.diff(np.concatenate([[0], ends[last]])), row
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 offsets."""
@@ -185,18 +194,14 @@ class Bpe:
         bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
-        ids = self.unit_ids(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
+        at, sizes, pool = self.known.look_up(coded.dictionary.to_pylist(), self.unit_ids)
         unit = coded.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(size[unit])])
-        place = np.repeat((np.cumsum(size) - size)[unit] - ends[:-1], size[unit]) + np.arange(ends[-1])
-        return np.concatenate(ids)[place], ends[np.searchsorted(starts, offsets)]
+        row, ends = gather(at[unit], sizes[unit], pool)
+        return row, ends[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of all ids in a row, and the offset of each id."""
-        length = self.length[ids]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        return self.bytes[np.repeat(self.start[ids] - ends[:-1], length) + np.arange(ends[-1])], ends
+        return gather(self.start[ids], self.length[ids], self.bytes)
 
 
 _LOADED: dict[str, Bpe] = {}
@@ -214,14 +219,14 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, path: str) -> Data
 
     Whole texts are encoded; special tokens written in a text become their id. Null
     counts as empty and has no ids. Null ids and repeated rows come out as they are,
-    other columns are not read, an empty table gives none. A worker holds some
-    2 MB of text, or one longer text, and a bounded memory of units met before.
+    other columns are not read, an empty table gives none. A worker holds
+    ``ENCODED_BYTES`` of text, or one longer text, and a bounded memory of units met before.
     """
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODED_BYTES):
             ids, offsets = bpe.encode(*flat(batch.column("text")))
             raw = ids.astype("<u4").tobytes()
             parts = [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1], offsets[1:])]

@@ -75,6 +75,41 @@ def lengths(column: pa.Array) -> np.ndarray:
     return np.diff(flat(column)[1])
 
 
+class Known:
+    """Number sequences of units met before, in one array; the first ``most`` units stay."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.place: dict = {}
+        self.sizes = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def look_up(self, units: list, work_out) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and size of each unit's sequence, and the array that holds them.
+
+        ``work_out(list of new units)`` gives their sizes and their sequences in a row.
+        """
+        get = self.place.get
+        place = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(place < 0)
+        sizes, pool = self.sizes, self.pool
+        if len(new):
+            fresh = [units[i] for i in new]
+            more, row = work_out(fresh)
+            place[new] = len(sizes) + np.arange(len(new))
+            sizes, pool = np.concatenate([sizes, more]), np.concatenate([pool, row])
+            if len(self.place) < self.most:
+                self.place.update(zip(fresh, place[new].tolist()))
+                self.sizes, self.pool = sizes, pool
+        return (np.cumsum(sizes) - sizes)[place], sizes[place], pool
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``pool`` one after the other, and the n + 1 offsets."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pool[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.llm.common import body, slices, small_batches, store
+from gaugeframe.llm.common import Known, body, gather, slices, small_batches, store
 
 CACHED_WORDS = 500_000
+TOKENIZED_BYTES = 6 << 20
 RANKED_ROWS = 100_000
 
 
@@ -32,7 +34,7 @@ class WordEncoder:
     Texts are cut at white space and every distinct word is encoded once; the
     library does the encoding. Before that an ASCII word is put in lower case and a
     closing comma or full stop is cut off, as the tokenizer's own rules do, unless
-    the word may hold a special token. The first ``CACHED_WORDS`` words stay known.
+    the word may hold a special token. The first words met stay known.
     """
 
     def __init__(self, path: str):
@@ -42,39 +44,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
+        self.words, self.parts = Known(CACHED_WORDS), Known(CACHED_WORDS)
 
     @staticmethod
-    def parts(word: str) -> list[str]:
+    def cut(word: str) -> tuple[str, ...]:
         if "<" in word or ">" in word:
-            return [word]
-        tail = []
+            return (word,)
         if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha():
-            tail, word = [word[-1]], word[:-1]
-        return [word.lower() if word.isascii() else word, *tail]
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        cut = [self.parts(w) for w in words]
-        fresh = list({p for ps in cut for p in ps if p not in self.known})
-        coded = {w: np.array(e.ids, np.uint32) for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False))}
-        if len(self.known) < CACHED_WORDS:
-            self.known |= coded
-        get = lambda p: coded[p] if p in coded else self.known[p]
-        return [get(ps[0]) if len(ps) == 1 else np.concatenate([get(p) for p in ps]) for ps in cut]
+            return (word[:-1].lower() if word.isascii() else word[:-1], word[-1])
+        return (word.lower() if word.isascii() else word,)
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.uint32)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self.cut(w) for w in words]
+        every = list(chain.from_iterable(cut))
+        parts = list(dict.fromkeys(every))
+        starts, sizes, pool = self.parts.look_up(parts, self.encode_parts)
+        number = dict(zip(parts, range(len(parts))))
+        own = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        row, ends = gather(starts[own], sizes[own], pool)
+        last = np.cumsum([len(c) for c in cut])
+        return np.diff(np.concatenate([[0], ends[last]])), row
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the n + 1 offsets."""
         split = pc.ascii_split_whitespace(column.cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        starts, sizes, pool = self.words.look_up(coded.dictionary.to_pylist(), self.encode_words)
         word = coded.indices.to_numpy()
-        length = size[word]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        place = np.repeat((np.cumsum(size) - size)[word] - ends[:-1], length) + np.arange(ends[-1])
+        row, ends = gather(starts[word], sizes[word], pool)
         offsets = np.frombuffer(split.buffers()[1], np.int64 if pa.types.is_large_list(split.type) else np.int32, len(split) + 1)
-        return pool[place], ends[offsets - offsets[0]]
+        return row, ends[offsets - offsets[0]]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -92,7 +95,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TOKENIZED_BYTES):
             ids, offsets = coder.texts(batch.column("text"))
             owner, piece, start, length, crc = [], [], [], [], []
             for row in range(batch.num_rows):
