@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gaugeframe.catalogue.registry import Tables, query
-from gaugeframe.llm import bpe, exact_dedup, packing, repeats, toxicity, url_filter
+from gaugeframe.llm import bpe, exact_dedup, near_dedup, packing, repeats, toxicity, url_filter
 
 RULES = [
     ("com", "/", "allow"),
@@ -72,6 +72,11 @@ def op4_exact_dedup(tables: Tables):
     return exact_dedup.exact_classes(tables("documents"), "doc_id", "text").drop("__rid")
 
 
+@query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(tables: Tables):
+    return near_dedup.near_classes(tables("documents"), "doc_id", "text", width=3, percent=85)
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(tables: Tables):
     return packing.pack(tables("documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
