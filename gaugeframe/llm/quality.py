@@ -15,7 +15,7 @@ BITS_KEPT = 5
 LEAST_ROWS = 50
 # Measure: how far beyond the middle half of its group it may lie, in widths of that half and in units; whether too little counts too.
 MEASURES = {
-    "word_length": (4, 100, True),  # hundredths of a character
+    "word_length": (4, 200, True),  # hundredths of a character
     "symbol_share": (4, 100, False),  # per thousand words
     "dup_line_share": (4, 300, False),  # per thousand lines
     "repeat_share": (4, 150, False),  # per thousand words

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ chosen AS (
   FROM q0 JOIN q1 ON q0.lang IS NOT DISTINCT FROM q1.lang AND q0.m = q1.m JOIN q2 ON q0.m = q2.m),
 limits AS (
   SELECT lang, source,
-         max(CASE WHEN m = 'word_length' THEN q3 + 4 * (q3 - q1) + 100 END) AS wl_high, max(CASE WHEN m = 'word_length' THEN q1 - 4 * (q3 - q1) - 100 END) AS wl_low,
+         max(CASE WHEN m = 'word_length' THEN q3 + 4 * (q3 - q1) + 200 END) AS wl_high, max(CASE WHEN m = 'word_length' THEN q1 - 4 * (q3 - q1) - 200 END) AS wl_low,
          max(CASE WHEN m = 'symbol_share' THEN q3 + 4 * (q3 - q1) + 100 END) AS s_high,
          max(CASE WHEN m = 'dup_line_share' THEN q3 + 4 * (q3 - q1) + 300 END) AS d_high,
          max(CASE WHEN m = 'repeat_share' THEN q3 + 4 * (q3 - q1) + 150 END) AS r_high
@@ -214,3 +215,8 @@ def op10_toxicity(tables: Tables):
     model = toxicity.learn(docs, tables("labels"), "doc_id", "text", "toxic")
     scored = toxicity.score(docs, model, "doc_id", "text")
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(tables: Tables):
+    return corpus_pipeline.run(tables.spark, tables.folder)

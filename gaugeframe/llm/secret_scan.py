@@ -54,14 +54,15 @@ def trigram_query(pattern: str) -> Query:
 
     A stretch of the expression with few spellings becomes a clause, with one set of
     trigrams for each spelling; whatever has many spellings ends the stretch. A clause
-    with a spelling of fewer than three characters asks for nothing and is left out.
+    with a spelling of fewer than three characters asks for nothing and is left out; so is
+    a spelling that asks for more than another one does.
     """
     clauses: Query = []
 
     def close(spellings: list[str]) -> None:
         sets = [_grams(s.lower()) for s in spellings]
         if sets and all(sets):
-            clauses.append(list(dict.fromkeys(sets)))
+            clauses.append([s for s in dict.fromkeys(sets) if not any(t < s for t in sets)])
 
     def spell(tree) -> list[str] | None:
         """All spellings of a part, or None if there are too many or no end of them."""
