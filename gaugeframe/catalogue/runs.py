@@ -91,11 +91,21 @@ def param_columns(t: Tables) -> DataFrame:
     return facts.select("leaf", "perfvalue", "tasks", "`mem.size`", "`mem.gb`")
 
 
-@query("empty_report", "SELECT '' AS perfvalue, 0::DOUBLE AS value, '' AS result FROM orders WHERE false")
+@query(
+    "empty_report",
+    """SELECT o_orderkey, 'total' AS perfvalue, o_totalprice AS value, NULL::VARCHAR AS value_str FROM orders WHERE o_orderstatus = 'F'
+       UNION ALL SELECT o_orderkey, 'state', NULL, o_orderkey || 'd' FROM orders WHERE o_orderstatus = 'F'""",
+)
 def empty_report(t: Tables) -> DataFrame:
-    """Reports without runs give a table with all columns and no rows."""
-    reports = t("orders").select(F.lit('{"runs":[]}').alias("report"))
-    return runs.run_facts(runs.parse_reports(reports, "report")).select("perfvalue", "value", "result")
+    """Reports without runs have no rows, the others keep theirs; a text that a cast would read as a number stays one."""
+    case = F.format_string(
+        '{"runs":[{"run_index":0,"testcases":[{"system":"s","partition":"p","check_params":{},'
+        '"perfvalues":{"s:p:total":["%s","0",null,null,"s","pass"],"s:p:state":["%dd","0",null,null,"s","pass"]}}]}]}',
+        F.col("o_totalprice").cast("string"), "o_orderkey",
+    )
+    report = F.when(F.col("o_orderstatus") == "F", case).otherwise(F.lit('{"runs":[]}'))
+    facts = runs.run_facts(runs.parse_reports(t("orders").select("o_orderkey", report.alias("report")), "report"))
+    return facts.select("o_orderkey", "perfvalue", "value", "value_str")
 
 
 @query(
@@ -150,6 +160,15 @@ def leaf_summary(t: Tables) -> DataFrame:
     return dates_as_text(customer_summary(t), "date")
 
 
+@query(
+    "leaf_latest_first",
+    f"SELECT leaves, date, result, row_number() OVER (ORDER BY date DESC, leaves DESC) - 1 AS place FROM {LEAF_SUMMARY}",
+)
+def leaf_latest_first(t: Tables) -> DataFrame:
+    leaves = runs.leaf_summary(customer_facts(t))
+    return runs.latest_first(leaves).select("leaves", "date", "result", "place")
+
+
 @query("group_summary", f"SELECT n_name, {SUMMED} FROM {LEAF_SUMMARY} GROUP BY n_name")
 def group_summary(t: Tables) -> DataFrame:
     return dates_as_text(runs.group_summary(customer_summary(t), "n_name"), "latest")
@@ -318,13 +337,13 @@ def metrics_tsv(t: Tables) -> DataFrame:
     return metrics.tsv_metrics(files, "text", ["event_id"], F.col("user_id"), "file")
 
 
-JSON_TEXT = '{"hardware":{"%s":{"mem":{"host":%s,"dev":"d%d"}},"gpu":{"mem":{"host":1}}},"props":%s}'
+JSON_TEXT = '{"hardware":{"%s":{"mem":{"host":%s,"dev":"%d"}},"gpu":{"mem":{"host":1}}},"props":%s}'
 
 
 @query(
     "metrics_json",
     """SELECT event_id, m.* FROM events, LATERAL (SELECT event_type || '.host' AS name, value, NULL::VARCHAR AS value_str, 's' AS unit
-       UNION ALL SELECT event_type || '.dev', NULL, 'd' || user_id, 's' UNION ALL SELECT 'gpu.host', 1, NULL, 's'
+       UNION ALL SELECT event_type || '.dev', NULL, CAST(user_id AS VARCHAR), 's' UNION ALL SELECT 'gpu.host', 1, NULL, 's'
        UNION ALL SELECT event_type, value, NULL, 's' UNION ALL SELECT 'gpu', 1, NULL, 's'
        UNION ALL SELECT 'props.k', json_extract_string(props, '$.k')::DOUBLE, NULL, 's') m""",
 )
@@ -334,19 +353,21 @@ def metrics_json(t: Tables) -> DataFrame:
     return metrics.json_metrics(files, "text", ["event_id"], paths)
 
 
-LINK = r'<a href="(?P<name>[^"]*)">(?P<value>[^<]*)</a>'
+LINK = r'<a href="(?P<link_name>[^"]*)">(?P<link_value>[^<]*)</a>'
 NUMBER_SQL = r"regexp_full_match(v, '[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?')"
 
 
 @query(
     "metrics_regex",
     f"""SELECT page_id, 'links_' || trim(n) AS name, CASE WHEN {NUMBER_SQL} THEN v::DOUBLE END AS value,
-        CASE WHEN NOT {NUMBER_SQL} THEN v END AS value_str, 's' AS unit FROM (SELECT page_id,
+        CASE WHEN NOT {NUMBER_SQL} THEN v END AS value_str, 's' AS unit FROM (SELECT page_id, n, arg_max(v, i) AS v FROM (SELECT page_id,
         unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS n,
-        unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS v FROM pages)""",
+        unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS v,
+        generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2), 1) AS i FROM pages) GROUP BY page_id, n)""",
 )
 def metrics_regex(t: Tables) -> DataFrame:
-    return metrics.regex_metrics(t("pages"), "html", ["page_id"], LINK, "value", "name", "links")
+    """The last of several links to one address counts."""
+    return metrics.regex_metrics(t("pages"), "html", ["page_id"], LINK, "link_value", "link_name", "links")
 
 
 @query(

@@ -139,21 +139,25 @@ def fill_text_column(t: Tables) -> DataFrame:
     return event_documents(t).select("event_id", text.fill_text(written, F.col("data")).alias("filled"))
 
 
+CHAIN = 14  # names that lead from one to the next
+
+
 @query(
     "fill_config",
-    """SELECT event_id, 'run ' || event_type || ' for ' || user_id || ' on {{unknown}} of ' || event_type || '/' || user_id AS target
-       FROM events""",
+    """SELECT event_id, 'run ' || event_type || ' for ' || user_id || ' on {{unknown}} of ' || event_type || '/' || user_id
+       || ' end ' || event_type || ' round {{here}} and {{there}}' AS target FROM events""",
 )
 def fill_config(t: Tables) -> DataFrame:
-    """Names built from values: ``{{paths.{{type}}}}`` first becomes the path of its type."""
+    """Names built from values, a long chain of names, and a circle whose names stay as written."""
+    links = ",".join(f'"c{i}":"{{{{c{i + 1}}}}}"' for i in range(CHAIN))
     doc = F.format_string(
-        '{"type":"%s","user":%d,"paths":{"%s":"{{type}}/{{user}}"}}', "event_type", "user_id", "event_type"
-    )
+        '{"type":"%s","user":%d,"paths":{"%s":"{{type}}/{{user}}"},"here":"{{there}}","there":"{{here}}",' + links + f',"c{CHAIN}":"%s"}}',
+        "event_type", "user_id", "event_type", "event_type",
+    )
     flat = flatten_document(t("events").select("event_id", doc.alias("doc")), "doc", ["event_id"])
-    texts = text.path_map(flat, ["event_id"]).withColumn(
-        "target", F.lit("run {{type}} for {{ user }} on {{unknown}} of {{paths.{{type}}}}")
-    )
-    return text.fill_config(texts, "target", "lookup", rounds=4).select("event_id", "target")
+    written = "run {{type}} for {{ user }} on {{unknown}} of {{paths.{{type}}}} end {{c0}} round {{here}} and {{there}}"
+    texts = text.path_map(flat, ["event_id"]).withColumn("target", F.lit(written))
+    return text.fill_config(texts, "target", "lookup").select("event_id", "target")
 
 
 @query(

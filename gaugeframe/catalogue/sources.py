@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,24 +61,60 @@ def src_raw(t: Tables) -> DataFrame:
     )
 
 
-@query("src_by_suffix", "SELECT 'csv' AS kind, count(*) AS n FROM events UNION ALL SELECT 'json', count(*) FROM events")
+@query(
+    "src_by_suffix",
+    """SELECT 'csv' AS kind, count(*) AS n, sum(event_id) AS total FROM events UNION ALL SELECT 'json', count(*), sum(event_id) FROM events
+       UNION ALL SELECT 'raw', count(*), sum(n_nationkey) FROM nation UNION ALL SELECT 'unknown', count(*), sum(n_nationkey) FROM nation""",
+)
 def src_by_suffix(t: Tables) -> DataFrame:
-    """The suffix of the path picks the reader."""
+    """The suffix of the path picks the reader: csv, one json document a file, raw text, and raw for an unknown suffix."""
     base = scratch_dir(t.spark, "src-suffix")
     sinks.write_csv(plain_events(t), f"{base}/events.csv")
-    plain_events(t).write.json(f"{base}/events.json")
-    counts = [
-        readers.read_file(t.spark, f"{base}/events.{kind}", schema=EVENTS_SCHEMA) if kind == "csv"
-        else readers.read_json(t.spark, f"{base}/events.{kind}", EVENTS_SCHEMA, multi_line=False)
-        for kind in ("csv", "json")
-    ]
-    named = [c.agg(F.count("event_id").alias("n")).select(F.lit(k).alias("kind"), "n") for k, c in zip(("csv", "json"), counts)]
-    return named[0].unionByName(named[1])
+    whole = F.to_json(F.collect_list(F.struct("event_id", "user_id")))  # a document for each user
+    plain_events(t).groupBy("user_id").agg(whole.alias("value")).repartition("user_id").write.partitionBy("user_id").text(f"{base}/json")
+    keys = t("nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("value")).repartition("n_nationkey")
+    for suffix in ("txt", "odd"):
+        keys.write.partitionBy("n_nationkey").text(f"{base}/keys.{suffix}")
+    number = F.regexp_extract("value", r"(\d+)", 1).cast("bigint").alias("v")
+    parts = {
+        "csv": readers.read_file(t.spark, f"{base}/events.csv", schema=EVENTS_SCHEMA).select(F.col("event_id").alias("v")),
+        "json": readers.read_file(t.spark, f"{base}/json", "json", "event_id BIGINT, user_id BIGINT").select(F.col("event_id").alias("v")),
+        "raw": readers.read_file(t.spark, f"{base}/keys.txt").select(number),
+        "unknown": readers.read_file(t.spark, f"{base}/keys.odd").select(number),
+    }
+    counted = [df.agg(F.count("v").alias("n"), F.sum("v").alias("total")).select(F.lit(k).alias("kind"), "n", "total") for k, df in parts.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query("src_json_documents", "SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY o_custkey")
+def src_json_documents(t: Tables) -> DataFrame:
+    """Whole documents over several lines, one to a file."""
+    path = scratch_dir(t.spark, "src-json-documents")
+    items = F.to_json(F.collect_list("o_orderkey"), {"pretty": "true"})
+    document = F.concat(F.lit('{\n "customer": '), F.col("o_custkey").cast("string"), F.lit(',\n "orders": '), items, F.lit("\n}"))
+    folder = (F.col("o_custkey") % 500).alias("part")
+    documents = t("orders").groupBy("o_custkey").agg(document.alias("value")).select(folder, "o_custkey", "value")
+    # One file holds one document, so the folder of a customer is below a coarser one.
+    documents.write.partitionBy("part", "o_custkey").text(path)
+    rows = readers.read_json(t.spark, f"{path}/*/*", "customer BIGINT, orders ARRAY<BIGINT>")
+    total = F.aggregate("orders", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select(F.col("customer").alias("o_custkey"), F.size("orders").cast("bigint").alias("n"), total.alias("keys"))
+
+
+@query("inline_object", "SELECT r_name, r_regionkey, r_regionkey * 10 AS weight, 'note for ' || r_name AS note FROM region")
+def inline_object(t: Tables) -> DataFrame:
+    """Inline data looked up for every region: weights of an object and a raw text."""
+    weights = {str(i): i * 10 for i in range(5)}
+    inline = readers.inline_object(t.spark, {"weights": weights}).withColumn("one", F.lit(1))
+    raw = readers.inline_raw(t.spark, "note for ").select(F.col("value").alias("raw"), F.lit(1).alias("one"))
+    rows = t("region").withColumn("one", F.lit(1)).join(inline, "one").join(raw, "one")
+    weight = F.try_variant_get("value", F.lit("$.weights"), "map<string,bigint>")[F.col("r_regionkey").cast("string")]
+    return rows.select("r_name", "r_regionkey", weight.alias("weight"), F.concat("raw", "r_name").alias("note"))
 
 
 @query(
     "inline_table",
-    """SELECT c_custkey, c_mktsegment, factor, c_acctbal * factor AS weighted FROM customer JOIN (VALUES ('BUILDING', 1.5::DOUBLE),
+    """SELECT c_custkey, c_mktsegment, factor, c_acctbal * factor AS weighted FROM customer LEFT JOIN (VALUES ('BUILDING', 1.5::DOUBLE),
        ('MACHINERY', 2.0)) v(segment, factor) ON c_mktsegment = segment""",
 )
 def inline_table(t: Tables) -> DataFrame:
@@ -85,7 +123,7 @@ def inline_table(t: Tables) -> DataFrame:
         t.spark,
         [{"name": "c_mktsegment", "values": ["BUILDING", "MACHINERY"]}, {"name": "factor", "values": ["1.5", 2], "dtype": "float"}],
     )
-    joined = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal").join(factors, "c_mktsegment")
+    joined = t("customer").select("c_custkey", "c_mktsegment", "c_acctbal").join(factors, "c_mktsegment", "left")
     return joined.select("c_custkey", "c_mktsegment", "factor", (F.col("c_acctbal") * F.col("factor")).alias("weighted"))
 
 
@@ -150,28 +188,22 @@ def object_to_table(t: Tables) -> DataFrame:
 
 @query(
     "table_to_object",
-    """SELECT i // 500 AS chunk, count(*) AS n, string_agg(event_type, ',' ORDER BY i) AS kinds FROM
-       (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY 1""",
+    """SELECT c.column, i AS position, c.value FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events),
+       LATERAL (SELECT 'event_type' AS "column", '"' || event_type || '"' AS value UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR)) c""",
 )
 def table_to_object(t: Tables) -> DataFrame:
-    rows = t("events").select("event_id", "event_type", "value")
-    objects = readers.table_to_objects(rows, "event_id", chunk=500)
-    lists = objects.select("chunk", F.from_json("object", "event_type ARRAY<STRING>, value ARRAY<DOUBLE>").alias("o"))
-    return lists.select("chunk", F.size("o.value").cast("bigint").alias("n"), F.array_join("o.event_type", ",").alias("kinds"))
+    return readers.table_to_object(t("events").select("event_id", "event_type", "user_id"), "event_id")
 
 
 @query(
     "object_text",
-    """SELECT event_id, 'k:' || json_extract_string(props, '$.k') AS again, event_type || ' ' || user_id AS line FROM events""",
+    """SELECT 'k:' || json_extract_string(props, '$.k') || ' ' || event_type || ' ' || user_id AS value FROM events""",
 )
 def object_text(t: Tables) -> DataFrame:
-    """Object to text and back, and a table row as text."""
+    """Object to text and back, and table rows as texts."""
     again = readers.object_to_text(readers.text_to_object(F.col("props")))
-    return t("events").select(
-        "event_id",
-        F.concat(F.lit("k:"), F.get_json_object(again, "$.k")).alias("again"),
-        F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("line"),
-    )
+    rows = t("events").select(F.concat(F.lit("k:"), F.get_json_object(again, "$.k")).alias("k"), "event_type", "user_id")
+    return readers.table_to_text(rows)
 
 
 @query(
@@ -217,16 +249,14 @@ def snk_csv_by(t: Tables) -> DataFrame:
 
 @query(
     "snk_chart_json",
-    f"""SELECT l_linestatus, l_returnflag, 0 AS chunk, string_agg(l_linenumber || ':' || CAST(l_quantity AS BIGINT), ' ' ORDER BY l_linenumber)
-        AS points FROM {COUNT_CELLS} GROUP BY ALL""",
+    f"""SELECT l_linestatus, l_returnflag, row_number() OVER (PARTITION BY l_linestatus, l_returnflag ORDER BY l_linenumber) - 1 AS position,
+        l_linenumber AS x, CAST(l_quantity AS DOUBLE) AS y FROM {COUNT_CELLS}""",
 )
 def snk_chart_json(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "snk-chart")
     sinks.write_chart_json(count_cells(t), COUNTS, path)
-    schema = "l_linestatus STRING, l_returnflag STRING, chunk BIGINT, points ARRAY<STRUCT<x: INT, y: DOUBLE>>"
-    traces = readers.read_json(t.spark, path, schema, multi_line=False)
-    shown = F.transform("points", lambda p: F.concat_ws(":", p["x"], p["y"].cast("bigint")))
-    return traces.withColumn("points", F.array_join(shown, " "))
+    schema = "l_linestatus STRING, l_returnflag STRING, position BIGINT, x INT, y DOUBLE"
+    return readers.read_json(t.spark, path, schema, multi_line=False)
 
 
 @query(
@@ -244,7 +274,7 @@ def snk_lines(t: Tables) -> DataFrame:
 @query(
     "snk_logs",
     """WITH logs AS (SELECT conv_id, turn, CASE turn WHEN 0 THEN 'script' WHEN 1 THEN 'output_log' WHEN 2 THEN 'error_log'
-         ELSE 'turn' || turn END AS kind, text FROM conversations WHERE turn <> 1 OR conv_id % 3 <> 0)
+         ELSE 'turn' || turn END AS kind, CASE WHEN turn = 1 AND conv_id % 3 = 0 THEN NULL ELSE text END AS text FROM conversations)
        SELECT conv_id, 0 AS rank, 'head' AS kind, '= Logs' || chr(10) AS value FROM (SELECT DISTINCT conv_id FROM conversations)
        UNION ALL SELECT conv_id, CASE kind WHEN 'script' THEN 1 WHEN 'error_log' THEN 2 WHEN 'output_log' THEN 3 ELSE 4 END, kind,
          '== ' || CASE kind WHEN 'script' THEN 'Scheduler script' WHEN 'error_log' THEN 'Error log' WHEN 'output_log' THEN 'Output log'
@@ -255,7 +285,8 @@ def snk_logs(t: Tables) -> DataFrame:
     kind = F.when(F.col("turn") == 0, "script").when(F.col("turn") == 1, "output_log").when(F.col("turn") == 2, "error_log")
     kind = F.coalesce(kind, F.concat(F.lit("turn"), F.col("turn").cast("string")))
     talks = t("conversations")
-    logs = talks.where("turn <> 1 OR conv_id % 3 <> 0").select("conv_id", kind.alias("kind"), "text")
+    written = F.when((F.col("turn") != 1) | (F.col("conv_id") % 3 != 0), F.col("text"))  # some output logs are missing
+    logs = talks.select("conv_id", kind.alias("kind"), written.alias("text"))
     return sinks.log_sections(talks.select("conv_id").distinct(), logs, "conv_id")
 
 
@@ -375,24 +406,34 @@ ORDER_LEAVES = """(SELECT 'order-' || lpad(o_orderkey::VARCHAR, 12, '0') AS leav
 
 @query("stream_summary", f"SELECT n_name, {SUMMED} FROM {ORDER_LEAVES} GROUP BY n_name")
 def stream_summary(t: Tables) -> DataFrame:
-    """Every order is a leaf with two runs. Its report arrives twice, in different batches, and counts once."""
+    """Every order is a leaf with two runs. A first report is wrong; the right one comes in the same batch for
+    orders with an even key and in a later batch for the others, and only the last one counts."""
     base = scratch_dir(t.spark, "stream-summary")
     placed = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     placed = placed.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    reports = placed.select(
-        F.concat(F.lit("order-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("leaves"),
-        F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderkey").alias("key"),
-        F.when(F.col("o_orderstatus") != "P", "pass").otherwise("fail").alias("result"), "n_name",
-    )
-    for attempt in ("first", "again"):
-        reports.write.json(f"{base}/in/{attempt}")
-    schema = "leaves STRING, date STRING, key BIGINT, result STRING, n_name STRING"
-    arriving = ingest.report_stream(t.spark, f"{base}/in/*", schema, multi_line=False, max_files=4)
+    right, wrong = ("pass", "fail"), ("fail", "pass")
+    key = F.col("o_orderkey")
+
+    def reports(passed: str, failed: str) -> DataFrame:
+        return placed.select(
+            F.concat(F.lit("order-"), F.lpad(key.cast("string"), 12, "0")).alias("leaves"),
+            F.col("o_orderdate").cast("string").alias("date"), key.alias("key"),
+            F.when(F.col("o_orderstatus") != "P", passed).otherwise(failed).alias("result"), "n_name",
+        )
 
     def flatten(batch: DataFrame) -> DataFrame:
         run = F.explode(F.array(F.lit(0), F.lit(1))).alias("runs.run_index")
         counts = [(F.col("key") % 7).alias("runs.num_cases"), (F.col("key") % 3).alias("runs.num_failures")]
-        return batch.select("leaves", "date", "result", "n_name", run, *counts)
-
-    ingest.keep_summaries(arriving, flatten, f"{base}/log", f"{base}/checkpoint", "leaves", ["n_name"]).awaitTermination()
+        return batch.select("leaves", "date", "result", "n_name", "sent", run, *counts)
+
+    def arrive() -> None:
+        schema = "leaves STRING, date STRING, key BIGINT, result STRING, n_name STRING"
+        arriving = ingest.report_stream(t.spark, f"{base}/in/*", schema, multi_line=False)
+        ingest.keep_summaries(arriving, flatten, f"{base}/log", f"{base}/checkpoint", "leaves", ["n_name"]).awaitTermination()
+
+    reports(*wrong).write.json(f"{base}/in/1")
+    reports(*right).where("key % 2 = 0").write.json(f"{base}/in/2")
+    arrive()
+    reports(*right).where("key % 2 = 1").write.json(f"{base}/in/3")
+    arrive()
     return runs.group_summary(ingest.current_leaves(t.spark, f"{base}/log"), "n_name")

@@ -213,31 +213,62 @@ def pivot_table(t: Tables) -> DataFrame:
     return aggregates.pivot_table(t("lineitem"), ["l_returnflag"], ["l_linestatus"], "l_extendedprice", "max", ["F", "O"])
 
 
+FLAG_STATUS = [(flag, status) for flag in "ANR" for status in "FO"]
+
+
 @query(
     "pivot_columns",
-    """SELECT l_linenumber, max(l_extendedprice) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS "A_F",
-       max(l_extendedprice) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS "N_O"
-       FROM lineitem GROUP BY l_linenumber""",
+    "SELECT l_linenumber, "
+    + ", ".join(f"""max(l_extendedprice) FILTER (l_returnflag = '{a}' AND l_linestatus = '{b}') AS "{a}_{b}\"""" for a, b in FLAG_STATUS)
+    + " FROM lineitem GROUP BY l_linenumber",
 )
 def pivot_columns(t: Tables) -> DataFrame:
-    return aggregates.pivot_table(
-        t("lineitem"), ["l_linenumber"], ["l_returnflag", "l_linestatus"], "l_extendedprice", "max", ["A_F", "N_O"]
-    )
+    return aggregates.pivot_table(t("lineitem"), ["l_linenumber"], ["l_returnflag", "l_linestatus"], "l_extendedprice", "max", FLAG_STATUS)
 
 
 @query(
     "pivot_dense",
-    """SELECT l_suppkey, l_quantity, nullif("F", 0) AS "F", nullif("O", 0) AS "O"
-       FROM (SELECT DISTINCT l_suppkey FROM lineitem) CROSS JOIN (SELECT DISTINCT l_quantity FROM lineitem)
-       LEFT JOIN (SELECT l_suppkey, l_quantity, count(l_tax) FILTER (l_linestatus = 'F') AS "F",
-       count(l_tax) FILTER (l_linestatus = 'O') AS "O" FROM lineitem GROUP BY ALL) USING (l_suppkey, l_quantity)""",
+    """SELECT l_suppkey, l_quantity, nullif(count(l_tax) FILTER (l_linestatus = 'F'), 0) AS "F",
+       nullif(count(l_tax) FILTER (l_linestatus = 'O'), 0) AS "O" FROM lineitem GROUP BY ALL""",
 )
 def pivot_dense(t: Tables) -> DataFrame:
+    """Two index columns; the observed cells, not every combination of the levels."""
     return aggregates.pivot_table(
         t("lineitem"), ["l_suppkey", "l_quantity"], ["l_linestatus"], "l_tax", "count", ["F", "O"]
     )
 
 
+@query(
+    "group_median",
+    """SELECT source, median(CASE WHEN source <> 'src1' THEN n_chars END) AS n_chars FROM documents GROUP BY source""",
+)
+def group_median(t: Tables) -> DataFrame:
+    """A group that holds nulls only keeps its row."""
+    rows = t("documents").select("source", F.when(F.col("source") != "src1", F.col("n_chars")).alias("n_chars"))
+    return aggregates.group_rows(rows, ["source"], "median")
+
+
+@query(
+    "pivot_median",
+    """SELECT l_linenumber, median(l_extendedprice) FILTER (l_linestatus = 'F') AS "F",
+       median(l_extendedprice) FILTER (l_linestatus = 'O') AS "O" FROM lineitem GROUP BY l_linenumber""",
+)
+def pivot_median(t: Tables) -> DataFrame:
+    return aggregates.pivot_table(t("lineitem"), ["l_linenumber"], ["l_linestatus"], "l_extendedprice", "median", ["F", "O"])
+
+
+@query(
+    "pivot_nulls",
+    """SELECT CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS line, l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS "F",
+       sum(l_quantity) FILTER (l_linestatus = 'O') AS "O" FROM lineitem GROUP BY ALL""",
+)
+def pivot_nulls(t: Tables) -> DataFrame:
+    """Rows with a null index stay, also with two index columns."""
+    line = F.when(F.col("l_linenumber") != 3, F.col("l_linenumber"))
+    rows = t("lineitem").withColumn("line", line)
+    return aggregates.pivot_table(rows, ["line", "l_returnflag"], ["l_linestatus"], "l_quantity", "sum", ["F", "O"])
+
+
 @query(
     "reduce_chain",
     """SELECT l_linenumber, l_returnflag, max(s) AS l_extendedprice FROM (SELECT l_linenumber, l_returnflag, l_quantity,
@@ -297,14 +328,8 @@ def latest_leaf(t: Tables) -> DataFrame:
     f"SELECT *, row_number() OVER (ORDER BY kind DESC NULLS LAST, event_id) - 1 AS position FROM {GAPS}",
 )
 def sort_nulls_last(t: Tables) -> DataFrame:
-    """The check ignores row order, so the position that the sort gives is kept as a column."""
-    rows = gaps(t)
-    ordered = aggregates.sort_rows(rows, [("kind", False), ("event_id", True)])
-    sizes = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    starts = aggregates.group_starts(sizes, "kind", "n", ascending=False)
-    numbered = group_ordinals(ordered, ["kind"], "event_id", "i")
-    joined = numbered.alias("r").join(starts.alias("s"), F.col("r.kind").eqNullSafe(F.col("s.kind")))
-    return joined.select("r.event_id", "r.kind", "r.value", (F.col("r.i") + F.col("s.start")).alias("position"))
+    """The check ignores row order, so the place in the sorted output is kept as a column."""
+    return aggregates.sorted_positions(gaps(t), [("kind", False), ("event_id", True)], "position")
 
 
 @query(
@@ -329,13 +354,13 @@ def ordered_distinct(t: Tables) -> DataFrame:
 @query(
     "except_defaults",
     """SELECT doc_id, lang, source, true AS is_default FROM documents WHERE lang = 'en' UNION ALL
-       SELECT doc_id, lang, source, false FROM documents WHERE n_chars > 200
-       AND (doc_id, lang, source) NOT IN (SELECT doc_id, lang, source FROM documents WHERE lang = 'en')""",
+       SELECT doc_id, lang, source, false FROM documents WHERE
+       (doc_id, lang, source) NOT IN (SELECT doc_id, lang, source FROM documents WHERE lang = 'en')""",
 )
 def except_defaults(t: Tables) -> DataFrame:
     documents = t("documents")
     defaults = documents.where("lang = 'en'").select("doc_id", "lang", "source")
-    own = documents.where("n_chars > 200").select("doc_id", "lang", "source")
+    own = documents.select("doc_id", "lang", "source")
     return sets.with_defaults(defaults, own, ["doc_id", "lang", "source"], "is_default")
 
 
@@ -375,21 +400,20 @@ def deep_merge_lists(t: Tables) -> DataFrame:
     return sets.merge_lists(items, ["lang"], "item", "doc_id").withColumnRenamed("doc_id", "first_doc")
 
 
-PARTS_BY_SIZE = """(SELECT p_brand, min(p_retailprice) FILTER (p_type = 'ECONOMY') AS "ECONOMY",
-   min(p_retailprice) FILTER (p_type = 'SMALL') AS "SMALL" FROM part GROUP BY p_brand)"""
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def _brand_table(t: Tables) -> DataFrame:
-    return aggregates.pivot_table(t("part"), ["p_brand"], ["p_type"], "p_retailprice", "min", ["ECONOMY", "SMALL"])
+    return aggregates.pivot_table(t("part"), ["p_brand"], ["p_type"], "p_retailprice", "min", PART_TYPES)
 
 
 @query(
     "melt",
-    f"""SELECT p_brand, 'ECONOMY' AS series, "ECONOMY" AS value FROM {PARTS_BY_SIZE}
-        UNION ALL SELECT p_brand, 'SMALL', "SMALL" FROM {PARTS_BY_SIZE}""",
+    f"""SELECT p_brand, series, min(p_retailprice) FILTER (p_type = series) AS value
+        FROM part CROSS JOIN (SELECT unnest({PART_TYPES}) AS series) GROUP BY ALL""",
 )
 def melt(t: Tables) -> DataFrame:
-    return sets.melt(_brand_table(t), ["p_brand"], ["ECONOMY", "SMALL"])
+    return sets.melt(_brand_table(t), ["p_brand"], PART_TYPES)
 
 
 @query(

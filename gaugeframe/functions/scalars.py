@@ -42,21 +42,35 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def _exact_fixed(value: Column, digits: int) -> Column:
-    """Compares the product with 10^digits with the half step, and where it seems to sit on it
-    its rounding error decides. Past 2^53 the product has no half steps and the built-in format is used."""
+    """Whole part and fraction apart, as both are exact.
+
+    The product of the fraction with 10^digits is compared with the half step, and
+    where it seems to sit on it its rounding error decides. From 2^52 on there is no
+    fraction; such a number is a multiple of 2^62 and a rest, which decimals hold up
+    to 8e37, beyond which they end and the shortest digits are printed.
+    """
     x = F.abs(value)
-    scaled = x * F.lit(10.0**digits)
+    small = F.when(x < 2.0**52, x).otherwise(0.0)
+    part = small - F.floor(small).cast("double")
+    scaled = part * F.lit(10.0**digits)
     low = F.floor(scaled).cast("double")
     half = (scaled - low) - F.lit(0.5)
-    error = _product_error(x, 10.0**digits, scaled)
-    odd = F.pmod(low, F.lit(2.0)) == 1
+    error = _product_error(part, 10.0**digits, scaled)
+    odd = F.pmod(low, F.lit(2.0)) == 1 if digits else F.pmod(F.floor(small), F.lit(2)) == 1
     up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & odd)))
-    units = (low + F.when(up, 1.0).otherwise(0.0)).cast("decimal(17,0)")
-    shown = (units * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    units = (low + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
+    over = units >= 10**digits
+    large = F.when((x >= 2.0**52) & (x < 8e37), x).otherwise(0.0)
+    high = F.floor(large / 2.0**62)
+    rest = (large - high.cast("double") * 2.0**62).cast("bigint")
+    wide = high.cast("decimal(19,0)") * F.lit(Decimal(2**62)) + rest.cast("decimal(19,0)")
+    left = F.when(x < 2.0**52, (F.floor(small) + F.when(over, 1).otherwise(0)).cast("string")).otherwise(wide.cast("string"))
+    right = F.lpad(F.when(over, units - 10**digits).otherwise(units).cast("string"), digits, "0")
+    shown = F.concat(left, F.lit("."), right) if digits else left
     sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
     return (
         F.when(F.isnan(value), "nan")
-        .when(scaled < 2.0**53, F.concat(sign, shown))
+        .when(x < 8e37, F.concat(sign, shown))
         .when(x == float("inf"), F.concat(sign, F.lit("inf")))
         .when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
     )
@@ -114,7 +128,7 @@ def printf(value: Column, dtype: T.DataType, template: str) -> Column:
         elif "0" in flags and kind != "s":
             sign = F.regexp_extract(body, "^[-+ ]?", 0)
             rest = F.substring(body, F.length(sign) + 1, F.length(body))
-            body = F.concat(sign, F.lpad(rest, size - F.length(sign), F.lit("0")))
+            body = F.concat(sign, F.lpad(rest, size - F.length(sign), F.lit("0")))  # also nan and inf, as Python does
         else:
             body = F.lpad(body, size, F.lit(" "))
     return F.concat(F.lit(before.replace("%%", "%")), body, F.lit(after.replace("%%", "%")))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, variant_text
+from gaugeframe.functions.columns import col, cols, rare, variant_text
 
 PLACEHOLDER = r"@\{([^}]+)\}@"
 CONFIG_PLACEHOLDER = r"\{\{([^{}]+)\}\}"
@@ -90,22 +90,42 @@ def _fill_fixed(text: str, data: Column, pattern: str) -> Column:
     return F.concat(*pieces, F.lit(text[end:]))
 
 
-def fill_config(
-    df: DataFrame, target: str, lookup: str, pattern: str = CONFIG_PLACEHOLDER, rounds: int = 8
-) -> DataFrame:
+def fill_config(df: DataFrame, target: str, lookup: str, pattern: str = CONFIG_PLACEHOLDER) -> DataFrame:
     """Fill ``{{a.b}}`` from a map column, innermost first, so that names may be built from values.
 
-    Unknown names stay as written. A text that still has known names after the
-    rounds runs in a circle and is left unchanged.
+    Chains may have any length: every row goes on until nothing changes. Unknown names
+    stay as written, and so do names whose value leads back to themselves. A text that
+    still runs in a circle, through names built from values, is left unchanged.
     """
-    filled = df.withColumn("__text", col(target))
-    for _ in range(rounds):
-        known = lambda token, whole: F.coalesce(col(lookup)[F.trim(token)], whole)
-        filled = filled.withColumn("__text", replace_tokens(F.col("__text"), pattern, known))
-    left = F.regexp_extract_all(F.col("__text"), F.lit(pattern), F.lit(1))
-    circular = F.exists(left, lambda token: F.map_contains_key(col(lookup), F.trim(token)))
-    done = F.when(circular, col(target)).otherwise(F.col("__text"))
-    return filled.withColumn(target, done).drop("__text")
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    nothing = F.array().cast("array<string>")
+    named = F.transform_keys(F.coalesce(col(lookup), F.map_from_arrays(nothing, nothing)), lambda k, v: F.trim(k))
+    rows = df.withColumn("__map", named)
+    # Names that lead to no other name are taken out again and again; what is left runs in circles or into them.
+    direct = F.transform_values("__map", lambda k, v: F.array_distinct(F.transform(tokens(v), lambda t: F.trim(t))))
+    linked = F.map_filter(direct, lambda k, names: F.size(names) > 0)
+    trim = lambda m: F.map_filter(m, lambda k, names: F.exists(names, lambda n: F.map_contains_key(m, n)))
+    # Of these, the names that lead back to themselves; the reach doubles with every step.
+    beyond = lambda m, names: F.flatten(F.transform(names, lambda n: F.coalesce(m[n], nothing)))
+    further = lambda m: F.transform_values(m, lambda k, names: F.array_distinct(F.concat(names, beyond(m, names))))
+    without_circles = lambda reach: F.map_filter("__map", lambda k, v: ~F.coalesce(F.array_contains(reach[k], k), F.lit(False)))
+    doubling = lambda m: F.sequence(F.lit(1), F.length(F.bin(F.size(m))))
+    names = F.aggregate(
+        F.sequence(F.lit(0), F.size("__map")),
+        linked,
+        lambda m, _: trim(m),
+        lambda m: F.when(F.size(m) == 0, F.col("__map")).otherwise(F.aggregate(doubling(m), m, lambda r, _: further(r), without_circles)),
+    )
+    rows = rows.withColumn("__names", names)
+    # A chain is no longer than the names there are, for each level of nested names.
+    opened = F.size(tokens(F.concat_ws(" ", col(target), F.map_values("__map")))) + 1
+    turns = F.sequence(F.lit(0), (F.size("__map") + 1) * opened)
+    known = lambda text: F.exists(tokens(text), lambda t: F.map_contains_key("__names", F.trim(t)))
+    state = lambda text: rare(text, lambda t: F.struct(t.alias("text"), known(t).alias("more")))
+    fill = lambda text: replace_tokens(text, pattern, lambda token, whole: F.coalesce(F.col("__names")[F.trim(token)], whole))
+    step = lambda acc, _: F.when(acc["more"], state(fill(acc["text"]))).otherwise(acc)
+    finish = lambda acc: F.when(acc["more"], col(target)).otherwise(acc["text"])
+    return rows.withColumn(target, F.aggregate(turns, state(col(target)), step, finish)).drop("__map", "__names")
 
 
 def path_map(flat: DataFrame, keys: list[str], name: str = "lookup") -> DataFrame:
@@ -120,8 +140,8 @@ def markup_to_latex(text: Column) -> Column:
     rules = [
         (r"stem:\[\s*(.*?)\s*\]", r"\$$1\$"),
         (r"(?<![A-Za-z0-9])\*(.+?)\*(?![A-Za-z0-9])", r"\\textbf{$1}"),
-        (r"([a-zA-Z][a-zA-Z0-9+.-]*:\S+?)\[\s*\]", r"\\url{$1}"),
-        (r"([a-zA-Z][a-zA-Z0-9+.-]*:\S+?)\[\s*(.*?)\s*\]", r"\\href{$1}{$2}"),
+        (r"([a-zA-Z][a-zA-Z0-9+.-]*:[^\s\[]+?)\[\s*\]", r"\\url{$1}"),
+        (r"([a-zA-Z][a-zA-Z0-9+.-]*:[^\s\[]+?)\[\s*(.*?)\s*\]", r"\\href{$1}{$2}"),
         (r"<<\s*([^\s,>]+)\s*,\s*([^>]+)>>", r"\\hyperlink{$1}{$2}"),
         (r"<<\s*([^\s,>]+)\s*,?\s*>>", r"\\ref{$1}"),
     ]

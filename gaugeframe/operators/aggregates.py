@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.columns import choose_column, col, cols, null_safe_join, require_columns
 from gaugeframe.operators.filters import filter_text
 from gaugeframe.operators.ordinals import running_total
+from gaugeframe.session import scratch_dir
 
 
 def _first(column: Column, order: Column | None) -> Column:
@@ -60,9 +61,9 @@ def group_rows(
     kept = df.where(reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys]))
     plain = {c: fn for c, fn in agg.items() if fn != "median"}
     medians = [c for c, fn in agg.items() if fn == "median"]
-    parts = []
-    if plain:
-        parts.append(kept.groupBy(*cols(keys)).agg(*[aggregate(fn, c, order_by).alias(c) for c, fn in plain.items()]))
+    # The first part has every group: a median has no row for a group that holds nulls only.
+    made = [aggregate(fn, c, order_by).alias(c) for c, fn in plain.items()]
+    parts = [kept.groupBy(*cols(keys)).agg(*made) if made else kept.select(*cols(keys)).distinct()]
     parts += [exact_median(kept, keys, c) for c in medians]
     joined = reduce(lambda a, b: null_safe_join(a, b, keys, "left"), parts)
     return joined.select(*cols(keys), *cols(agg))
@@ -91,32 +92,28 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def spread(
     df: DataFrame, index: Sequence[str], series: str, value: str, levels: Sequence[Any], strict: bool = False
 ) -> DataFrame:
-    """Long rows to one column per series level; ``strict`` fails on a second row for a cell."""
+    """Long rows to one column per series level; a series that is not listed fails the query, so that no row is lost.
+
+    ``strict`` also fails on a second row for a cell.
+    """
+    listed = reduce(lambda a, b: a | b, [col(series).eqNullSafe(F.lit(level)) for level in levels], F.lit(False))
+    other = F.raise_error(F.concat(F.lit("a series is not among the listed levels: "), F.coalesce(col(series).cast("string"), F.lit("null"))))
+    checked = F.when(listed | col(series).isNull(), col(series)).otherwise(other)
+    df = df.withColumn("__series", checked)
     cells = []
     for level in levels:
-        cell = F.when(col(series) == F.lit(level), col(value))
+        cell = F.when(F.col("__series") == F.lit(level), col(value))
         picked = F.max(cell)
         if strict:
-            rows = F.count(F.when(col(series) == F.lit(level), 1))
+            rows = F.count(F.when(F.col("__series") == F.lit(level), 1))
             picked = F.when(rows > 1, F.raise_error(F.lit(f"several rows for one cell of series {level}"))).otherwise(picked)
         cells.append(picked.alias(str(level)))
     return df.groupBy(*cols(index)).agg(*cells)
 
 
-def _level_product(df: DataFrame, index: Sequence[str], blocks: int = 64) -> DataFrame:
-    """Every combination of the index levels, which is what a dense pivot shows.
-
-    The levels of the next column are dealt into blocks and the rows so far are
-    copied to each block in use, so no task holds a whole side.
-    """
-    level = lambda name: df.select(col(name)).where(col(name).isNotNull()).distinct()
-    rows = level(index[0])
-    for name in index[1:]:
-        dealt = level(name).withColumn("__block", F.pmod(F.xxhash64(col(name)), F.lit(blocks)))
-        used = dealt.select(F.collect_set("__block")).scalar()
-        copied = rows.withColumn("__used", used).withColumn("__block", F.explode("__used")).drop("__used")
-        rows = copied.join(dealt, "__block").drop("__block")
-    return rows
+def level_name(level: Any) -> str:
+    """Name of a pivot column; the parts of several pivot columns are joined by ``_``."""
+    return "_".join(map(str, level)) if isinstance(level, (tuple, list)) else str(level)
 
 
 def pivot_table(
@@ -130,16 +127,29 @@ def pivot_table(
 ) -> DataFrame:
     """Cells of ``agg(values)`` with one column per level of the pivot columns.
 
-    Several pivot columns join their texts by ``_``. With two or more index
-    columns every combination of their levels has a row. The levels are given, so
-    the plan needs no extra job and its schema does not change with the data.
+    The levels are given, so the plan needs no extra job and its schema does not change
+    with the data; a combination that is not listed fails the query. With several
+    pivot columns a level is a tuple, and its parts are compared one by one. Rows with
+    a null pivot column are left out, those with a null index stay. Only observed
+    rows of the index are shown, not all combinations of its levels.
     """
-    cells = df.groupBy(*cols(index), *cols(columns)).agg(aggregate(agg, values, order_by).alias("__cell"))
-    key = cols(columns)[0] if len(columns) == 1 else F.concat_ws("_", *[col(c).cast("string") for c in columns])
-    table = spread(cells.withColumn("__level", key), index, "__level", "__cell", levels)
-    if len(index) < 2:
-        return table
-    return null_safe_join(_level_product(cells, index), table, index, "left")
+    known = df.where(reduce(lambda a, b: a & b, [col(c).isNotNull() for c in columns]))
+    fields = [f"__k{i}" for i in range(len(index))]
+    # Grouping drops null keys, so the index travels as one struct that is never null.
+    keyed = known.withColumn("__index", F.struct(*[col(c).alias(f) for c, f in zip(index, fields)]))
+    keyed = keyed.withColumn("__level", F.struct(*[col(c).cast("string").alias(f"l{i}") for i, c in enumerate(columns)]))
+    extra = [order_by] if order_by else []
+    cells = group_rows(keyed.select("__index", "__level", col(values), *cols(extra)), ["__index", "__level"], {values: agg}, order_by)
+    parts = [level if isinstance(level, (tuple, list)) else (level,) for level in levels]
+    is_level = [reduce(lambda a, b: a & b, [F.col("__level")[f"l{i}"] == F.lit(x).cast("string") for i, x in enumerate(p)]) for p in parts]
+    number = F.coalesce(*[F.when(test, i) for i, test in enumerate(is_level)], _unlisted(F.col("__level")))
+    table = spread(cells.withColumn("__n", number), ["__index"], "__n", values, range(len(levels)))
+    names = [F.col(str(i)).alias(level_name(level)) for i, level in enumerate(levels)]
+    return table.select(*[F.col("__index")[f].alias(c) for c, f in zip(index, fields)], *names)
+
+
+def _unlisted(level: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("a pivot level is not listed: "), F.to_json(level))).cast("int")
 
 
 def reduce_dimensions(
@@ -196,11 +206,18 @@ def sort_rows(df: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFrame:
     return df.orderBy(*[col(c).asc_nulls_last() if up else col(c).desc_nulls_last() for c, up in keys])
 
 
-def group_starts(sizes: DataFrame, key: str, size: str, ascending: bool = True) -> DataFrame:
-    """Where each group starts in the order of its key; ``sizes`` has a row per group, nulls last."""
-    named = sizes.where(col(key).isNotNull())
-    ends = running_total(named, [], key, size, "__end")
-    total = named.agg(F.coalesce(F.sum(col(size)), F.lit(0))).scalar()
-    start = F.col("__end") - col(size) if ascending else total - F.col("__end")
-    starts = ends.select(col(key), start.alias("start"))
-    return starts.unionByName(sizes.where(col(key).isNull()).select(col(key), total.alias("start")))
+def sorted_positions(df: DataFrame, keys: Sequence[tuple[str, bool]], name: str) -> DataFrame:
+    """The rows in the order of :func:`sort_rows`, with their place in it.
+
+    The sorted rows are written once, so that their partitions stay the same; the
+    sizes of the partitions, a row each, give the first place of every one.
+    """
+    path = scratch_dir(df.sparkSession, "sorted")
+    placed = sort_rows(df, keys).withColumn("__id", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn("__part", F.expr("shiftright(__id, 33)"))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__low"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("__low")).alias("__shift"))
+    joined = rows.join(starts, "__part")
+    return joined.withColumn(name, F.col("__id") + F.col("__shift")).drop("__id", "__part", "__shift")

@@ -20,7 +20,7 @@ def mapping_paths(
     and the names above it to the level columns. A leaf above the last level
     leaves the deeper columns null.
     """
-    flat = flatten_document(df, document, keys, separator=separator, depth=len(levels) + 3)
+    flat = flatten_document(df, document, keys, separator=separator)
     parts = F.split("path", separator)
     above = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), separator)
     entry = F.struct(F.element_at(parts, -1).alias("key"), F.col("value").alias("value"))

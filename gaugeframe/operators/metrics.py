@@ -54,6 +54,12 @@ def _finish(
     )
 
 
+def _last_of_name(cells: DataFrame) -> DataFrame:
+    """Of columns with the same header the last counts."""
+    later = F.slice("__header", F.col("__i") + 2, F.size("__header"))
+    return cells.where(~F.coalesce(F.array_contains(later, F.get("__header", F.col("__i"))), F.lit(False)))
+
+
 def csv_metrics(
     files: DataFrame, text: str, keys: Sequence[str], stage: str | None = None, units: Mapping[str, str] = DEFAULT_UNITS
 ) -> DataFrame:
@@ -76,6 +82,7 @@ def csv_metrics(
     width = F.size("__cells") == F.size("__header")
     cells = F.when(width, F.col("__cells")).otherwise(F.raise_error(F.lit("csv row and header differ in width")))
     in_cells = explode_rows(in_rows, cols([*keys, "__header", "__n", "__row"]), cells, "__cell", "__i")
+    in_cells = _last_of_name(in_cells)
     name = F.get("__header", F.col("__i"))
     suffix = F.when(F.col("__n") > 1, F.concat(F.lit("_"), F.col("__row").cast("string"))).otherwise(F.lit(""))
     return _finish(in_cells, keys, name, F.col("__cell"), stage, suffix, units, CSV_NUMBER)
@@ -98,7 +105,7 @@ def tsv_metrics(
     parsed = files.select(*cols(keys), col(text), wanted.alias("__index"))
     parsed = parsed.select(*cols(keys), header.alias("__header"), F.get(found, F.lit(0)).alias("__fields"))
     row = F.when(F.col("__fields").isNotNull(), F.col("__fields")).otherwise(F.raise_error(F.lit("index not found in tsv text")))
-    fields = explode_rows(parsed, cols([*keys, "__header"]), row, "__field", "__i").where("__i > 0")
+    fields = _last_of_name(explode_rows(parsed, cols([*keys, "__header"]), row, "__field", "__i").where("__i > 0"))
     return _finish(fields, keys, F.get("__header", F.col("__i")), F.col("__field"), stage, None, units)
 
 
@@ -119,17 +126,19 @@ def json_metrics(
     paths: Sequence[str],
     stage: str | None = None,
     units: Mapping[str, str] = DEFAULT_UNITS,
-    depth: int = 6,
+    depth: int | None = None,
 ) -> DataFrame:
     """Values under wildcard paths ``a.*.b``.
 
     The name joins what each ``*`` stands for; without a wildcard it is the last
     key. An object under the path adds its inner names. A later path replaces a
-    metric of the same name.
+    metric of the same name. A JSON text is a text, also if it looks like a number.
     """
     separator = "\x1f"
-    flat = flatten_document(documents, document, keys, separator=separator, depth=depth)
-    split = flat.select(*cols(keys), "value", F.split("path", separator).alias("__parts"))
+    flat = flatten_document(documents, document, keys, separator=separator, depth=depth, kinds=True)
+    # The kind goes with the value: a mark that no number has stands before a text.
+    value = F.when(F.col("kind") == "STRING", F.concat(F.lit(separator), F.col("value"))).otherwise(F.col("value"))
+    split = flat.select(*cols(keys), value.alias("value"), F.split("path", separator).alias("__parts"))
     found = [_under_path(F.col("__parts"), path) for path in paths]
     if len(paths) == 1:
         rows = split.where(found[0][0]).select(*cols(keys), found[0][1].alias("__name"), "value")
@@ -139,7 +148,8 @@ def json_metrics(
         rows = matched.groupBy(*cols(keys), F.col("m.name").alias("__name")).agg(
             F.max_by("value", F.col("m.order")).alias("value")
         )
-    return _finish(rows, keys, F.col("__name"), F.col("value"), stage, None, units)
+    done = _finish(rows, keys, F.col("__name"), F.col("value"), stage, None, units)
+    return done.withColumn("value_str", F.regexp_replace("value_str", f"^{separator}", ""))
 
 
 def regex_metrics(
@@ -152,18 +162,27 @@ def regex_metrics(
     stage: str | None = None,
     units: Mapping[str, str] = DEFAULT_UNITS,
 ) -> DataFrame:
-    """All matches of a pattern with named groups; without a name group they are ``match_<i>``."""
+    """All matches of a pattern with named groups; without a name group they are ``match_<i>``.
+
+    The last match of a name counts. Group names are Python's: Java allows no ``_``
+    in them, so groups are plain ones there, read by their number.
+    """
     group = re.compile(pattern).groupindex
-    java = "(?m)" + pattern.replace("(?P<", "(?<")
+    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    java = "(?m)" + re.sub(r"\(\?P=(\w+)\)", lambda m: f"(?:\\{group[m[1]]})", plain)
     every = lambda name: F.regexp_extract_all(col(text), F.lit(java), F.lit(group[name]))
-    names = every(name_group) if name_group else F.lit(None).cast("array<string>")
-    parsed = files.select(*cols(keys), names.alias("__names"), every(value_group).alias("__values"))
-    rows = explode_rows(parsed, cols([*keys, "__names"]), F.col("__values"), "__value", "__i")
-    if name_group:
-        name = F.trim(F.get("__names", F.col("__i")))
-    else:
+    if not name_group:
+        parsed = files.select(*cols(keys), every(value_group).alias("__values"))
+        rows = explode_rows(parsed, cols(keys), F.col("__values"), "__value", "__i")
         name = F.concat(F.lit("match_"), F.col("__i").cast("string"))
-    return _finish(rows, keys, name, F.col("__value"), stage, None, units)
+        return _finish(rows, keys, name, F.col("__value"), stage, None, units)
+    names = F.transform(every(name_group), lambda n: F.trim(n))
+    parsed = files.select(*cols(keys), names.alias("__names"), every(value_group).alias("__values"))
+    parsed = parsed.select(*cols(keys), "__names", F.reverse("__names").alias("__back"), "__values")
+    last = lambda n: F.get("__values", (F.size("__names") - F.array_position("__back", n)).cast("int"))
+    found = F.transform(F.array_distinct("__names"), lambda n: F.struct(n.alias("name"), last(n).alias("value")))
+    rows = explode_rows(parsed, cols(keys), found, "__m", "__i")
+    return _finish(rows, keys, F.col("__m.name"), F.col("__m.value"), stage, None, units)
 
 
 def merge_stages(stages: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Positions, running totals and codes that hold when one group has most of the rows.
 
 A window over a whole group would send the group to one task. Here each group is
-cut into buckets of its order column; the bucket counts (or sums) are small and
-give every bucket its offset, and the window runs inside a bucket only.
+cut into buckets of its order column; the bucket counts (or sums), one for some
+100,000 rows, give every bucket its offset, and the window runs inside a bucket only.
 """
 
 from __future__ import annotations
@@ -11,37 +11,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gaugeframe.functions.columns import col, cols, data_type, null_safe_join
+from gaugeframe.functions.columns import col, cols, null_safe_join
 
-BUCKET_WIDTH = 1_000_000
-SPLITS = 255
+BUCKET_VALUES = 100_000
 
 
-def _with_bucket(df: DataFrame, order_by: str, width: int) -> DataFrame:
+def _with_bucket(df: DataFrame, order_by: str, values: int) -> DataFrame:
     """Add ``__bucket``, a non-decreasing function of the order column.
 
-    Integer orders use equal steps, so a bucket holds at most ``width`` distinct
-    positions. Other types use split points: the distinct values with the
-    smallest hashes, an even sample that comes out the same on every run.
+    Split points are the distinct values whose hash is a multiple of ``values``: an even
+    sample that comes out the same on every run. A bucket holds some ``values`` distinct
+    values of any type, dense or sparse, and the number of buckets grows with the
+    data, so no window grows; a group with a unique order has no more rows in one.
     """
-    if isinstance(data_type(df, order_by), T.IntegralType):
-        return df.withColumn("__bucket", F.floor(col(order_by) / F.lit(width)))
     sample = (
         df.select(col(order_by).alias("v"))
-        .where("v is not null")
-        .distinct()
-        .orderBy(F.xxhash64("v"), "v")
-        .limit(SPLITS)
-        .select(F.sort_array(F.collect_list("v")))
+        .where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v"), F.lit(values)) == 0))
+        .select(F.sort_array(F.collect_set("v")))
     )
     with_splits = df.withColumn("__splits", sample.scalar())
     # Binary search: how many of the sorted split points are not above the value.
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(SPLITS.bit_length()))])
+    bits = F.length(F.bin(F.size("__splits")))
+    halves = F.transform(F.sequence(F.lit(1), bits), lambda i: F.call_function("shiftleft", F.lit(1), bits - i))
     reach = lambda at, step: F.get(F.col("__splits"), at + step - 1) <= col(order_by)
     below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at))
-    return with_splits.withColumn("__bucket", below.cast("bigint")).drop("__splits")
+    bucket = F.when(F.size("__splits") == 0, F.lit(0)).otherwise(below)
+    return with_splits.withColumn("__bucket", bucket.cast("bigint")).drop("__splits")
 
 
 def _offsets(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
@@ -66,7 +62,7 @@ def _in_bucket(keys: Sequence[str], order_by: str):
 
 
 def group_ordinals(
-    df: DataFrame, keys: Sequence[str], order_by: str, name: str, width: int = BUCKET_WIDTH
+    df: DataFrame, keys: Sequence[str], order_by: str, name: str, width: int = BUCKET_VALUES
 ) -> DataFrame:
     """0-based position of every row in its group, by an order column unique in the group."""
     joined = _with_offset(_with_bucket(df, order_by, width), keys, F.count(F.lit(1)))
@@ -75,7 +71,7 @@ def group_ordinals(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order_by: str, value: str, name: str, width: int = BUCKET_WIDTH
+    df: DataFrame, keys: Sequence[str], order_by: str, value: str, name: str, width: int = BUCKET_VALUES
 ) -> DataFrame:
     """Sum of ``value`` up to and including the row, by an order column unique in the group."""
     joined = _with_offset(_with_bucket(df, order_by, width), keys, F.sum(col(value)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.functions.columns import col, cols, explode_rows, require_columns
+from gaugeframe.operators.aggregates import sorted_positions
+from gaugeframe.operators.metrics import number_or_text
 
 # The fields of a run report, and the slots of a metric array.
 SESSION_FIELDS = {
@@ -65,11 +67,11 @@ def split_metric_key(key: Column) -> list[Column]:
 def metric_slots(values: Column) -> list[Column]:
     """Columns of a metric array; a value that is no number is kept in ``value_str``."""
     slot = {n: F.get(values, F.lit(i)) for i, n in enumerate(METRIC_SLOTS)}
-    number = slot["value"].try_cast("double")
+    number, text = number_or_text(slot["value"])
     return [
         number.alias("value"),
-        F.when(number.isNull(), slot["value"]).alias("value_str"),
-        *[slot[n].try_cast("double").alias(n) for n in ("reference", "low_threshold", "up_threshold")],
+        text.alias("value_str"),
+        *[number_or_text(slot[n])[0].alias(n) for n in ("reference", "low_threshold", "up_threshold")],
         slot["unit"].alias("unit"),
         slot["result"].alias("result"),
     ]
@@ -167,6 +169,11 @@ def group_summary(leaves: DataFrame, level: str, leaf: str = "leaves") -> DataFr
     return known.groupBy(col(level)).agg(*[a.alias(n) for n, a in summary_columns(leaf).items()])
 
 
+def latest_first(leaves: DataFrame, leaf: str = "leaves") -> DataFrame:
+    """The leaf summary, latest leaf first, the greater id on a tie, with its ``place`` from 0."""
+    return sorted_positions(leaves, [("date", False), (leaf, False)], "place")
+
+
 def latest_reports(facts: DataFrame, n: int = 15, leaf: str = "leaves", levels: Sequence[str] = ()) -> DataFrame:
     """The latest reports with their status, for the overview page.
 

@@ -15,16 +15,17 @@ from gaugeframe.operators.ordinals import cycle, dense_codes, group_ordinals, ru
 from gaugeframe.operators.transforms import HALF_OPTIMAL, OPTIMAL, Axes
 
 # Marker symbols and line colours in drawing order.
-MARKS = (
-    "circle square diamond cross x triangle-up triangle-down triangle-left triangle-right pentagon hexagon octagon "
-    "star hexagram star-triangle-up star-triangle-down star-square star-diamond diamond-tall diamond-wide hourglass "
-    "bowtie"
-).split()
-COLORS = (
-    "red blue green orange purple brown pink gray cyan magenta yellow darkblue darkred darkgreen darkorange "
-    "darkpurple darkbrown darkpink darkgray darkcyan darkmagenta darkyellow lightblue lightred lightgreen lightorange "
-    "lightpurple lightbrown lightpink lightgray lightcyan lightmagenta lightyellow black"
-).split()
+MARKS = [
+    "circle", "square", "diamond", "cross", "x", "triangle-up", "triangle-down", "triangle-left", "triangle-right",
+    "pentagon", "hexagon", "octagon", "star", "hexagram", "star-triangle-up", "star-triangle-down", "star-square",
+    "star-diamond", "diamond-tall", "diamond-wide", "hourglass", "bowtie",
+]
+COLORS = [
+    "red", "blue", "green", "orange", "purple", "brown", "pink", "gray", "cyan", "magenta", "yellow", "darkblue",
+    "darkred", "darkgreen", "darkorange", "darkpurple", "darkbrown", "darkpink", "darkgray", "darkcyan",
+    "darkmagenta", "darkyellow", "lightblue", "lightred", "lightgreen", "lightorange", "lightpurple", "lightbrown",
+    "lightpink", "lightgray", "lightcyan", "lightmagenta", "lightyellow", "black",
+]
 
 
 def _is_guide(axes: Axes, transformation: str) -> Column:

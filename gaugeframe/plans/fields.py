@@ -132,7 +132,7 @@ class Fields:
         if kind == "Object" and plain and df.schema["value"].dataType.typeName() == "string":
             return df.select(readers.text_to_object(col("value")).alias("value"))
         if kind == "Object" and field.order_by:
-            return readers.table_to_objects(df, field.order_by)
+            return readers.table_to_object(df, field.order_by)
         if kind == "Raw" and plain and df.schema["value"].dataType.typeName() == "variant":
             return df.select(readers.object_to_text(col("value")).alias("value"))
         if kind == "Raw" and not plain:

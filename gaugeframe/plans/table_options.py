@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -73,11 +74,11 @@ def discover_levels(df: DataFrame, columns: Sequence[str]) -> list[Any]:
     to have; one more is an error, as it is for Spark's own pivot.
     """
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    key = cols(columns)[0] if len(columns) == 1 else F.concat_ws("_", *[c.cast("string") for c in cols(columns)])
-    rows = df.select(key.alias("v")).where("v is not null").distinct().orderBy("v").limit(most + 1).collect()
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols(columns)])
+    rows = df.where(known).select(*cols(columns)).distinct().orderBy(*cols(columns)).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{columns} have more than {most} levels; too many for table columns")
-    return [r[0] for r in rows]
+    return [r[0] if len(columns) == 1 else tuple(r) for r in rows]
 
 
 def apply_options(df: DataFrame, options: TableOptions, order_by: str | None = None) -> DataFrame:

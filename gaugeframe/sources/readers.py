@@ -117,18 +117,18 @@ def object_to_table(df: DataFrame, document: str, schema: str, keys: Sequence[st
     return rows.select(*cols(keys), F.col("__entry.key").alias(name), "__entry.value.*")
 
 
-def table_to_objects(df: DataFrame, order_by: str, chunk: int = 10_000) -> DataFrame:
-    """Column lists ``{column: [values]}`` of ``chunk`` rows each, in row order.
+def table_to_object(df: DataFrame, order_by: str) -> DataFrame:
+    """The lists ``{column: [values]}`` of a table as ``(column, position, value)`` rows.
 
-    One object of a whole table would be one task's memory; consecutive chunks
-    carry the same lists. Nulls keep their place in a list.
+    One shape at every size: a list is its rows in the order of the position, and no
+    task holds a whole one. Values are JSON texts; a null keeps its place.
     """
     names = [c for c in df.columns if c != order_by]
     placed = group_ordinals(df, [], order_by, "__at")
-    rows = F.sort_array(F.collect_list(F.struct("__at", F.struct(*cols(names)).alias("row"))))
-    grouped = placed.groupBy(F.floor(F.col("__at") / chunk).alias("chunk")).agg(rows.alias("__rows"))
-    lists = F.struct(*[F.col("__rows.row")[n].alias(n) for n in names])
-    return grouped.select("chunk", F.to_json(lists, {"ignoreNullFields": "false"}).alias("object"))
+    as_json = lambda c: F.coalesce(F.get_json_object(F.to_json(F.struct(col(c).alias("v")), {"ignoreNullFields": "false"}), "$"), F.lit("{}"))
+    value = lambda c: F.regexp_extract(as_json(c), r'(?s)^\{"v":(.*)\}$', 1)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in names])
+    return placed.select(F.col("__at").alias("position"), F.explode(cells).alias("c")).select("c.column", "position", "c.value")
 
 
 def object_to_text(value: Column) -> Column:

@@ -29,29 +29,30 @@ def write_csv(table: DataFrame, path: str) -> None:
 
 
 def write_csv_by(table: DataFrame, outer: str, path: str) -> None:
-    """One folder per outer key, named by its file-safe form."""
+    """One folder per outer key, named by its file-safe form.
+
+    Rows are dealt by key first, so a key has one file, or several if it is large,
+    and not one of every task.
+    """
     named = table.withColumn("figure", sanitize(text_of(table, outer)))
-    named.write.mode("overwrite").option("header", True).partitionBy("figure").csv(path)
+    named.repartitionByRange("figure", F.xxhash64(*cols(table.columns))).write.mode("overwrite").option("header", True).partitionBy("figure").csv(path)
 
 
-def chart_traces(cells: DataFrame, axes: Axes, chunk: int = 10_000) -> DataFrame:
-    """``(outer…, series, chunk, points)`` with the points of a series in x order.
+def chart_traces(cells: DataFrame, axes: Axes) -> DataFrame:
+    """``(outer…, series, position, x, y)``: the points of every series in the order of x.
 
-    A long series is cut into chunks of rows, so one hot series fills many small
-    rows and not one task. Points are ordered by x, then by the extra axes.
+    One shape at every size: a trace is its rows in the order of the position.
     """
     group = [*axes.outer, axes.color]
-    placed = group_ordinals(cells, group, axes.x, "__at")
-    point = F.struct("__at", col(axes.x).alias("x"), col(axes.y).alias("y"))
-    grouped = placed.groupBy(*cols(group), F.floor(F.col("__at") / chunk).alias("chunk")).agg(
-        F.sort_array(F.collect_list(point)).alias("__points")
-    )
-    points = F.transform("__points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return grouped.select(*cols(group), "chunk", points.alias("points"))
+    placed = group_ordinals(cells, group, axes.x, "position")
+    return placed.select(*cols(group), "position", col(axes.x).alias("x"), col(axes.y).alias("y"))
 
 
 def write_chart_json(cells: DataFrame, axes: Axes, path: str) -> None:
-    chart_traces(cells, axes).write.mode("overwrite").json(path)
+    """JSON lines, sorted by series and position within the files; a hot series fills several files."""
+    group = [*cols(axes.outer), col(axes.color)]
+    traces = chart_traces(cells, axes).repartitionByRange(*group, "position").sortWithinPartitions(*group, "position")
+    traces.write.mode("overwrite").json(path)
 
 
 def table_lines(df: DataFrame, style: str = "adoc") -> DataFrame:

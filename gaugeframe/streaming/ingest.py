@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeframe.functions.columns import col, cols
+from gaugeframe.functions.columns import col, cols, null_safe_join
 from gaugeframe.operators.runs import leaf_summary
 from gaugeframe.sources.readers import place_in_tree
 
@@ -30,9 +30,11 @@ def report_stream(
     """Stream of reports under a path (globs allowed); ``levels`` adds the tree columns of each file."""
     reader = spark.readStream.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST")
     reports = reader.option("maxFilesPerTrigger", max_files).json(path)
+    sent = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
+    reports = reports.select("*", sent.alias("sent"))
     if levels is None:
         return reports
-    return place_in_tree(reports.select("*", F.col("_metadata.file_path").alias("__file")), "__file", levels)
+    return place_in_tree(reports.withColumn("__file", F.col("sent.file")), "__file", levels)
 
 
 def ingest(reports: DataFrame, flatten: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
@@ -52,10 +54,15 @@ def keep_summaries(
 ) -> StreamingQuery:
     """Write the leaf summaries of each batch to a folder of its own.
 
-    A batch that is run again after a failure overwrites the same folder.
+    ``flatten`` keeps the column ``sent``, the time and name of the file. Of two sendings of a
+    leaf in one batch only the rows of the later file count. A batch that is run again
+    after a failure overwrites the same folder.
     """
     def write(batch: DataFrame, number: int) -> None:
-        leaf_summary(flatten(batch), leaf, levels).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        facts = flatten(batch)
+        last = facts.groupBy(col(leaf)).agg(F.max("sent").alias("__last"))
+        newest = null_safe_join(facts, last, [leaf]).where(F.col("sent") == F.col("__last")).drop("sent", "__last")
+        leaf_summary(newest, leaf, levels).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     writer = reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

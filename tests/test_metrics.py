@@ -50,6 +50,25 @@ def test_regex_with_and_without_names(spark):
     }
 
 
+def test_regex_names_and_last_match(spark):
+    text = "solve: 1\nload: 2\nsolve: 3\n"
+    pattern = r"^(?P<var_name>\w+):\s+(?P<the_value>\S+)$"
+    assert named(metrics.regex_metrics(files(spark, text), "text", ["id"], pattern, "the_value", "var_name")) == {"solve": 3.0, "load": 2.0}
+    twice = r"(?P<a_b>\w)(?P=a_b) (?P<v>\d)"
+    assert named(metrics.regex_metrics(files(spark, "xy 1 zz 2"), "text", ["id"], twice, "v", "a_b")) == {"z": 2.0}
+
+
+def test_last_column_of_a_name_counts(spark):
+    assert named(metrics.csv_metrics(files(spark, "a,b,a\n1,2,3\n"), "text", ["id"])) == {"a": 3.0, "b": 2.0}
+
+
+def test_json_texts_stay_texts(spark):
+    got = metrics.json_metrics(files(spark, '{"a":{"n":"12","m":12,"deep":{"x":{"y":{"z":{"u":{"v":[1,{"w":2}]}}}}}}}'), "text", ["id"], ["a"])
+    assert {r.name: (r.value, r.value_str) for r in got.collect()} == {
+        "a.n": (None, "12"), "a.m": (12.0, None), "a.deep.x.y.z.u.v.0": (1.0, None), "a.deep.x.y.z.u.v.1.w": (2.0, None),
+    }
+
+
 DOCUMENT = """{"field1":1.5,"field2":{"field2_1":2,"field2_2":{"x":3,"y":"z"}},
 "hardware":{"gaya1":{"mem":{"total":{"host":64},"free":{"host":32}}},"gaya2":{"mem":{"total":{"host":128}}}}}"""
 

@@ -10,14 +10,14 @@ from gaugeframe.plans.table_options import GroupBy, Pivot, TableOptions, apply_o
 from gaugeframe.session import scratch_dir
 from gaugeframe.sources import readers, sinks
 
-SCENARIOS = "Scenario,Time_s,Memory_MB,result\nA,12.5,1024,pass\nB,25.1,2048,fail\nC,15.9,1536,pass\n"
+SCENARIOS = "Scenario,Time_s,Memory_MB,result\nwarm,4.0,300,pass\ncold,7.6,500,fail\ntuned,3.2,260,pass\n"
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     base = tmp_path_factory.mktemp("data")
     (base / "scenarios.csv").write_text(SCENARIOS)
-    (base / "days.json").write_text(json.dumps([{"subject": s, "absent": a} for s, a in [("Math", 15), ("Math", 16), ("Art", 16)]]))
+    (base / "days.json").write_text(json.dumps([{"subject": s, "absent": a} for s, a in [("Music", 7), ("Music", 8), ("Sport", 9)]]))
     (base / "meta.json").write_text('{"hostname": "h1", "list": [1, 2, 3]}')
     (base / "note.txt").write_text("two\nwords")
     return base
@@ -33,16 +33,16 @@ def test_formatted_field_is_text_for_its_references(spark, folder, rows):
             "group_by": {"columns": ["result"], "agg": {"Scenario": "count", "Memory_MB": "sum"}}}},
     ]))
     shown = rows(fields.resolve("shown").select("Scenario", "memory_per_time", "Time_s"))
-    assert shown == [("A", "81.92", "12"), ("B", "81.59", "25"), ("C", "96.60", "15")]
-    assert rows(fields.resolve("grouped")) == [("🔴", 1, 2048), ("🟢", 2, 2560)]
-    assert rows(fields.resolve("raw"))[0] == ("A", 12.5, 1024, "pass")
+    assert shown == [("cold", "65.79", "7"), ("tuned", "81.25", "3"), ("warm", "75.00", "4")]
+    assert rows(fields.resolve("grouped")) == [("🔴", 1, 500), ("🟢", 2, 560)]
+    assert rows(fields.resolve("raw"))[0] == ("cold", 7.6, 500, "fail")
 
 
 def test_group_sort_format(spark, folder):
     options = {"group_by": {"columns": ["subject"], "agg": "mean"}, "format": {"absent": "%.1f"},
                "sort": [{"column": "absent", "ascending": False}, {"column": "subject"}]}
     field = Field.from_config({"name": "d", "type": "DataTable", "filepath": str(folder / "days.json"), "table_options": options})
-    assert [tuple(r) for r in Fields(spark, [field]).resolve("d").collect()] == [("Art", "16.0"), ("Math", "15.5")]
+    assert [tuple(r) for r in Fields(spark, [field]).resolve("d").collect()] == [("Sport", "9.0"), ("Music", "7.5")]
 
 
 def test_request_rules():
@@ -118,17 +118,18 @@ def test_pivot_levels_are_looked_up(spark, rows):
     assert apply_options(df, TableOptions(pivot=Pivot(["i"], ["c"], "v", "sum"))).columns == ["i", "x", "y"]
 
 
-def test_chart_traces_cut_a_long_series(spark):
+def test_chart_traces_have_one_shape(spark):
     df = spark.range(25).selectExpr("id as x", "'hot' as perfvalue", "id * 1.5 as value")
-    traces = sinks.chart_traces(df, Axes(x="x"), chunk=10).orderBy("chunk").collect()
-    assert [len(t.points) for t in traces] == [10, 10, 5]
-    assert [p.x for t in traces for p in t.points] == list(range(25))
+    traces = sinks.chart_traces(df, Axes(x="x")).orderBy("position").collect()
+    assert [tuple(t)[1:] for t in traces] == [(i, i, i * 1.5) for i in range(25)]
 
 
-def test_table_objects_keep_nulls_and_order(spark):
-    df = spark.createDataFrame([(2, None), (1, "a"), (3, "c")], "at int, v string")
-    got = [json.loads(r.object) for r in readers.table_to_objects(df, "at", chunk=2).orderBy("chunk").collect()]
-    assert got == [{"v": ["a", None]}, {"v": ["c"]}]
+def test_table_object_keeps_nulls_and_order(spark):
+    df = spark.createDataFrame([(2, None, 1.5), (1, 'a"}', None), (3, "c", 2.0)], "at int, v string, n double")
+    got = readers.table_to_object(df, "at").orderBy("column", "position").collect()
+    assert [(r.column, r.position, json.loads(r.value)) for r in got] == [
+        ("n", 0, None), ("n", 1, 1.5), ("n", 2, 2.0), ("v", 0, 'a"}'), ("v", 1, None), ("v", 2, "c"),
+    ]
 
 
 def test_log_pages(spark, tmp_path):

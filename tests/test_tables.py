@@ -84,7 +84,7 @@ def test_median_of_even_odd_and_null(spark, rows):
     data = [("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 4.0), ("b", 1.0), ("b", None), ("c", None), ("d", 5.0), ("d", 5.0)]
     df = spark.createDataFrame(data, "k string, v double")
     got = rows(aggregates.group_rows(df, ["k"], {"v": "median"}))
-    assert got == [("a", 2.0), ("b", 2.5), ("d", 5.0)]
+    assert got == [("a", 2.0), ("b", 2.5), ("c", None), ("d", 5.0)]
     both = rows(aggregates.group_rows(df, ["k"], {"v": "median"} | {}))
     assert both == got
 
@@ -95,10 +95,26 @@ def test_pivot(spark, rows):
     assert rows(aggregates.pivot_table(df, ["team"], ["metric"], "value", "mean", ["m1", "m2"])) == [("A", 10.0, 20.0), ("B", 30.0, 40.0)]
 
 
-def test_dense_pivot_has_every_combination(spark, rows):
-    df = spark.createDataFrame([("a", 1, "p", 5), ("b", 2, "p", 6)], "i string, j int, c string, v int")
-    got = rows(aggregates.pivot_table(df, ["i", "j"], ["c"], "v", "sum", ["p"]))
-    assert got == [("a", 1, 5), ("a", 2, None), ("b", 1, None), ("b", 2, 6)]
+def test_pivot_keeps_null_index_rows_and_levels_apart(spark, rows):
+    df = spark.createDataFrame([("a", 1, "p", 5), (None, 2, "p", 6), (None, None, "p", 7), ("a", 1, None, 9)], "i string, j int, c string, v int")
+    assert rows(aggregates.pivot_table(df, ["i", "j"], ["c"], "v", "sum", ["p"])) == [("a", 1, 5), (None, 2, 6), (None, None, 7)]
+    two = spark.createDataFrame([("k", "a_b", "c", 1), ("k", "a", "b_c", 5)], "k string, x string, y string, v int")
+    got = aggregates.pivot_table(two, ["k"], ["x", "y"], "v", "sum", [("a_b", "c"), ("a", "b_c")])
+    assert tuple(got.first()) == ("k", 1, 5) and got.columns == ["k", "a_b_c", "a_b_c"]
+
+
+def test_unlisted_levels_fail(spark):
+    df = spark.createDataFrame([("r", "x", 1), ("r", "y", 2), ("r", "z", 3)], "i string, s string, v int")
+    with pytest.raises(Exception, match="not among the listed levels: z"):
+        aggregates.spread(df, ["i"], "s", "v", ["x", "y"]).collect()
+    with pytest.raises(Exception, match="not listed"):
+        aggregates.pivot_table(df, ["i"], ["s"], "v", "sum", ["x", "y"]).collect()
+
+
+def test_medians_keep_groups_of_nulls(spark, rows):
+    df = spark.createDataFrame([("a", "p", 1.0), ("a", "p", 4.0), ("b", "p", None), ("b", "q", None)], "k string, c string, v double")
+    assert rows(aggregates.group_rows(df.drop("c"), ["k"], "median")) == [("a", 2.5), ("b", None)]
+    assert rows(aggregates.pivot_table(df, ["k"], ["c"], "v", "median", ["p", "q"])) == [("a", 2.5, None), ("b", None, None)]
 
 
 def test_strict_spread_fails_on_a_second_row(spark):
