@@ -108,6 +108,26 @@ def empty_report(t: Tables) -> DataFrame:
     return facts.select("o_orderkey", "perfvalue", "value", "value_str")
 
 
+@query(
+    "run_facts_fields",
+    """SELECT o_orderkey, 'total' AS perfvalue, o_totalprice AS value, 'c' || o_custkey AS "runs.campaign", o_orderpriority AS "testcases.queue",
+       CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'true' END AS flag, '{"n":' || o_orderkey || '}' AS label, '1.5' AS "grid.step" FROM orders""",
+)
+def run_facts_fields(t: Tables) -> DataFrame:
+    """Fields beyond the known ones stay; a flag, a text that reads like one, and a text that reads like an object keep their kind."""
+    flag = F.when(F.col("o_orderstatus") == "F", "true").otherwise('"true"')
+    case = F.format_string(
+        '{"runs":[{"run_index":0,"campaign":"c%d","testcases":[{"system":"s","partition":"p","queue":"%s",'
+        '"check_params":{"flag":%s,"label":"{\\"n\\":%d}","grid":{"step":1.50}},"perfvalues":{"s:p:total":["%s","0",null,null,"s","pass"]}}]}]}',
+        "o_custkey", "o_orderpriority", flag, "o_orderkey", F.col("o_totalprice").cast("string"),
+    )
+    reports = t("orders").select("o_orderkey", case.alias("report"))
+    fields = runs.discover_fields(reports, "report")
+    facts = runs.run_facts(runs.parse_reports(reports, "report", runs.report_schema(*fields)))
+    facts = runs.parameter_columns(facts, ["flag", "label", "grid.step"])
+    return facts.select("o_orderkey", "perfvalue", "value", "`runs.campaign`", "`testcases.queue`", "flag", "label", "`grid.step`")
+
+
 @query(
     "case_run_attributes",
     f"""SELECT leaf, "testcases.hashcode", perfvalue, "runs.run_index", "runs.num_cases", "runs.num_failures"

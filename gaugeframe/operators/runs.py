@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.functions.columns import col, cols, explode_rows, require_columns
+from gaugeframe.functions.columns import col, cols, explode_rows, require_columns, variant_text
 from gaugeframe.operators.aggregates import sorted_positions
 from gaugeframe.operators.metrics import number_or_text
 
@@ -27,7 +27,7 @@ METRIC_SLOTS = ["value", "reference", "low_threshold", "up_threshold", "unit", "
 def report_schema(run_fields: Mapping[str, str] = RUN_FIELDS, case_fields: Mapping[str, str] = CASE_FIELDS) -> T.StructType:
     """Schema of a report; pass more fields to carry them into the facts."""
     fields = lambda spec: ", ".join(f"`{n}`: {t}" for n, t in spec.items())
-    case = f"STRUCT<{fields(case_fields)}, check_params: MAP<STRING, STRING>, perfvalues: MAP<STRING, ARRAY<STRING>>>"
+    case = f"STRUCT<{fields(case_fields)}, check_params: MAP<STRING, VARIANT>, perfvalues: MAP<STRING, ARRAY<STRING>>>"
     run = f"STRUCT<{fields(run_fields)}, testcases: ARRAY<{case}>>"
     return T.StructType.fromDDL(f"session_info STRUCT<{fields(SESSION_FIELDS)}>, runs ARRAY<{run}>")
 
@@ -39,23 +39,41 @@ def parse_reports(df: DataFrame, text: str, schema: T.StructType | None = None)
     return df.select(*rest, parsed).select(*rest, "__report.*")
 
 
+def discover_fields(df: DataFrame, text: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Fields of the runs and of the cases in JSON reports: the known ones, and any other as text.
+
+    One pass collects the names, as many as the report format has.
+    """
+    runs = F.from_json(col(text), "runs ARRAY<MAP<STRING, STRING>>")["runs"]
+    run = explode_rows(df, [], runs, "__run").select(F.col("__run"))
+    cases = F.from_json(F.col("__run")["testcases"], "ARRAY<MAP<STRING, STRING>>")
+    names = lambda rows, c: {r[0] for r in rows.select(F.explode(F.map_keys(c))).distinct().collect()}
+    run_names = names(run, F.col("__run")) - {"testcases", *RUN_FIELDS}
+    case_names = names(explode_rows(run, [], cases, "__case"), F.col("__case")) - {"check_params", "perfvalues", *CASE_FIELDS}
+    return RUN_FIELDS | dict.fromkeys(sorted(run_names), "STRING"), CASE_FIELDS | dict.fromkeys(sorted(case_names), "STRING")
+
+
 def _parameters(check_params: Column) -> Column:
-    """Parameters as texts; an object value gives one ``dim.sub`` entry per field, flags read True and False.
+    """Parameters as Python shows them; an object gives one ``dim.sub`` entry per field.
 
-    The map is only rebuilt for a case that has an object or a flag.
+    The JSON kind decides: a text that looks like an object, a flag or a number stays that text.
     """
-    text = lambda v: F.when(v.isin("true", "false"), F.initcap(v)).otherwise(v)
-    entry_of = lambda key, value: F.struct(key.alias("key"), text(value).alias("value"))
+    entry_of = lambda key, value: F.struct(key.alias("key"), _parameter_text(value).alias("value"))
 
     def entries(entry):
-        fields = F.map_entries(F.from_json(entry["value"], "map<string,string>"))
+        fields = F.map_entries(F.try_variant_get(entry["value"], "$", "map<string,variant>"))
         nested = F.transform(fields, lambda f: entry_of(F.concat(entry["key"], F.lit("."), f["key"]), f["value"]))
-        single = F.array(entry_of(entry["key"], entry["value"]))
-        return F.when(entry["value"].startswith("{"), F.coalesce(nested, single)).otherwise(single)
+        is_object = F.schema_of_variant(entry["value"]).startswith("OBJECT<")
+        return F.when(is_object, nested).otherwise(F.array(entry_of(entry["key"], entry["value"])))
+
+    return F.map_from_entries(F.flatten(F.transform(F.map_entries(check_params), entries)))
+
 
-    rebuilt = F.map_from_entries(F.flatten(F.transform(F.map_entries(check_params), entries)))
-    special = F.exists(F.map_values(check_params), lambda v: v.startswith("{") | v.isin("true", "false"))
-    return F.when(special, rebuilt).otherwise(check_params)
+def _parameter_text(value: Column) -> Column:
+    """Text of a scalar; a list or a deeper object as JSON."""
+    kind = F.schema_of_variant(value)
+    nested = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
+    return F.when(nested, F.to_json(value)).otherwise(variant_text(value))
 
 
 def split_metric_key(key: Column) -> list[Column]:

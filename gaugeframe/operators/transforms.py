@@ -99,15 +99,16 @@ def speedup(df: DataFrame, axes: Axes, steps: Steps = (), order_by: str | None =
     base = F.when(F.col("__start.x") == F.col("__lowest.x"), F.col("__start.y")).cast("double")
     optimal = F.try_divide(x, F.col("__lowest.x").cast("double"))
     series = python_text(col(axes.color), data_type(cells, axes.color))
-    line = lambda name, value: F.struct(name.alias("s"), value.alias("v"))
+    line = lambda name, value, guide: F.struct(name.alias("s"), value.alias("v"), F.lit(guide).alias("guide"))
     lines = F.array(
-        line(series, F.try_divide(base, y)),
-        line(F.lit(OPTIMAL), optimal),
-        line(F.lit(HALF_OPTIMAL), (optimal - 1) / 2 + 1),
+        line(series, F.try_divide(base, y), 0),
+        line(F.lit(OPTIMAL), optimal, 1),
+        line(F.lit(HALF_OPTIMAL), (optimal - 1) / 2 + 1, 1),
     )
     points = explode_rows(bases, cols(axes.index), lines, "__line")
-    points = points.select(*cols(axes.index), F.col("__line.s").alias(axes.color), F.col("__line.v").alias(axes.y))
-    return points.groupBy(*cols(axes.index), col(axes.color)).agg(F.max(col(axes.y)).alias(axes.y))
+    points = points.select(*cols(axes.index), F.col("__line.s").alias(axes.color), F.col("__line.v").alias(axes.y), F.col("__line.guide").alias("__guide"))
+    # A guide has a row for each series; it wins over a series that has its name.
+    return points.groupBy(*cols(axes.index), col(axes.color)).agg(F.max_by(col(axes.y), F.col("__guide")).alias(axes.y))
 
 
 TRANSFORMATIONS: dict[str, Callable[..., DataFrame]] = {

@@ -36,9 +36,10 @@ preprocessor("capwords")(lambda df: df.withColumn("value", capitalise_words(F.co
 
 @preprocessor("run_facts")
 def _run_facts(df: DataFrame) -> DataFrame:
-    """Facts of typed reports, or of report documents in a ``value`` column."""
+    """Facts of typed reports, or of report documents in a ``value`` column, with every field of their runs and cases."""
     if df.columns == ["value"]:
-        df = runs.parse_reports(df.select(col("value").cast("string").alias("value")), "value")
+        texts = df.select(col("value").cast("string").alias("value"))
+        df = runs.parse_reports(texts, "value", runs.report_schema(*runs.discover_fields(texts, "value")))
     return runs.run_facts(df)
 
 
