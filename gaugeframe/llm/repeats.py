@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from gaugeframe.llm.common import BASE, body, flat, mix, powers, release, shuffle_partitions, slices, small_batches, store
 
-INDEXED_BYTES = 1 << 20
+INDEXED_BYTES = 1 << 17  # the sorts stay in the processor's cache
 MOST_PASSAGES = 4096
 BLOCK = 1 << 20
 OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
