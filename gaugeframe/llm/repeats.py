@@ -337,8 +337,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = 20
     occurrences = weighed.where(F.octet_length("text") >= window).mapInArrow(
         _anchor_rows(window, k), "anchor bigint, passage bigint, h1 bigint, h2 bigint, span bigint, weight bigint"
     )
-    often = occurrences.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
-    met = store(occurrences.join(often, "anchor"), "anchors")
+    often = store(occurrences.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"), "recurring")
+    met = store(occurrences.join(often, "anchor"), "anchors")  # a join that can split an anchor met very often
 
     distinct = met.groupBy("anchor", "passage").agg(F.sum("weight").alias("often"), F.min(F.struct("h1", "h2", "span")).alias("one"))
     distinct = store(distinct, "passages")
