@@ -103,13 +103,12 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     A group of fewer than ``LEAST_ROWS`` rows takes the merged sketch of its language,
     or of everything if that is small too.
     """
-    sketch = sketch.withColumn("all", F.lit(0))
-    groups = sketch.select("lang", "source", "all").distinct()
+    groups = sketch.select("lang", "source", "measure").distinct()
     levels = []
-    for i, keys in enumerate((["lang", "source"], ["lang"], ["all"])):
-        q = quartiles(sketch, keys).withColumnsRenamed({"rows": "n", "all": "a", "lang": "l", "source": "s"})
-        short = {"all": "a", "lang": "l", "source": "s"}
-        joined = groups.join(q, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(short[k])) for k in keys]))
+    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
+        q = quartiles(sketch, keys).withColumnsRenamed({"rows": "n", "measure": "m", "lang": "l", "source": "s"})
+        same = [F.col("measure") == F.col("m"), *[F.col(k).eqNullSafe(F.col(k[0])) for k in keys]]
+        joined = groups.join(q, reduce(lambda a, b: a & b, same))
         levels.append(joined.select("lang", "source", "measure", F.lit(i).alias("level"), "n", "q1", "q3"))
     every = reduce(DataFrame.union, levels)
     fits = (F.col("n") >= LEAST_ROWS) | (F.col("level") == 2)
