@@ -166,9 +166,13 @@ def exact_classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUN
     done = None
     while True:
         best = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("rid", "id"), rank).alias("best"))
-        labelled = rest.join(best, key).select(
-            "rid", "id", "sha", "chars", *key, "n", F.col("best.rid").alias("with_rid"), F.col("best.id").alias("keep_id")
-        )
+        shared = store(best.where("n > 1"), "shared")  # stored, so that the join can split a hot group
+        alone = F.col("n").isNull()
+        labelled = rest.join(shared, key, "left").select(
+            "rid", "id", "sha", "chars", *key, F.coalesce("n", F.lit(1).cast("bigint")).alias("n"),
+            F.when(alone, F.col("rid")).otherwise(F.col("best.rid")).alias("with_rid"),
+            F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
+        )
         pairs = store(labelled.where("n > 1 AND rid != with_rid").select("rid", "with_rid"), "pairs")
         differ = store(_unequal(numbered, pairs, chunk), "unequal")
         if done is None and not differ.take(1):
