@@ -55,6 +55,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _lead(led: np.ndarray, past: np.ndarray, value: np.ndarray, used: np.ndarray, g: np.ndarray, rate: float, penalty: float) -> None:
+    """A step of the regularized leader for the ``used`` entries, in place; they are zero up to the ``penalty``."""
+    grown = past[used] + g**2
+    led[used] += g - (np.sqrt(grown) - np.sqrt(past[used])) / rate * value[used]
+    past[used] = grown
+    pull = np.sign(led[used]) * penalty - led[used]
+    value[used] = np.where(np.abs(led[used]) <= penalty, 0, pull / ((1 + np.sqrt(grown)) / rate))
+
+
 def fit(
     index: np.ndarray,
     offsets: np.ndarray,
@@ -65,14 +74,17 @@ def fit(
     shrink: float = 1.0,
     share: float = 0.01,
     rate: float = 1.0,
+    rare_rate: float = 0.1,
     seed: int = 1,
 ) -> Model:
     """Logistic loss over shuffled blocks of rows.
 
     Weights follow the regularized leader with an absolute penalty of ``sparse`` times the
     root of the rows, so that terms without clear effect stay at zero, as the gradient
-    that chance adds to a term grows like that root. Factors, for terms in at least a
-    ``share`` of the rows, take AdaGrad steps and shrink by ``shrink`` over that root.
+    that chance adds to a term grows like that root. Factors of terms in at least a
+    ``share`` of the rows start at random, take AdaGrad steps and shrink by ``shrink`` over
+    that root. Those of rarer terms start at zero and follow the leader under the same
+    penalty as weights, at ``rare_rate``: by AdaGrad they learn single rows by heart.
     Terms in fewer than ``least`` rows are left out. Without rows the score is 0; with one
     class it is near that class's share.
     """
@@ -83,13 +95,14 @@ def fit(
         return Model(-40.0, weights, np.zeros((size, FACTORS)))
     sparse, shrink = sparse * len(label) ** 0.5, shrink / len(label) ** 0.5
     seen = np.bincount(index, minlength=size)
-    often, paired = seen >= least, seen >= max(least, share * len(label))
+    often, common = seen >= least, seen >= max(least, share * len(label))
     keep = often[index]
     offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
     index = index[keep]
-    factors = np.where(paired[:, None], rng.normal(0, 0.1, (size, FACTORS)), 0)
+    factors = np.where(common[:, None], rng.normal(0, 0.1, (size, FACTORS)), 0)
     bias = float(np.log((label.sum() + 0.5) / ((1 - label).sum() + 0.5)))
     led, past_w, past_v, past_b = np.zeros(size), np.zeros(size), np.full((size, FACTORS), 1e-2), 1e-2
+    led_v, past_r = np.zeros((size, FACTORS)), np.zeros((size, FACTORS))
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for block in np.array_split(order, max(1, len(label) // 256)):
@@ -100,17 +113,15 @@ def fit(
             error = sigmoid(logits(Model(bias, weights, factors), own, bounds)) - label[block]
             used, at = np.unique(own, return_inverse=True)
             g = np.bincount(at, error[row], len(used))
-            grown = past_w[used] + g**2
-            led[used] += g - (np.sqrt(grown) - np.sqrt(past_w[used])) / rate * weights[used]
-            past_w[used] = grown
-            pull = np.sign(led[used]) * sparse - led[used]
-            weights[used] = np.where(np.abs(led[used]) <= sparse, 0, pull / ((1 + np.sqrt(grown)) / rate))
+            _lead(led, past_w, weights, used, g, rate, sparse)
             summed = _row_sums(factors[own], bounds)
-            for f in range(FACTORS):
-                h = np.bincount(at, error[row] * (summed[row, f] - factors[own, f]), len(used)) / len(block)
-                h += shrink * factors[used, f]
-                past_v[used, f] += h**2
-                factors[used, f] -= paired[used] * 0.05 * h / np.sqrt(past_v[used, f])
+            pulls = [np.bincount(at, error[row] * (summed[row, f] - factors[own, f]), len(used)) for f in range(FACTORS)]
+            g, usual = np.stack(pulls, 1), common[used]
+            _lead(led_v, past_r, factors, used[~usual], g[~usual], rare_rate, sparse)
+            used = used[usual]
+            h = g[usual] / len(block) + shrink * factors[used]
+            past_v[used] += h**2
+            factors[used] -= 0.05 * h / np.sqrt(past_v[used])
             slope = float(error.mean())
             past_b += slope**2
             bias -= 0.05 * slope / past_b**0.5

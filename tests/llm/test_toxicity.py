@@ -23,6 +23,20 @@ def test_pairs_count_where_single_terms_do_not():
     assert ((tx.sigmoid(tx.logits(flat_model, index, offsets)) >= 0.5) == (np.array(label) > 0)).mean() < 0.8
 
 
+def test_rare_terms_take_part_in_pairs():
+    """A term in less than a hundredth of the rows turns what a usual one says into its opposite."""
+    rng = np.random.default_rng(0)
+    rows, label = [], []
+    for i in range(24000):
+        a, b = i % 120 == 0, bool(rng.integers(2))
+        rows.append(np.unique(np.concatenate([[1] * a, [2] * b, rng.integers(10, 40, 5)])).astype(np.int64))
+        label.append(float(a != b))
+    index, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = tx.fit(index, offsets, np.array(label), epochs=40)
+    right = (tx.sigmoid(tx.logits(model, index, offsets)) >= 0.5) == (np.array(label) > 0)
+    assert right[::120].mean() > 0.7 and right.mean() > 0.99
+
+
 def test_logits_are_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     model = tx.Model(0.3, rng.normal(size=1 << tx.BITS), rng.normal(size=(1 << tx.BITS, tx.FACTORS)))
