@@ -24,7 +24,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, so that a later step never repeats the work.
 
     The files outlive lost executors. The shuffle files of the finished step are
@@ -32,11 +32,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row as ``__rid``, stored.
+
+    The numbers follow the file splits, and those the cores of the moment: made anew
+    in a later job, they could name other rows.
+    """
+    return store(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered", "zstd")
+
+
 def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.llm.common import SPACE, body, flat, slices, small_batches, store
+from gaugeframe.llm.common import SPACE, body, flat, numbered, slices, small_batches, store
 
 CHUNK = 1 << 16
 # (modulus, base): primes below 2^31, so that a product of two residues fits 62 bits.
@@ -143,22 +143,25 @@ def exact_classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUN
     null counts as empty, and empty texts are equal. Of equal rows the one with the
     most code points in the original text stays, then the smallest id (null last), then the first
     read; of repeated rows exactly one stays. ``kept`` tells that row; other columns
-    are not read. An empty table gives none. ``docs`` must be a stored table, as its
-    rows are numbered twice.
+    are not read. An empty table gives none. ``docs`` is read once.
 
     Rows with the same length and fingerprints are compared chunk by chunk with the
     row that stays; those that differ form the next round, until none does.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
+    return _classes(numbered(docs.select(id_col, text_col)), id_col, text_col, chunk, fields)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
+    """:func:`exact_classes` of numbered rows."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
     names = [f"f{i}" for i in range(len(fields))]
     schema = T.StructType(
         [T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType)]
         + [T.StructField(n, T.LongType()) for n in ("chars", "size", *names)]
         + [T.StructField("sha", T.StringType())]
     )
-    described = numbered.select("rid", "id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(chunk, fields), schema)
+    described = rows.select("rid", "id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(chunk, fields), schema)
     rest = store(described, "fingerprints")
     key = ["size", *names]
     # The greatest rank stays; ``null_last`` puts a null id below every other.
@@ -174,7 +177,7 @@ def exact_classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUN
             F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         )
         pairs = store(labelled.where("n > 1 AND rid != with_rid").select("rid", "with_rid"), "pairs")
-        differ = store(_unequal(numbered, pairs, chunk), "unequal")
+        differ = store(_unequal(rows, pairs, chunk), "unequal")
         if done is None and not differ.take(1):
             sized = labelled
             break
@@ -197,5 +200,6 @@ def exact_classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUN
 
 def drop_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see :func:`exact_classes`."""
-    classes = exact_classes(docs, id_col, text_col).where("kept").select("__rid")
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(classes, "__rid", "left_semi").drop("__rid")
+    stored = numbered(docs)
+    classes = _classes(stored, id_col, text_col).where("kept").select("__rid")
+    return stored.join(classes, "__rid", "left_semi").drop("__rid")

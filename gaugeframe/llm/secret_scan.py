@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import body, store
+from gaugeframe.llm.common import body, numbered, store
 
 MOST_STRINGS = 64
 
@@ -139,9 +139,14 @@ def find_spans(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -
     Starts and ends count code points, the end is exclusive; matches of a kind are
     leftmost and do not overlap. Null counts as empty; null ids and repeated rows come
     out as they are; other columns are not read; an empty table gives none. ``docs``
-    must be a stored table, as its rows are numbered more than once.
+    is read once.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
+    return _spans(numbered(docs.select(id_col, text_col)), id_col, text_col, rules)
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> DataFrame:
+    """:func:`find_spans` of numbered rows."""
+    rows = docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     searched = rows.select("rid", "text")
     if queries:
@@ -174,7 +179,8 @@ def spelled(found: Column, rules: list[Rule]) -> Column:
 
 def redact(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule], mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``; each run of overlapping spans in a text is replaced by ``mark``."""
-    spans = find_spans(docs, id_col, text_col, rules).where(F.size("found") > 0).select("__rid", "found")
+    stored = numbered(docs)
+    spans = _spans(stored, id_col, text_col, rules).where(F.size("found") > 0).select("__rid", "found")
     text = F.col(text_col)
     kind = "struct<at:bigint,out:string>"
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -187,5 +193,5 @@ def redact(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule], mark:
     # The rest of the text is as long as the text at most.
     finish = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
     cleaned = F.when(F.col("__found").isNull(), text).otherwise(F.aggregate("__found", begin, step, finish))
-    joined = docs.withColumn("__rid", F.monotonically_increasing_id()).join(spans.withColumnRenamed("found", "__found"), "__rid", "left")
+    joined = stored.join(spans.withColumnRenamed("found", "__found"), "__rid", "left")
     return joined.withColumn(text_col, cleaned).select(*docs.columns)
