@@ -1,7 +1,7 @@
 """URL rules in a sorted digest array that executors memory-map.
 
 The rules are hashed with 64-bit xxhash and written by Spark as segment files in
-the order of the digest. Every executor fetches the segments once, maps them and
+the order of the digest. Every executor maps the segments in the shared folder and
 probes them with vectorised binary search, so pages are neither shuffled nor
 joined. A digest that is found counts only if the stored full string agrees.
 """
@@ -44,10 +44,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(rules: DataFrame, segment_rules: int = SEGMENT_RULES) -> list[str]:
-    """Write the digest array of ``rules`` (host, path, verdict) and hand its files to the executors.
+    """Write the digest array of ``rules`` (host, path, verdict) and name its files for the executors.
 
     Segments hold ``segment_rules`` rules on average, so no task and no file grows
-    with the list, and the list never passes through the driver. Hosts lose their
+    with the list. In a shared folder that is mounted (``file:``) executors map them in
+    place, and the list never passes through the driver; from another store each
+    executor and the driver fetch a copy. Hosts lose their
     case; null counts as empty; of contrary rules for one string, block wins.
     """
     spark = rules.sparkSession
@@ -71,9 +73,14 @@ def build_index(rules: DataFrame, segment_rules: int = SEGMENT_RULES) -> list[st
     # The text writer puts the bytes of a string out as they are, so this writes raw files; its line end comes last.
     packed.select(F.col("segment").cast("string").alias("value")).write.text(folder)
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path").collect()
+    names = []
     for row in files:
-        spark.sparkContext.addFile(row.path)
-    return [os.path.basename(row.path) for row in files]
+        if row.path.startswith("file:"):
+            names.append("/" + row.path.removeprefix("file:").lstrip("/"))
+        else:
+            spark.sparkContext.addFile(row.path)
+            names.append(os.path.basename(row.path))
+    return names
 
 
 class Segment:
@@ -103,7 +110,7 @@ class Segment:
 
 @functools.lru_cache(maxsize=64)
 def _segment(name: str) -> Segment:
-    return Segment(SparkFiles.get(name))
+    return Segment(name if os.path.isabs(name) else SparkFiles.get(name))
 
 
 def split_url(url: str | None) -> tuple[str, str]:

@@ -68,3 +68,13 @@ def test_equal_digests_need_equal_strings(spark, monkeypatch):
 
     found = Same(["a\x00/\x00allow", "b\x00/\x00block"]).probe(np.zeros(3, np.int64), [b"b\x00/", b"c\x00/", b"a\x00/"])
     assert found == {0: "block", 2: "allow"}
+
+
+def test_segments_stay_off_the_driver(spark):
+    """A segment handed to the context would be copied to the driver and served from there."""
+    before = set(spark.sparkContext.listFiles)
+    rules = spark.createDataFrame([("example.com", "/", "block")], uf.RULES)
+    pages = spark.createDataFrame([(1, "http://www.example.com/x"), (2, "http://example.org/")], "page_id bigint, url string")
+    got = uf.judge_urls(pages, rules, "page_id", "url")
+    assert sorted((r.page_id, r.verdict) for r in got.collect()) == [(1, "block"), (2, "allow")]
+    assert set(spark.sparkContext.listFiles) == before
