@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from gaugeframe.llm.common import Known, body, flat, gather, slices, small_batches
 
-CACHED_UNITS = 600_000
 ENCODED_BYTES = 4 << 20
 LONG_WORD = 2048
 # Fixed: Unicode white space, and the pre-tokens of the byte-level scheme.
@@ -68,7 +67,7 @@ class Bpe:
         marks = b"|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.mark = regex.compile(marks) if marks else None
         self.odd = regex.compile(WIDE_WHITE + (b"|" + marks if marks else b""))
-        self.known = Known(CACHED_UNITS)
+        self.known = Known()
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair by binary search, ``NONE`` if it never merges."""

@@ -84,11 +84,19 @@ def lengths(column: pa.Array) -> np.ndarray:
     return np.diff(flat(column)[1])
 
 
+KNOWN_BYTES = 96 << 20
+LONGEST_UNIT = 1 << 10
+UNIT_COST = 160  # bytes of one entry besides its unit and numbers
+
+
 class Known:
-    """Number sequences of units met before, in one array; the first ``most`` units stay."""
+    """Number sequences of units met before, in one array; units stay while they take up to ``most`` bytes.
 
-    def __init__(self, most: int):
-        self.most = most
+    Units over ``LONGEST_UNIT`` are never kept, so what a worker holds is bounded by bytes for any text.
+    """
+
+    def __init__(self, most: int = KNOWN_BYTES):
+        self.most, self.held = most, 0
         self.place: dict = {}
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -107,11 +115,21 @@ class Known:
             more, row = work_out(fresh)
             place[new] = len(sizes) + np.arange(len(new))
             sizes, pool = np.concatenate([sizes, more]), np.concatenate([pool, row])
-            if len(self.place) < self.most:
-                self.place.update(zip(fresh, place[new].tolist()))
-                self.sizes, self.pool = sizes, pool
+            self._keep(fresh, more, row)
         return (np.cumsum(sizes) - sizes)[place], sizes[place], pool
 
+    def _keep(self, fresh: list, more: np.ndarray, row: np.ndarray) -> None:
+        room = np.cumsum([len(u) + UNIT_COST if len(u) <= LONGEST_UNIT else 0 for u in fresh])
+        kept = [i for i, u in enumerate(fresh) if len(u) <= LONGEST_UNIT and self.held + room[i] <= self.most]
+        if not kept:
+            return
+        if len(kept) < len(fresh):
+            row, _ = gather((np.cumsum(more) - more)[kept], more[kept], row)
+            more = more[kept]
+        self.held += int(room[kept[-1]]) + 4 * len(row)
+        self.place.update(zip((fresh[i] for i in kept), range(len(self.sizes), len(self.sizes) + len(kept))))
+        self.sizes, self.pool = np.concatenate([self.sizes, more]), np.concatenate([self.pool, row])
+
 
 def gather(starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces of ``pool`` one after the other, and the n + 1 offsets."""

@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.llm.common import Known, body, gather, slices, small_batches, store
+from gaugeframe.llm.common import KNOWN_BYTES, Known, body, gather, slices, small_batches, store
 
-CACHED_WORDS = 500_000
 TOKENIZED_BYTES = 6 << 20
 RANKED_ROWS = 100_000
 
@@ -34,7 +33,7 @@ class WordEncoder:
     Texts are cut at white space and every distinct word is encoded once; the
     library does the encoding. Before that an ASCII word is put in lower case and a
     closing comma or full stop is cut off, as the tokenizer's own rules do, unless
-    the word may hold a special token. The first words met stay known.
+    the word may hold a special token. Words met stay known up to a number of bytes.
     """
 
     def __init__(self, path: str):
@@ -44,7 +43,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.parts = Known(CACHED_WORDS), Known(CACHED_WORDS)
+        self.words, self.parts = Known(KNOWN_BYTES // 2), Known(KNOWN_BYTES // 2)
 
     @staticmethod
     def cut(word: str) -> tuple[str, ...]:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from gaugeframe.catalogue.registry import Tables, query
-from gaugeframe.llm import bpe, exact_dedup, near_dedup, packing, quality, repeats, secret_scan, sharding, toxicity, url_filter
+from gaugeframe.llm import alignment, bpe, conversation_repair, decontamination, exact_dedup, near_dedup, packing, quality, repeats, secret_scan, sharding, toxicity, url_filter
 
 RULES = [
     ("com", "/", "allow"),
@@ -217,6 +217,55 @@ def op10_toxicity(tables: Tables):
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(tables: Tables):
+    path = public_tokenizers.path
+    return alignment.score_links(tables("documents"), "doc_id", "text", path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM item_windows) AS sizes ON len(w) >= n)),
+hits AS (SELECT doc_id, n, i, item_id FROM doc_windows JOIN item_windows USING (n, g)),
+words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hits) WHERE k IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
+@query("op12_decontamination", OP12_SQL)
+def op12_decontamination(tables: Tables):
+    found = decontamination.benchmark_hits(tables("documents"), "doc_id", "text", tables("benchmark"), "item_id", "text")
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(tables: Tables):
+    turns = tables("conversations")
+    repair = conversation_repair.Repair(conversation_repair.damaged(turns, "conv_id", "turn", "role", "text"))
+    return conversation_repair.summarize(turns, "conv_id", repair)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(tables: Tables):
     return corpus_pipeline.run(tables.spark, tables.folder)
