@@ -37,13 +37,22 @@ def store(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of each row as ``__rid``, stored.
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, stored, and the name of that column, which ``docs`` does not have.
 
     The numbers follow the file splits, and those the cores of the moment: made anew
     in a later job, they could name other rows.
     """
-    return store(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered", "zstd")
+    name = unused(docs, "rid")
+    return store(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", "zstd"), name
 
 
 def release(spark: SparkSession) -> None:
@@ -178,33 +187,78 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(terms, np.cumsum(size) - size) ^ size.astype(np.uint64))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct ``width``-word shingles of every text, and the n + 1 row offsets.
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word, mixed anew after each eight bytes, so that no pattern of letters makes words collide."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * BASE + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    live, at = np.arange(len(starts)), 0
+    while len(live):
+        left = size[live] - at
+        chunk = np.zeros(len(live), np.uint64)
+        for i in range(8):
+            byte = padded[starts[live] + at + i].astype(np.uint64) << np.uint64(8 * i)
+            chunk |= np.where(left > i, byte, np.uint64(0))
+        out[live] = mix((out[live] ^ chunk) * BASE + np.uint64(at + 1))
+        at += 8
+        live = live[left > 8]
+    return out
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of every word, equal for equal words only."""
+    size = ends - starts
+    place = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(data[place]))])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
-    A-Z count as a-z. A text of fewer words has its whole sequence as one
-    shingle; a text without words has none. Hashes are sorted within a row.
+
+def shingle_rows(data: np.ndarray, offsets: np.ndarray, width: int, of_words, join) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the distinct ``width``-word shingles of every text, sorted within a row, and the n + 1 row offsets.
+
+    A-Z count as a-z. A text of fewer words has its whole sequence as one shingle; a text without words has none.
+    ``of_words`` gives a value to every word, ``join`` one to a sequence of which one more word is known.
     """
-    rows = len(offsets) - 1
     data = LOWER[data]
-    starts, ends, _ = word_bounds(data, offsets)
-    hashes = word_hashes(data, starts, ends)
-    first = np.searchsorted(starts, offsets)
-    out, sizes = [], np.zeros(rows, np.int64)
-    windows = max(len(hashes) - width + 1, 0)
-    rolled = np.zeros(windows, np.uint64)
+    starts, ends, row = word_bounds(data, offsets)
+    words = of_words(data, starts, ends)
+    count = np.bincount(row, minlength=len(offsets) - 1)
+    first = np.cumsum(count) - count
+    size = np.where(count >= width, np.maximum(count - width + 1, 0), np.minimum(count, 1))
+    owner = np.repeat(np.arange(len(count)), size)
+    start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    left = np.minimum(count, width)[owner]  # words of each shingle
+    value = join(np.zeros(len(start), words.dtype), left.astype(words.dtype))
     for i in range(width):
-        rolled = mix(rolled * BASE + hashes[i : i + windows])
-    for row in range(rows):
-        a, b = int(first[row]), int(first[row + 1])
-        if b - a >= width:
-            own = np.unique(rolled[a : b - width + 1])
-        elif b > a:
-            short = np.full(1, b - a, np.uint64)
-            for i in range(a, b):
-                short = mix(short * BASE + hashes[i : i + 1])
-            own = short
-        else:
-            continue
-        out.append(own)
-        sizes[row] = len(own)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+        more = np.flatnonzero(left > i)
+        value = join(value, words[start[more] + i], more)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[: len(value)]
+    return value[fresh], np.concatenate([[0], np.cumsum(np.bincount(owner[fresh], minlength=len(count)))])
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct shingles of every text (see ``shingle_rows``)."""
+
+    def join(value: np.ndarray, word: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        if at is None:
+            return mix(value * BASE + word)
+        value[at] = mix(value[at] * BASE + word)
+        return value
+
+    return shingle_rows(data, offsets, width, word_digests, join)
+
+
+def exact_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of every text, equal for equal shingles of these texts only."""
+
+    def join(value: np.ndarray, word: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        both = (value if at is None else value[at]) << 32 | word
+        if at is None:
+            return np.unique(both, return_inverse=True)[1]
+        value[at] = len(value) + np.unique(both, return_inverse=True)[1]
+        return np.unique(value, return_inverse=True)[1]
+
+    return shingle_rows(data, offsets, width, word_numbers, join)

@@ -141,20 +141,21 @@ def exact_classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUN
 
     Texts are equal when identical after white space ``[\\x20\\x09-\\x0D]`` is deleted;
     null counts as empty, and empty texts are equal. Of equal rows the one with the
-    most code points in the original text stays, then the smallest id (null last), then the first
+    most code points in the original text stays, then the smallest id (of any type that has an order, null last), then the first
     read; of repeated rows exactly one stays. ``kept`` tells that row; other columns
     are not read. An empty table gives none. ``docs`` is read once.
 
     Rows with the same length and fingerprints are compared chunk by chunk with the
     row that stays; those that differ form the next round, until none does.
     """
-    return _classes(numbered(docs.select(id_col, text_col)), id_col, text_col, chunk, fields)
+    stored, rid = numbered(docs.select(id_col, text_col))
+    return _classes(stored, rid, id_col, text_col, chunk, fields).withColumnRenamed("id", id_col).drop("rid")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
-    """:func:`exact_classes` of numbered rows."""
+def _classes(docs: DataFrame, rid: str, id_col: str, text_col: str, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
+    """:func:`exact_classes` of numbered rows, with the number as ``rid`` and the id as ``id``."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
+    rows = docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
     names = [f"f{i}" for i in range(len(fields))]
     schema = T.StructType(
         [T.StructField("rid", T.LongType()), T.StructField("id", docs.schema[id_col].dataType)]
@@ -164,11 +165,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, fi
     described = rows.select("rid", "id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(chunk, fields), schema)
     rest = store(described, "fingerprints")
     key = ["size", *names]
-    # The greatest rank stays; ``null_last`` puts a null id below every other.
-    rank = F.struct("chars", F.col("id").isNotNull(), -F.col("id").cast("bigint"), -F.col("rid"))
+    # The least rank stays; a null id comes after every other.
+    rank = F.struct(-F.col("chars"), F.col("id").isNull(), "id", "rid")
     done = None
     while True:
-        best = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("rid", "id"), rank).alias("best"))
+        best = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("rid", "id"), rank).alias("best"))
         shared = store(best.where("n > 1"), "shared")  # stored, so that the join can split a hot group
         alone = F.col("n").isNull()
         labelled = rest.join(shared, key, "left").select(
@@ -189,17 +190,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, fi
             break
         rest = store(rest.join(differ, "rid"), "fingerprints")
     return sized.select(
-        F.col("id").alias(id_col),
+        "id",
         "keep_id",
         F.col("n").alias("group_size"),
         (F.col("rid") == F.col("with_rid")).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        F.col("rid").alias("__rid"),
+        "rid",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see :func:`exact_classes`."""
-    stored = numbered(docs)
-    classes = _classes(stored, id_col, text_col).where("kept").select("__rid")
-    return stored.join(classes, "__rid", "left_semi").drop("__rid")
+    stored, rid = numbered(docs)
+    classes = _classes(stored, rid, id_col, text_col).where("kept").select(F.col("rid").alias(rid))
+    return stored.join(classes, rid, "left_semi").drop(rid)

@@ -70,7 +70,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 @query("op4_exact_dedup", OP4_SQL)
 def op4_exact_dedup(tables: Tables):
-    return exact_dedup.exact_classes(tables("documents"), "doc_id", "text").drop("__rid")
+    return exact_dedup.exact_classes(tables("documents"), "doc_id", "text")
 
 
 OP5_SQL = r"""

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.llm.common import body, numbered, store
+from gaugeframe.llm.common import body, numbered, store, unused
 
 MOST_STRINGS = 64
 
@@ -134,19 +134,20 @@ def _numbered(hits: Column, number: int) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> DataFrame:
-    """Per row: ``__rid``, id and ``found``, the (start, kind number, end) of every match in order.
+    """Per row: id and ``found``, the (start, kind number, end) of every match in order.
 
     Starts and ends count code points, the end is exclusive; matches of a kind are
     leftmost and do not overlap. Null counts as empty; null ids and repeated rows come
     out as they are; other columns are not read; an empty table gives none. ``docs``
     is read once.
     """
-    return _spans(numbered(docs.select(id_col, text_col)), id_col, text_col, rules)
+    stored, rid = numbered(docs.select(id_col, text_col))
+    return _spans(stored, rid, id_col, text_col, rules).select(F.col("id").alias(id_col), "found")
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> DataFrame:
-    """:func:`find_spans` of numbered rows."""
-    rows = docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
+def _spans(docs: DataFrame, rid: str, id_col: str, text_col: str, rules: list[Rule]) -> DataFrame:
+    """:func:`find_spans` of numbered rows, with the number as ``rid`` and the id as ``id``."""
+    rows = docs.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), body(text_col).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     searched = rows.select("rid", "text")
     if queries:
@@ -168,7 +169,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule]) -> Da
     spans = good.groupBy("rid").agg(F.array_sort(F.collect_list("span")).alias("found"))  # bounded by the text
     joined = rows.select("rid", "id").join(spans, "rid", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return joined.select(F.col("rid").alias("__rid"), F.col("id").alias(id_col), F.coalesce("found", none).alias("found"))
+    return joined.select("rid", "id", F.coalesce("found", none).alias("found"))
 
 
 def spelled(found: Column, rules: list[Rule]) -> Column:
@@ -179,8 +180,9 @@ def spelled(found: Column, rules: list[Rule]) -> Column:
 
 def redact(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule], mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``; each run of overlapping spans in a text is replaced by ``mark``."""
-    stored = numbered(docs)
-    spans = _spans(stored, id_col, text_col, rules).where(F.size("found") > 0).select("__rid", "found")
+    stored, rid = numbered(docs)
+    found = unused(stored, "found")
+    spans = _spans(stored, rid, id_col, text_col, rules).where(F.size("found") > 0).select(F.col("rid").alias(rid), F.col("found").alias(found))
     text = F.col(text_col)
     kind = "struct<at:bigint,out:string>"
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -192,6 +194,6 @@ def redact(docs: DataFrame, id_col: str, text_col: str, rules: list[Rule], mark:
 
     # The rest of the text is as long as the text at most.
     finish = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    cleaned = F.when(F.col("__found").isNull(), text).otherwise(F.aggregate("__found", begin, step, finish))
-    joined = stored.join(spans.withColumnRenamed("found", "__found"), "__rid", "left")
+    cleaned = F.when(F.col(found).isNull(), text).otherwise(F.aggregate(found, begin, step, finish))
+    joined = stored.join(spans, rid, "left")
     return joined.withColumn(text_col, cleaned).select(*docs.columns)
