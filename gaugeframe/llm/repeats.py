@@ -106,7 +106,7 @@ def _anchor_rows(window: int, k: int):
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of all suffixes up to their separator, then by place, by doubling the sorted length.
+    """Order of all suffixes up to their separator, then by place, by doubling the sorted length of those that are still equal.
 
     ``left`` counts the symbols before the separator; symbols take 9 bits.
     """
@@ -115,19 +115,30 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     for i in range(7):
         key <<= 9
         key[: n - i] |= np.where(left[: n - i] >= i, symbols[i:], 0)
-    reach, classes = 7, 0
+    order = np.argsort(key)
+    ordered = key[order]
+    rank, tied = np.empty(n, np.int64), np.arange(n)
+    reach = 7
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        step = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if reach > left.max() or step[-1] == classes:
-            return np.argsort(rank, kind="stable")
-        classes = step[-1]
-        key = (rank + 1) * (n + 1)
-        key[: n - reach] += np.where(left[: n - reach] >= reach, rank[reach:] + 1, 0)
+        # A rank is the place of the first suffix of its group; only groups that are still equal and go on are sorted again.
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        heads = np.flatnonzero(fresh)
+        several = np.repeat(np.diff(np.append(heads, len(tied))) > 1, np.diff(np.append(heads, len(tied))))
+        rank[order[tied]] = tied[heads][np.cumsum(fresh) - 1]
+        tied = tied[several & (left[order[tied]] >= reach)]
+        if not len(tied):
+            break
+        at = order[tied]
+        key = rank[at] * (n + 1) + rank[np.minimum(at + reach, n - 1)] + 1
+        by = np.argsort(key)
+        order[tied], ordered = at[by], key[by]
         reach *= 2
+    # Equal up to their separators: by place.
+    ranks = rank[order]
+    same = ranks[1:] == ranks[:-1]
+    equal = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    order[equal] = order[equal][np.lexsort((order[equal], ranks[equal]))]
+    return order
 
 
 def common_prefix(words: np.ndarray, symbols: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -207,19 +218,15 @@ def _index_rows(window: int):
                     yield from answer(held)
                     held, size = [], 0
                 held.append((anchor, passage, np.frombuffer(piece, np.uint8), often > 1))
-                size += len(piece) * (1 + (often > 1))
+                size += len(piece)
         yield from answer(held)
 
     def answer(held) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        # A passage that occurs several times stands in the index twice.
-        texts, first = [], []
-        for _, _, piece, twice in held:
-            first.append(len(texts))
-            texts += [piece] * (1 + twice)
-        found = repeated_windows(texts, window)
-        marks = [_runs(found[i]) for i in first]
+        found = repeated_windows([piece for _, _, piece, _ in held], window)
+        # All windows of a passage that occurs several times do so too; in the index it stands once, for the others.
+        marks = [[0, len(piece) - window] if often else _runs(found[i]) for i, (_, _, piece, often) in enumerate(held)]
         kept = [i for i, m in enumerate(marks) if m]
         yield pa.RecordBatch.from_arrays(
             [pa.array([held[i][j] for i in kept], pa.int64()) for j in (0, 1)] + [pa.array([marks[i] for i in kept], pa.list_(pa.int32()))],

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -98,3 +99,14 @@ def test_index_finds_repeats():
                 count[t[i : i + window].tobytes()] = count.get(t[i : i + window].tobytes(), 0) + 1
         want = [[i for i in range(len(t) - window + 1) if count[t[i : i + window].tobytes()] > 1] for t in texts]
         assert [list(x) for x in repeats.repeated_windows(texts, window)] == want
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_suffix_order_is_that_of_the_strings(seed):
+    draw = random.Random(seed)
+    parts = [[draw.randint(1, 2 + seed % 3) for _ in range(draw.randrange(0, 60))] for _ in range(draw.randrange(1, 8))] + [[1] * 30]
+    parts += parts[:2]
+    symbols = np.array([x for p in parts for x in (*p, 0)])
+    left = np.array([len(p) - i for p in parts for i in range(len(p) + 1)])
+    want = sorted(range(len(symbols)), key=lambda i: (symbols[i : i + left[i]].tolist(), i))
+    assert repeats.suffix_order(symbols, left).tolist() == want
