@@ -14,8 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, explode_rows
-from gaugeframe.operators.columns import flatten_document
+from gaugeframe.functions.columns import col, cols, explode_rows, variant_text
 
 DEFAULT_UNITS = {"*": "s"}
 # A csv cell that is a number, and a text Python reads as a float.
@@ -109,14 +108,67 @@ def tsv_metrics(
     return _finish(fields, keys, F.get("__header", F.col("__i")), F.col("__field"), stage, None, units)
 
 
-def _under_path(parts: Column, path: str) -> tuple[Column, Column]:
-    """Whether the parts of a flattened name lie under a wildcard path, and the metric name they give."""
-    steps = path.split(".")
-    at = lambda i: F.get(parts, F.lit(i))
-    fits = reduce(lambda a, b: a & b, [at(i) == step for i, step in enumerate(steps) if step != "*"], F.size(parts) >= len(steps))
-    naming = [i for i, step in enumerate(steps) if step == "*"] or [len(steps) - 1]
-    inner = F.when(F.size(parts) > len(steps), F.array_join(F.slice(parts, F.lit(len(steps) + 1), F.size(parts)), "."))
-    return fits, F.concat_ws(".", *map(at, naming), inner)
+_FOUND = "array<struct<order:int,name:string,node:variant>>"
+MOST_NESTING = 1000  # what the JSON parser takes
+
+
+def _path_tree(paths: Sequence[str]) -> dict:
+    """Steps shared by several paths once: step -> tree, and under None the (order, literal name) of paths that end there."""
+    tree: dict = {}
+    for order, path in enumerate(paths):
+        at = tree
+        steps = path.split(".")
+        for step in steps:
+            at = at.setdefault(step, {})
+        at.setdefault(None, []).append((order, None if "*" in steps else steps[-1]))
+    return tree
+
+
+def _walk(tree: dict, node: Column, name: Column, at: str) -> Column:
+    """What the paths of a tree find below a node, as (order, name, node); a step that isn't there fails."""
+    def under(below: dict, place: str, value, key):
+        """The paths of the tree below, for a node and the name so far."""
+        return lambda one: _walk(below, value(one), key(one), place)
+
+    fields = node.try_cast("map<string,variant>")
+    found = []
+    for step, below in tree.items():
+        if step is None:
+            for order, own in below:
+                named = name if own is None else F.lit(own)
+                found.append(F.array(F.struct(F.lit(order).alias("order"), named.alias("name"), node.alias("node"))))
+            continue
+        place = f"{at}.{step}" if at else step
+        if step == "*":
+            missing = F.raise_error(F.lit(f"no object under the metric path {place}")).cast("map<string,variant>")
+            named = lambda entry: F.when(name == "", entry["key"]).otherwise(F.concat(name, F.lit("."), entry["key"]))
+            entries = F.map_entries(F.coalesce(fields, missing))
+            found.append(F.flatten(F.transform(entries, under(below, place, lambda entry: entry["value"], named))))
+        else:
+            plain = not set(step) & set("\"\\'[]")
+            child = F.try_variant_get(node, f'$["{step}"]', "variant") if plain else F.try_element_at(fields, F.lit(step))
+            missing = F.raise_error(F.lit(f"metric path {place} not found")).cast("variant")
+            one = F.array(F.coalesce(child, missing))
+            found.append(F.flatten(F.transform(one, under(below, place, lambda own: own, lambda _: name))))
+    return (found[0] if len(found) == 1 else F.concat(*found)).cast(_FOUND)
+
+
+def _spread_out(found: Column, most: Column) -> Column:
+    """The scalars below the found nodes, named by the keys and list positions on the way, level by level while any is left."""
+    fields = lambda e: e["node"].try_cast("map<string,variant>")
+    items = lambda e: e["node"].try_cast("array<variant>")
+    entry = lambda e, step, node: F.struct(e["order"].alias("order"), F.concat(e["name"], F.lit("."), step).alias("name"), node.alias("node"))
+    parts = lambda e: (
+        F.when(fields(e).isNotNull(), F.transform(F.map_entries(fields(e)), lambda f: entry(e, f["key"], f["value"])))
+        .when(items(e).isNotNull(), F.transform(items(e), lambda v, i: entry(e, i.cast("string"), v)))
+        .otherwise(F.array(e))
+        .cast(_FOUND)
+    )
+    nested = lambda found: F.exists(found, lambda e: fields(e).isNotNull() | items(e).isNotNull())
+    state = f"struct<open:boolean,found:{_FOUND}>"
+    pack = lambda found: F.transform(F.array(found), lambda one: F.struct(nested(one).alias("open"), one.alias("found")))[0].cast(state)
+    step = lambda acc, _: F.when(acc["open"], pack(F.flatten(F.transform(acc["found"], parts)).cast(_FOUND))).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(0), most), pack(found), step, lambda acc: acc["found"])
 
 
 def json_metrics(
@@ -126,32 +178,42 @@ def json_metrics(
     paths: Sequence[str],
     stage: str | None = None,
     units: Mapping[str, str] = DEFAULT_UNITS,
-    depth: int | None = None,
 ) -> DataFrame:
     """Values under wildcard paths ``a.*.b``.
 
     The name joins what each ``*`` stands for; without a wildcard it is the last
-    key. An object under the path adds its inner names. A later path replaces a
-    metric of the same name. A JSON text is a text, also if it looks like a number.
+    key. An object or list under the path adds its inner names. A later path replaces a
+    metric of the same name. A JSON text is a text, also if it looks like a number. A key of a
+    path that a document doesn't have, or a ``*`` on something else than an object, fails the query; a
+    document that is null gives no rows. Paths are walked together, so the rest of a document is
+    never looked at; it is one projection and one generator, without a shuffle, for any depth.
     """
     separator = "\x1f"
-    flat = flatten_document(documents, document, keys, separator=separator, depth=depth, kinds=True)
+    is_text = documents.schema[document].dataType.typeName() == "string"
+    text = col(document) if is_text else F.to_json(col(document))
+    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+    node = F.parse_json(col(document)) if is_text else col(document)
+    read = documents.where(col(document).isNotNull()).select(*cols(keys), node.alias("__node"), F.least(brackets, F.lit(MOST_NESTING)).alias("__most"))
+    found = _spread_out(_walk(_path_tree(paths), F.col("__node"), F.lit(""), ""), F.col("__most"))
+    # By name, the last path last: what the next entry repeats is replaced.
+    sized = read.select(*cols(keys), (F.array_sort(found, _by_name) if len(paths) > 1 else found).alias("__found"))
+    nxt = lambda i: F.get(F.col("__found"), i + 1)["name"]
+    last = F.filter("__found", lambda e, i: ~nxt(i).eqNullSafe(e["name"])) if len(paths) > 1 else F.col("__found")
+    rows = explode_rows(sized, cols(keys), last, "m")
+    kind = F.schema_of_variant("m.node")
     # The kind goes with the value: a mark that no number has stands before a text.
-    value = F.when(F.col("kind") == "STRING", F.concat(F.lit(separator), F.col("value"))).otherwise(F.col("value"))
-    split = flat.select(*cols(keys), value.alias("value"), F.split("path", separator).alias("__parts"))
-    found = [_under_path(F.col("__parts"), path) for path in paths]
-    if len(paths) == 1:
-        rows = split.where(found[0][0]).select(*cols(keys), found[0][1].alias("__name"), "value")
-    else:
-        named = [F.when(fits, F.struct(F.lit(i).alias("order"), n.alias("name"))) for i, (fits, n) in enumerate(found)]
-        matched = explode_rows(split, cols([*keys, "value"]), F.array_compact(F.array(*named)), "m")
-        rows = matched.groupBy(*cols(keys), F.col("m.name").alias("__name")).agg(
-            F.max_by("value", F.col("m.order")).alias("value")
-        )
-    done = _finish(rows, keys, F.col("__name"), F.col("value"), stage, None, units)
+    plain = variant_text(F.col("m.node"))
+    value = F.when(kind == "STRING", F.concat(F.lit(separator), plain)).otherwise(plain)
+    done = _finish(rows.select(*cols(keys), F.col("m.name").alias("__name"), value.alias("value")), keys, F.col("__name"), F.col("value"), stage, None, units)
     return done.withColumn("value_str", F.regexp_replace("value_str", f"^{separator}", ""))
 
 
+def _by_name(x: Column, y: Column) -> Column:
+    less = (x["name"] < y["name"]) | ((x["name"] == y["name"]) & (x["order"] < y["order"]))
+    same = (x["name"] == y["name"]) & (x["order"] == y["order"])
+    return F.when(less, -1).when(same, 0).otherwise(1)
+
+
 def regex_metrics(
     files: DataFrame,
     text: str,

@@ -89,6 +89,32 @@ def test_json_paths(spark, paths, want):
     assert named(metrics.json_metrics(files(spark, DOCUMENT), "text", ["id"], paths)) == want
 
 
+@pytest.mark.parametrize("path", ["field3", "field2.nothing", "hardware.*.disk", "field1.*", "hardware.*.mem.free.host", "field1.x"])
+def test_an_absent_json_path_fails(spark, path):
+    with pytest.raises(Exception, match="metric path"):
+        metrics.json_metrics(files(spark, DOCUMENT), "text", ["id"], ["field1", path]).collect()
+
+
+def test_json_keys_nulls_lists_and_depth(spark):
+    deep = "".join(f'{{"k{i}":' for i in range(40)) + "7" + "}" * 40
+    text = '{"a b":{"x\'y":[{"p":null},[],{},true,"t"],"[q]":1},"none":null,"deep":%s}' % deep
+    got = metrics.json_metrics(files(spark, text), "text", ["id"], ["a b.*", "a b.[q]", "none", "deep"]).collect()
+    rows = {r.name: (r.value, r.value_str) for r in got}
+    assert rows == {
+        "x'y.0.p": (None, None), "x'y.3": (None, "True"), "x'y.4": (None, "t"), "[q]": (1.0, None), "none": (None, None),
+        "deep." + ".".join(f"k{i}" for i in range(40)): (7.0, None),
+    }
+
+
+def test_json_walk_reads_paths_only(spark):
+    """One projection and one generator; nothing runs while the plan is built."""
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = metrics.json_metrics(files(spark, DOCUMENT), "text", ["id"], ["hardware.*.mem.*", "field1"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == len(before)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and "Exchange" not in plan
+
+
 def test_last_stage_wins(spark):
     first = metrics.csv_metrics(files(spark, "a,b\n1,x"), "text", ["id"])
     second = metrics.csv_metrics(files(spark, "b\n2"), "text", ["id"])
