@@ -386,8 +386,32 @@ def deep_merge(t: Tables) -> DataFrame:
         '{"type":"%s","props":%s,"seen":%s}', "event_type", "props", F.coalesce(seen, F.lit("{}"))
     )
     documents = t("events").select("user_id", "event_id", doc.alias("doc"))
-    paths = columns.flatten_document(documents, "doc", ["user_id", "event_id"])
-    return sets.merge_paths(paths, ["user_id"], "path", "value", "event_id")
+    return sets.merge_documents(documents, "doc", ["user_id"], "event_id").where("kind = 'scalar'").select("user_id", "path", "value")
+
+
+@query(
+    "deep_merge_documents",
+    """WITH e AS (SELECT user_id, event_id, event_type AS t, json_extract_string(props, '$.k') AS k FROM events),
+       c AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id),
+       items AS (SELECT user_id, event_id, 0 AS i, '{"k":' || k || ',"type":"' || t || '"}' AS value FROM e
+         UNION ALL SELECT user_id, event_id, 1, '{"k":' || k || ',"type":"' || t || '"}' FROM e UNION ALL SELECT user_id, event_id, 2, t FROM e),
+       firsts AS (SELECT * FROM (SELECT items.*, n, row_number() OVER (PARTITION BY items.user_id, value ORDER BY event_id, i) AS r
+         FROM items JOIN c ON items.user_id = c.user_id) WHERE r = 1 OR n = 1)
+       SELECT user_id, 'tags' AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id, i) - 1 AS position, value, 'list' AS kind FROM firsts
+       UNION ALL SELECT user_id, 'flag', NULL, arg_max(CASE WHEN t = 'signup' THEN '7' ELSE '0' END, event_id), 'scalar' FROM e GROUP BY user_id
+       UNION ALL SELECT user_id, 'in.void', NULL, CASE WHEN bool_or(t = 'signup') THEN '5' ELSE '0' END, 'scalar' FROM e GROUP BY user_id
+       UNION ALL SELECT user_id, 'in.hollow', NULL, '{}', 'object' FROM e GROUP BY user_id
+       UNION ALL SELECT user_id, 'list', NULL, '[]', 'list' FROM e GROUP BY user_id""",
+)
+def deep_merge_documents(t: Tables) -> DataFrame:
+    """Lists of objects make one list whatever the order of keys; the text ``0`` replaces, the number, ``{}`` and ``[]`` don't."""
+    signup = F.col("event_type") == "signup"
+    k = F.get_json_object("props", "$.k")
+    doc = F.format_string(
+        '{"tags":[{"type":"%s","k":%s},{"k":%s,"type":"%s"},"%s"],"flag":%s,"in":{"void":%s,"hollow":{}},"list":[]}',
+        "event_type", k, k, "event_type", "event_type", F.when(signup, "7").otherwise('"0"'), F.when(signup, "5").otherwise("0"),
+    )
+    return sets.merge_documents(t("events").select("user_id", "event_id", doc.alias("doc")), "doc", ["user_id"], "event_id")
 
 
 @query(

@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, require_columns, variant_text
+from gaugeframe.functions.columns import col, cols, explode_rows, require_columns, variant_text
+from gaugeframe.functions.nested import entry, nesting_bound, unfold
 
 
 def computed_columns(df: DataFrame, expressions: Mapping[str, str]) -> DataFrame:
@@ -52,20 +53,6 @@ def attach_constant(df: DataFrame, name: str, value: Any) -> DataFrame:
     return df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
 
 
-# Fixed value: a JSON string.
-_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-
-
-def nesting(text: Column) -> Column:
-    """Levels of lists and objects of a JSON text: how often the innermost empty brackets can be taken out."""
-    brackets = F.regexp_replace(F.regexp_replace(text, _JSON_STRING, ""), r"[^\[\]{}]+", "")
-    start = F.struct(brackets.alias("left"), F.lit(0).alias("depth"))
-    step = lambda acc, _: F.when(acc["left"] == "", acc).otherwise(
-        F.struct(F.regexp_replace(acc["left"], r"\[\]|\{\}", "").alias("left"), (acc["depth"] + 1).alias("depth"))
-    )
-    return F.aggregate(F.sequence(F.lit(1), (F.length(brackets) / 2).cast("int") + 1), start, step, lambda acc: acc["depth"])
-
-
 def flatten_document(
     df: DataFrame,
     document: str,
@@ -77,29 +64,17 @@ def flatten_document(
 ) -> DataFrame:
     """One ``(keys, path, value)`` row per scalar of a JSON document, with its ``kind`` on demand.
 
-    List items are named by their index; empty lists and objects give no row. The walk
-    is unrolled as generators of one stage, with no shuffle. How far is taken from
-    the data by one pass for the deepest document, unless ``depth`` is given; then
-    deeper input fails instead of being cut.
+    List items are named by their index; empty lists and objects give no row. The walk is one
+    expression and one generator, for any depth and for streams too; no job runs while the plan is
+    built. With ``depth``, deeper input fails.
     """
-    spark = df.sparkSession
     is_text = df.schema[document].dataType.typeName() == "string"
-    if depth is None:
-        depth = df.select(F.max(nesting(col(document) if is_text else F.to_json(col(document))))).first()[0] or 0
     node = F.parse_json(col(document)) if is_text else col(document)
-    rows = df.select(*cols(keys), F.lit(parent).alias("path"), node.alias("__node"))
-    for _ in range(depth):
-        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        path = F.when(F.col("path") == "", step).otherwise(F.concat(F.col("path"), F.lit(separator), step))
-        rows = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("__node").outer())).select(
-            *cols(keys),
-            F.coalesce(path, F.col("path")).alias("path"),
-            F.coalesce(F.col("value"), F.col("__node")).alias("__node"),
-        )
-    kinds_of = rows.withColumn("__kind", F.schema_of_variant("__node")).where(F.col("path") != parent)
-    nested = F.col("__kind").startswith("OBJECT<") | F.col("__kind").startswith("ARRAY<")
-    hollow = F.col("__kind").isin("OBJECT<>", "ARRAY<>", "ARRAY<VOID>")
-    full = ~hollow | F.try_variant_get("__node", "$[0]", "variant").isNotNull()
-    too_deep = F.raise_error(F.concat(F.lit(f"document deeper than {depth} levels at "), F.col("path")))
-    value = F.when(nested, too_deep).otherwise(variant_text(F.col("__node")))
-    return kinds_of.where(full).select(*cols(keys), "path", value.alias("value"), *([F.col("__kind").alias("kind")] if kinds else []))
+    most = nesting_bound(col(document) if is_text else F.to_json(col(document)))
+    read = df.select(*cols(keys), node.alias("__node"), (most if depth is None else F.lit(depth)).alias("__most"))
+    step = lambda path, part: F.when(path == "", part).otherwise(F.concat(path, F.lit(separator), part))
+    deep = None if depth is None else F.lit(f"document deeper than {depth} levels")
+    found = unfold(F.array(entry(F.lit(0), F.lit(parent), F.col("__node"))), F.col("__most"), step, step, too_deep=deep)
+    rows = explode_rows(read, cols(keys), found, "m").where(F.col("m.path") != parent)
+    extra = [F.schema_of_variant("m.node").alias("kind")] if kinds else []
+    return rows.select(*cols(keys), F.col("m.path").alias("path"), variant_text(F.col("m.node")).alias("value"), *extra)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.columns import col, cols, explode_rows, variant_text
+from gaugeframe.functions.nested import FOUND, entry, fields_of, nesting_bound, unfold
 
 DEFAULT_UNITS = {"*": "s"}
 # A csv cell that is a number, and a text Python reads as a float.
@@ -108,10 +109,6 @@ def tsv_metrics(
     return _finish(fields, keys, F.get("__header", F.col("__i")), F.col("__field"), stage, None, units)
 
 
-_FOUND = "array<struct<order:int,name:string,node:variant>>"
-MOST_NESTING = 1000  # what the JSON parser takes
-
-
 def _path_tree(paths: Sequence[str]) -> dict:
     """Steps shared by several paths once: step -> tree, and under None the (order, literal name) of paths that end there."""
     tree: dict = {}
@@ -125,18 +122,18 @@ def _path_tree(paths: Sequence[str]) -> dict:
 
 
 def _walk(tree: dict, node: Column, name: Column, at: str) -> Column:
-    """What the paths of a tree find below a node, as (order, name, node); a step that isn't there fails."""
+    """What the paths of a tree find below a node, with the order of the path as tag and the metric name as path; a step that isn't there fails."""
     def under(below: dict, place: str, value, key):
         """The paths of the tree below, for a node and the name so far."""
         return lambda one: _walk(below, value(one), key(one), place)
 
-    fields = node.try_cast("map<string,variant>")
+    fields = fields_of(node)
     found = []
     for step, below in tree.items():
         if step is None:
             for order, own in below:
                 named = name if own is None else F.lit(own)
-                found.append(F.array(F.struct(F.lit(order).alias("order"), named.alias("name"), node.alias("node"))))
+                found.append(F.array(entry(F.lit(order), named, node)))
             continue
         place = f"{at}.{step}" if at else step
         if step == "*":
@@ -150,25 +147,7 @@ def _walk(tree: dict, node: Column, name: Column, at: str) -> Column:
             missing = F.raise_error(F.lit(f"metric path {place} not found")).cast("variant")
             one = F.array(F.coalesce(child, missing))
             found.append(F.flatten(F.transform(one, under(below, place, lambda own: own, lambda _: name))))
-    return (found[0] if len(found) == 1 else F.concat(*found)).cast(_FOUND)
-
-
-def _spread_out(found: Column, most: Column) -> Column:
-    """The scalars below the found nodes, named by the keys and list positions on the way, level by level while any is left."""
-    fields = lambda e: e["node"].try_cast("map<string,variant>")
-    items = lambda e: e["node"].try_cast("array<variant>")
-    entry = lambda e, step, node: F.struct(e["order"].alias("order"), F.concat(e["name"], F.lit("."), step).alias("name"), node.alias("node"))
-    parts = lambda e: (
-        F.when(fields(e).isNotNull(), F.transform(F.map_entries(fields(e)), lambda f: entry(e, f["key"], f["value"])))
-        .when(items(e).isNotNull(), F.transform(items(e), lambda v, i: entry(e, i.cast("string"), v)))
-        .otherwise(F.array(e))
-        .cast(_FOUND)
-    )
-    nested = lambda found: F.exists(found, lambda e: fields(e).isNotNull() | items(e).isNotNull())
-    state = f"struct<open:boolean,found:{_FOUND}>"
-    pack = lambda found: F.transform(F.array(found), lambda one: F.struct(nested(one).alias("open"), one.alias("found")))[0].cast(state)
-    step = lambda acc, _: F.when(acc["open"], pack(F.flatten(F.transform(acc["found"], parts)).cast(_FOUND))).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(0), most), pack(found), step, lambda acc: acc["found"])
+    return (found[0] if len(found) == 1 else F.concat(*found)).cast(FOUND)
 
 
 def json_metrics(
@@ -191,26 +170,26 @@ def json_metrics(
     separator = "\x1f"
     is_text = documents.schema[document].dataType.typeName() == "string"
     text = col(document) if is_text else F.to_json(col(document))
-    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
     node = F.parse_json(col(document)) if is_text else col(document)
-    read = documents.where(col(document).isNotNull()).select(*cols(keys), node.alias("__node"), F.least(brackets, F.lit(MOST_NESTING)).alias("__most"))
-    found = _spread_out(_walk(_path_tree(paths), F.col("__node"), F.lit(""), ""), F.col("__most"))
+    read = documents.where(col(document).isNotNull()).select(*cols(keys), node.alias("__node"), nesting_bound(text).alias("__most"))
+    step = lambda path, part: F.concat(path, F.lit("."), part)
+    found = unfold(_walk(_path_tree(paths), F.col("__node"), F.lit(""), ""), F.col("__most"), step, step)
     # By name, the last path last: what the next entry repeats is replaced.
     sized = read.select(*cols(keys), (F.array_sort(found, _by_name) if len(paths) > 1 else found).alias("__found"))
-    nxt = lambda i: F.get(F.col("__found"), i + 1)["name"]
-    last = F.filter("__found", lambda e, i: ~nxt(i).eqNullSafe(e["name"])) if len(paths) > 1 else F.col("__found")
+    nxt = lambda i: F.get(F.col("__found"), i + 1)["path"]
+    last = F.filter("__found", lambda e, i: ~nxt(i).eqNullSafe(e["path"])) if len(paths) > 1 else F.col("__found")
     rows = explode_rows(sized, cols(keys), last, "m")
     kind = F.schema_of_variant("m.node")
     # The kind goes with the value: a mark that no number has stands before a text.
     plain = variant_text(F.col("m.node"))
     value = F.when(kind == "STRING", F.concat(F.lit(separator), plain)).otherwise(plain)
-    done = _finish(rows.select(*cols(keys), F.col("m.name").alias("__name"), value.alias("value")), keys, F.col("__name"), F.col("value"), stage, None, units)
+    done = _finish(rows.select(*cols(keys), F.col("m.path").alias("__name"), value.alias("value")), keys, F.col("__name"), F.col("value"), stage, None, units)
     return done.withColumn("value_str", F.regexp_replace("value_str", f"^{separator}", ""))
 
 
 def _by_name(x: Column, y: Column) -> Column:
-    less = (x["name"] < y["name"]) | ((x["name"] == y["name"]) & (x["order"] < y["order"]))
-    same = (x["name"] == y["name"]) & (x["order"] == y["order"])
+    less = (x["path"] < y["path"]) | ((x["path"] == y["path"]) & (x["tag"] < y["tag"]))
+    same = (x["path"] == y["path"]) & (x["tag"] == y["tag"])
     return F.when(less, -1).when(same, 0).otherwise(1)
 
 

@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,20 +148,78 @@ def test_select_leaves(spark):
     assert pick("m1", "all", "all") == ["m1-a-2024", "m1-b-2025"]
 
 
-def _merge(spark, *documents, keep_empty=False):
-    df = spark.createDataFrame(list(enumerate(documents)), "n int, doc string").withColumn("k", F.lit(0))
-    flat = columns.flatten_document(df, "doc", ["k", "n"])
-    merged = sets.merge_paths(flat, ["k"], "path", "value", "n", keep_empty)
-    return {r.path: r.value for r in merged.collect()}
-
-
-def test_deep_merge(spark):
-    assert _merge(spark, '{"a":{"b":1},"c":1}', '{"a":{"d":2},"c":3}') == {"a.b": "1", "a.d": "2", "c": "3"}
-    assert _merge(spark, '{"a":{"b":1}}', '{"a":5}') == {"a": "5"}
-    assert _merge(spark, '{"a":5}', '{"a":{"b":1}}') == {"a.b": "1"}
-    assert _merge(spark, '{"a":{"b":1}}', '{"a":""}') == {"a.b": "1"}
-    assert _merge(spark, '{"a":7}', '{"a":""}') == {"a": "7"}
-    assert _merge(spark, '{"a":7}', '{"a":""}', keep_empty=True) == {"a": ""}
+def _fold(documents, keep_empty):
+    """The rules one document after the other."""
+
+    def merge(a, b):
+        out = dict(a)
+        for key, value in b.items():
+            if key in out and not keep_empty and not value:
+                continue
+            if key in out and isinstance(out[key], dict) and isinstance(value, dict):
+                out[key] = merge(out[key], value)
+            elif key in out and isinstance(out[key], list) and isinstance(value, list) and not keep_empty:
+                both = out[key] + value
+                out[key] = [x for i, x in enumerate(both) if x not in both[:i]]
+            else:
+                out[key] = value
+        return out
+
+    whole = {}
+    for document in documents:
+        whole = merge(whole, document)
+    return whole
+
+
+def _rows_of(value, path=""):
+    """(path, position) -> value as the merge shows it."""
+    if isinstance(value, dict) and value or path == "":
+        return {k: v for name, x in value.items() for k, v in _rows_of(x, f"{path}.{name}" if path else name).items()}
+    show = lambda x: "null" if x is None else x if isinstance(x, str) else json.dumps(x, sort_keys=True)
+    if isinstance(value, list) and value:
+        return {(path, i): show(x) for i, x in enumerate(value)}
+    return {(path, None): show(value)}
+
+
+def _merged(spark, cases, keep_empty):
+    rows = [(k, n, json.dumps(d)) for k, docs in enumerate(cases) for n, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "k int, n int, doc string")
+    out = {k: {} for k in range(len(cases))}
+    for r in sets.merge_documents(df, "doc", ["k"], "n", keep_empty).collect():
+        text = "null" if r.value is None else r.value
+        if text[:1] in ("[", "{"):
+            text = json.dumps(json.loads(text), sort_keys=True)
+        out[r.k][r.path, r.position] = text.lower() if text in ("True", "False") else text
+    return out
+
+
+def _made_documents(seed):
+    draw = random.Random(seed)
+    scalars = [0, 1, 2.5, "", "0", "x", True, False, None]
+
+    def value(depth):
+        kind = draw.random()
+        if kind < 0.35 and depth:
+            return {draw.choice("abc"): value(depth - 1) for _ in range(draw.randrange(0, 3))}
+        if kind < 0.6:
+            return [draw.choice([*scalars, {"p": 1, "q": [1]}, {"q": [1], "p": 1}, {"q": []}, [], [1, 2], {}]) for _ in range(draw.randrange(0, 4))]
+        return draw.choice(scalars)
+
+    return [{draw.choice("abc"): value(3) for _ in range(draw.randrange(1, 3))} for _ in range(draw.randrange(1, 7))]
+
+
+@pytest.mark.parametrize("keep_empty", [False, True])
+def test_merged_documents_equal_the_fold(spark, keep_empty):
+    named = [
+        [{"a": {"b": 1}, "c": 1}, {"a": {"d": 2}, "c": 3}], [{"a": {"b": 1}}, {"a": 5}], [{"a": 5}, {"a": {"b": 1}}], [{"a": {"b": 1}}, {"a": ""}],
+        [{"a": 7}, {"a": ""}], [{"a": 7}, {"a": "0"}], [{"l": ["a", "b"]}, {"l": ["b", "c"]}], [{"l": [1, 1]}], [{"l": [1, 1]}, {"l": []}], [{"l": [1, True]}, {"l": [1.0, 2]}],
+        [{"l": [{"x": 1, "y": [1, {}]}]}, {"l": [{"y": [1, {}], "x": 1}, {"x": 2}]}], [{"a": {}}, {"a": {"b": {}}}], [{"a": 5}, {"a": {"b": 0}}], [{"a": None}, {"a": 0}],
+        [{"l": [1]}, {"l": 3}, {"l": [2, 2]}], [{"l": [1]}, {"l": {"x": [5]}}, {"l": {"x": [6, 5]}}], [{"a": {"b": 1}}, {"a": 5}, {"a": {}}],
+    ]
+    cases = named + [_made_documents(seed) for seed in range(120)]
+    got = _merged(spark, cases, keep_empty)
+    for k, documents in enumerate(cases):
+        assert got[k] == _rows_of(_fold(documents, keep_empty)), documents
 
 
 def test_flatten_document(spark):
