@@ -70,19 +70,20 @@ def run_facts(t: Tables) -> DataFrame:
     return order_facts(t).drop("params")
 
 
-@query("metric_key_split", f"SELECT leaf, system, partition, perfvalue FROM {ORDER_FACTS} WHERE unit IS NOT NULL")
+@query("metric_key_split", f"SELECT leaf, system, partition, perfvalue FROM {ORDER_FACTS}")
 def metric_key_split(t: Tables) -> DataFrame:
-    return order_facts(t).where("unit IS NOT NULL").select("leaf", "system", "partition", "perfvalue")
+    """A case without metrics has a row without a name."""
+    return order_facts(t).select("leaf", "system", "partition", "perfvalue")
 
 
 @query(
     "metric_array_columns",
     f"""SELECT leaf, perfvalue, value, value_str, reference, low_threshold, up_threshold, unit, result
-        FROM {ORDER_FACTS} WHERE unit IS NOT NULL""",
+        FROM {ORDER_FACTS}""",
 )
 def metric_array_columns(t: Tables) -> DataFrame:
     names = ["leaf", "perfvalue", "value", "value_str", *runs.METRIC_SLOTS[1:]]
-    return order_facts(t).where("unit IS NOT NULL").select(*names)
+    return order_facts(t).select(*names)
 
 
 @query("param_columns", f"""SELECT leaf, perfvalue, tasks, "mem.size", "mem.gb" FROM {ORDER_FACTS}""")

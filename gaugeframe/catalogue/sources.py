@@ -70,15 +70,19 @@ def src_by_suffix(t: Tables) -> DataFrame:
     """The suffix of the path picks the reader: csv, one json document a file, raw text, and raw for an unknown suffix."""
     base = scratch_dir(t.spark, "src-suffix")
     sinks.write_csv(plain_events(t), f"{base}/events.csv")
-    whole = F.to_json(F.collect_list(F.struct("event_id", "user_id")))  # a document for each user
-    plain_events(t).groupBy("user_id").agg(whole.alias("value")).repartition("user_id").write.partitionBy("user_id").text(f"{base}/json")
+    # A document is a list of some 20,000 events, written line by line; more events make more documents.
+    part = F.floor(F.col("event_id") / 20_000).alias("part")
+    records = plain_events(t).select(part, F.lit(1).alias("rank"), F.concat(F.to_json(F.struct("event_id", "user_id")), F.lit(",")).alias("value"))
+    ends = records.select("part").distinct().select("part", F.explode(F.create_map(F.lit(0), F.lit("["), F.lit(2), F.lit("{}]"))).alias("rank", "value"))
+    lines = records.union(ends).repartition("part").sortWithinPartitions("part", "rank")
+    lines.select("part", "value").write.partitionBy("part").text(f"{base}/events.json")
     keys = t("nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("value")).repartition("n_nationkey")
     for suffix in ("txt", "odd"):
         keys.write.partitionBy("n_nationkey").text(f"{base}/keys.{suffix}")
     number = F.regexp_extract("value", r"(\d+)", 1).cast("bigint").alias("v")
     parts = {
         "csv": readers.read_file(t.spark, f"{base}/events.csv", schema=EVENTS_SCHEMA).select(F.col("event_id").alias("v")),
-        "json": readers.read_file(t.spark, f"{base}/json", "json", "event_id BIGINT, user_id BIGINT").select(F.col("event_id").alias("v")),
+        "json": readers.read_file(t.spark, f"{base}/events.json", schema="event_id BIGINT, user_id BIGINT").select(F.col("event_id").alias("v")),
         "raw": readers.read_file(t.spark, f"{base}/keys.txt").select(number),
         "unknown": readers.read_file(t.spark, f"{base}/keys.odd").select(number),
     }
@@ -104,12 +108,10 @@ def src_json_documents(t: Tables) -> DataFrame:
 @query("inline_object", "SELECT r_name, r_regionkey, r_regionkey * 10 AS weight, 'note for ' || r_name AS note FROM region")
 def inline_object(t: Tables) -> DataFrame:
     """Inline data looked up for every region: weights of an object and a raw text."""
-    weights = {str(i): i * 10 for i in range(5)}
-    inline = readers.inline_object(t.spark, {"weights": weights}).withColumn("one", F.lit(1))
-    raw = readers.inline_raw(t.spark, "note for ").select(F.col("value").alias("raw"), F.lit(1).alias("one"))
-    rows = t("region").withColumn("one", F.lit(1)).join(inline, "one").join(raw, "one")
-    weight = F.try_variant_get("value", F.lit("$.weights"), "map<string,bigint>")[F.col("r_regionkey").cast("string")]
-    return rows.select("r_name", "r_regionkey", weight.alias("weight"), F.concat("raw", "r_name").alias("note"))
+    weights = readers.inline_object(t.spark, {"weights": {str(i): i * 10 for i in range(5)}}).scalar()
+    weight = F.try_variant_get(weights, F.lit("$.weights"), "map<string,bigint>")[F.col("r_regionkey").cast("string")]
+    note = F.concat(readers.inline_raw(t.spark, "note for ").scalar(), F.col("r_name"))
+    return t("region").select("r_name", "r_regionkey", weight.alias("weight"), note.alias("note"))
 
 
 @query(

@@ -15,29 +15,40 @@ from pyspark.sql import functions as F
 from gaugeframe.functions.columns import col, cols, null_safe_join
 
 BUCKET_VALUES = 100_000
+MOST_SPLITS = 4096
+KEY_LETTERS = 64
 
 
-def _with_bucket(df: DataFrame, order_by: str, values: int) -> DataFrame:
-    """Add ``__bucket``, a non-decreasing function of the order column.
-
-    Split points are the distinct values whose hash is a multiple of ``values``: an even
-    sample that comes out the same on every run. A bucket holds some ``values`` distinct
-    values of any type, dense or sparse, and the number of buckets grows with the
-    data, so no window grows; a group with a unique order has no more rows in one.
-    """
-    sample = (
-        df.select(col(order_by).alias("v"))
-        .where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v"), F.lit(values)) == 0))
-        .select(F.sort_array(F.collect_set("v")))
-    )
-    with_splits = df.withColumn("__splits", sample.scalar())
-    # Binary search: how many of the sorted split points are not above the value.
-    bits = F.length(F.bin(F.size("__splits")))
+def _below(splits: Column, value: Column) -> Column:
+    """How many of the sorted split points are not above the value, by binary search."""
+    bits = F.length(F.bin(F.size(splits)))
     halves = F.transform(F.sequence(F.lit(1), bits), lambda i: F.call_function("shiftleft", F.lit(1), bits - i))
-    reach = lambda at, step: F.get(F.col("__splits"), at + step - 1) <= col(order_by)
+    reach = lambda at, step: F.get(splits, at + step - 1) <= value
     below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at))
-    bucket = F.when(F.size("__splits") == 0, F.lit(0)).otherwise(below)
-    return with_splits.withColumn("__bucket", bucket.cast("bigint")).drop("__splits")
+    return F.when(F.coalesce(F.size(splits), F.lit(0)) == 0, F.lit(0)).otherwise(below).cast("bigint")
+
+
+def _with_bucket(df: DataFrame, order_by: str, values: int, most: int = MOST_SPLITS) -> DataFrame:
+    """Add ``__bucket``, a non-decreasing function of the order column (of its first letters, if a text).
+
+    Split points are the distinct values whose hash is a multiple of ``values``: an even sample that comes
+    out the same on every run, so a bucket holds some ``values`` distinct values. At most ``most`` of them, those with
+    the least hashes, are one list in every row. Where there are more, the others divide the parts between these,
+    each part with its own short list, which is joined; no list and no window grows with the rows.
+    """
+    short = F.substring(col(order_by), 1, KEY_LETTERS) if df.schema[order_by].dataType.typeName() == "string" else col(order_by)
+    hashed = F.xxhash64("v")
+    sample = df.select(short.alias("v")).where(F.col("v").isNotNull() & (F.pmod(hashed, F.lit(values)) == 0)).distinct()
+    coarse = sample.orderBy(hashed, "v").limit(most)
+    first = coarse.select(F.sort_array(F.collect_list("v"))).scalar()
+    marked = df.withColumn("__splits", first).withColumn("__short", short)
+    marked = marked.withColumn("__part", _below(F.col("__splits"), F.col("__short"))).drop("__splits")
+    # What the first list left out, by the part of it; none at all for tables of usual size.
+    rest = sample.withColumn("__splits", first).where(F.size("__splits") >= most)
+    rest = rest.select(_below(F.col("__splits"), F.col("v")).alias("__part"), "v").groupBy("__part").agg(F.sort_array(F.collect_list("v")).alias("__fine"))
+    placed = marked.join(rest, "__part", "left")
+    bucket = F.col("__part") * F.lit(1 << 32) + _below(F.col("__fine"), F.col("__short"))
+    return placed.withColumn("__bucket", bucket).drop("__part", "__fine", "__short")
 
 
 def _offsets(df: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:

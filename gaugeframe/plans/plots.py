@@ -90,7 +90,8 @@ def plot_cells(df: DataFrame, plot: Plot, order_by: str | None = None) -> DataFr
 
 
 def plot_series(df: DataFrame, plot: Plot, order_by: str | None = None) -> dict[str, DataFrame]:
-    """The rows of every chart type of a request, all from the same cells."""
+    """The rows of every chart type of a request, all from the same cells; an axis that the table doesn't have fails."""
+    check_axes(plot, df.columns)
     cells = plot_cells(df, plot, order_by)
     level_columns = {"table": plot.axes.color, "heatmap": plot.axes.x}
     return {

@@ -25,15 +25,27 @@ def local_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.master", "local").startswith("local")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder would be invisible to the other executors, so it is
-    used only where the setting is missing and the whole session is one machine.
+    A machine-local folder would be invisible to the other executors, so one is set, once a
+    session, only where the setting is missing and the whole session is one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not _is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="gaugeframe-")
+        base = f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex[:8]}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gaugeframe/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def check_warehouse(spark: SparkSession) -> None:
+    """Saved tables must lie where every executor can reach them."""
+    place = spark.conf.get("spark.sql.warehouse.dir", "")
+    if not _is_local(spark) and (not place or place.startswith(("file:", "/"))) and not (spark.conf.get("spark.checkpoint.dir", "") or "").startswith(("file:", "/")):
+        raise ValueError("spark.sql.warehouse.dir is a local folder: set it to one that every executor can reach")

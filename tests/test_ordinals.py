@@ -82,3 +82,17 @@ def test_exact_median_of_a_hot_group(table, data):
 
     got = {r["k"]: r["v"] for r in aggregates.exact_median(table.where("k is not null"), ["k"], "v").collect()}
     assert got == {k: statistics.median(r[3] for r in g) for k, g in brute(data).items() if k is not None}
+
+
+def test_more_split_points_than_one_list_holds(spark):
+    """Two levels of lists give the order that one gives, and neither list has all the points."""
+    from gaugeframe.operators.ordinals import _with_bucket
+
+    n = 4000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("at"), F.format_string("key %05d", F.col("id") * 7919 % n).alias("name"))
+    for column in ("at", "name"):
+        rows = _with_bucket(df, column, 3, most=16).select("at", "__bucket").orderBy("at").collect()
+        buckets = [r["__bucket"] for r in rows]
+        assert buckets == sorted(buckets) and len(set(buckets)) > 500
+        assert max(buckets.count(b) for b in set(buckets)) < 60
+
