@@ -251,6 +251,32 @@ def supplier_paths(t: Tables) -> DataFrame:
     return paths.select("s_suppkey", "r_name", "n_name", "s_name")
 
 
+@query(
+    "agg_callback_children",
+    f"""WITH n AS (SELECT r_name, n_name, count(*) AS leaves, sum(s_suppkey)::BIGINT AS total FROM {SUPPLIER_PATHS} GROUP BY ALL),
+         r AS (SELECT r_name, sum(leaves)::BIGINT AS leaves, (max(total) - min(total))::BIGINT AS total, arg_max(n_name, leaves * 1000000 + ascii(n_name)) AS busiest,
+               count(*) AS children FROM n GROUP BY r_name)
+       SELECT 'nation' AS node_type, n_name AS node, leaves, total, NULL AS busiest, NULL AS children FROM n
+       UNION ALL SELECT 'region', r_name, leaves, total, busiest, children FROM r
+       UNION ALL SELECT 'root', NULL, sum(leaves)::BIGINT, max(total), arg_max(r_name, leaves * 1000000 + ascii(r_name)), count(*) FROM r""",
+)
+def agg_callback_children(t: Tables) -> DataFrame:
+    """A region reports how far its nations lie apart, the root the widest region, and both their largest child."""
+    first = lambda name: F.max_by(name, F.col("leaves") * 1_000_000 + F.ascii(name)).alias("busiest")
+    children = {"busiest": None, "children": F.count(F.lit(1)), "leaves": F.sum("leaves")}
+    results = {
+        "r_name": children | {"total": F.max("total") - F.min("total"), "busiest": first("n_name")},
+        None: children | {"total": F.max("total"), "busiest": first("r_name")},
+    }
+    leaves = {"leaves": F.count(F.lit(1)), "total": F.sum("s_suppkey")}
+    tables = hierarchy.fold_up(supplier_paths(t), ["r_name", "n_name"], leaves, results.__getitem__)
+    nothing = F.lit(None).cast("string")
+    nation = tables["n_name"].select(F.lit("nation").alias("node_type"), F.col("n_name").alias("node"), "leaves", "total", nothing.alias("busiest"), F.lit(None).cast("bigint").alias("children"))
+    region = tables["r_name"].select(F.lit("region").alias("node_type"), F.col("r_name").alias("node"), "leaves", "total", "busiest", "children")
+    root = tables["root"].select(F.lit("root").alias("node_type"), nothing.alias("node"), "leaves", "total", "busiest", "children")
+    return nation.unionByName(region).unionByName(root)
+
+
 @query(
     "path_rows",
     f"""SELECT s_suppkey, r_name, n_name, CASE WHEN s_suppkey % 10 <> 0 THEN s_name END AS s_name,

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,30 +104,83 @@ def _path(name: str) -> Column:
     return reduce(lambda c, field: c[field], rest, col(head))
 
 
+def _conditions(parameters: Sequence[Parameter]) -> list[tuple[str, str, Sequence[Mapping[str, Sequence[Any]]]]]:
+    """(parameter, value, alternatives) of every condition that can drop a combination."""
+    return [(p.name, v, alts) for p in parameters if p.active and p.conditions for v, alts in p.conditions.items() if alts]
+
+
+def _needs(condition: tuple) -> set[str]:
+    """The columns a condition reads."""
+    name, _, alternatives = condition
+    return {name} | {n.split(".")[0] for alternative in alternatives for n in alternative}
+
+
+def _held(grid: DataFrame, condition: tuple) -> Column:
+    """False for combinations that break a condition: no alternative allows all its names."""
+    name, value, alternatives = condition
+    text = python_text(col(name), grid.schema[name].dataType)
+    allowed = [
+        reduce(lambda a, b: a & b, [F.coalesce(_path(n).isin(list(v)), F.lit(False)) for n, v in alt.items()], F.lit(True))
+        for alt in alternatives
+    ]
+    return F.coalesce((text != value) | reduce(lambda a, b: a | b, allowed), F.lit(True))
+
+
 def prune(grid: DataFrame, parameters: Sequence[Parameter]) -> DataFrame:
     """Drop combinations that break the conditions of a parameter value.
 
     One alternative must allow all its names. A value without an entry is free.
     """
-    for p in parameters:
-        if not (p.active and p.conditions):
-            continue
-        text = python_text(col(p.name), grid.schema[p.name].dataType)
-        broken = F.lit(False)
-        for value, alternatives in p.conditions.items():
-            if not alternatives:
-                continue
-            allowed = [
-                reduce(lambda a, b: a & b, [F.coalesce(_path(n).isin(list(v)), F.lit(False)) for n, v in alt.items()], F.lit(True))
-                for alt in alternatives
-            ]
-            broken = broken | ((text == value) & ~reduce(lambda a, b: a | b, allowed))
-        grid = grid.where(F.coalesce(~broken, F.lit(True)))
+    for condition in _conditions(parameters):
+        grid = grid.where(_held(grid, condition))
     return grid
 
 
+def _alone(base: DataFrame, generator: Column) -> bool:
+    """Whether a generator reads columns of the base only."""
+    try:
+        return bool(base.select(generator).schema)
+    except AnalysisException:
+        return False
+
+
+def growing_order(base: DataFrame, parameters: Sequence[Parameter]) -> list[Parameter]:
+    """The active parameters so that conditions can be tested early: next comes the one that completes most conditions, else
+    the one a condition waits for with the fewest others. A generator that reads other parameters stays behind those before it."""
+    left = [p for p in parameters if p.active]
+    waiting = [_needs(c) for c in _conditions(parameters)]
+    known, done = set(base.columns), []
+    while left:
+        free = [p for i, p in enumerate(left) if i == 0 or _alone(base, p.generator)]
+
+        def gain(p: Parameter) -> tuple[int, int]:
+            open_ = [needs - known for needs in waiting if p.name in needs - known]
+            return sum(len(o) == 1 for o in open_), -min(map(len, open_), default=len(left) + 1)
+
+        best = max(free, key=gain)
+        left.remove(best)
+        known.add(best.name)
+        done.append(best)
+    return done
+
+
 def parameter_grid(base: DataFrame, parameters: Sequence[Parameter]) -> DataFrame:
-    return prune(expand(base, parameters), parameters)
+    """Every combination of the active parameters that keeps the conditions, for every base row.
+
+    A condition is tested as soon as the grid has all its names, between two generators, so what
+    it drops is never combined with the parameters that come later.
+    """
+    conditions, grid = _conditions(parameters), base
+    for p in growing_order(base, parameters):
+        grid = expand(grid, [p])
+        ready = [c for c in conditions if _needs(c) <= set(grid.columns)]
+        conditions = [c for c in conditions if c not in ready]
+        for condition in ready:
+            grid = grid.where(_held(grid, condition))
+    if conditions:
+        missing = sorted(set().union(*map(_needs, conditions)) - set(grid.columns))
+        raise ValueError(f"conditions on parameters that are not there: {missing}")
+    return grid.select(*cols(base.columns), *cols(p.name for p in parameters if p.active))
 
 
 def flatten_parameters(grid: DataFrame, names: Sequence[str]) -> DataFrame:

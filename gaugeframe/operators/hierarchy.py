@@ -121,6 +121,25 @@ def roll_up_with(
     return tables
 
 
+def fold_up(
+    paths: DataFrame, levels: Sequence[str], leaves: Mapping[str, Column], callback: Callable[[str | None], Mapping[str, Column]]
+) -> dict[str, DataFrame]:
+    """Results passed up the hierarchy, level by level: a node sees those of its children.
+
+    ``leaves`` are the results of the lowest level, aggregated over its leaves. ``callback(level)`` gives the results of
+    every higher level as aggregates over the rows of its children, whose results and name are columns;
+    None is the root. Names a level doesn't give again are not passed on. The leaves are grouped once; every further level works on the few
+    nodes below it, and no node's children are gathered.
+    """
+    tables = {levels[-1]: paths.groupBy(*cols(levels)).agg(*[a.alias(n) for n, a in leaves.items()])}
+    below = tables[levels[-1]]
+    for depth in range(len(levels) - 1, -1, -1):
+        level = levels[depth - 1] if depth else None
+        below = below.groupBy(*cols(levels[:depth])).agg(*[a.alias(n) for n, a in callback(level).items()])
+        tables[level or "root"] = below
+    return tables
+
+
 def upsert_catalogue(
     current: DataFrame, executions: DataFrame, keys: Sequence[str], order_by: str, path: str, title: str
 ) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeframe.operators import grids
 from gaugeframe.operators.grids import Parameter
@@ -65,3 +66,33 @@ def test_grid_size_is_the_product(one):
     parameters = [Parameter(f"p{i}", grids.values(list(range(n)))) for i, n in enumerate(sizes)]
     assert grids.parameter_grid(one, parameters).count() == 36
     assert grids.parameter_grid(one, [*parameters, Parameter("none", grids.linspace(0, 1, 0))]).count() == 0
+
+
+def test_conditions_are_tested_while_the_grid_grows(one):
+    """The condition on the first and the last parameter is tested before the two between them are combined."""
+    conditions = {str(i): [{"last": [i]}] for i in range(10)}
+    parameters = [
+        Parameter("first", grids.values(list(range(10))), conditions=conditions),
+        Parameter("wide", grids.values(list(range(50)))),
+        Parameter("double", F.transform(grids.values([1, 2]), lambda x: x + F.col("wide"))),
+        Parameter("last", grids.values(list(range(10)))),
+    ]
+    assert [p.name for p in grids.growing_order(one, parameters)] == ["first", "last", "wide", "double"]
+    got = grids.parameter_grid(one, parameters)
+    assert got.columns == [*one.columns, "first", "wide", "double", "last"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = [i for i, line in enumerate(plan) if "Generate" in line]
+    assert any("Filter" in line and "first" in line and "last" in line for line in plan[made[1] : made[2]])
+    rows = got.collect()
+    assert len(rows) == 10 * 50 * 2 and all(r.first == r.last and r.double - r.wide in (1, 2) for r in map(_named, rows))
+
+
+def _named(row):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(**row.asDict())
+
+
+def test_conditions_on_absent_parameters_fail(one):
+    with pytest.raises(ValueError, match="nowhere"):
+        grids.parameter_grid(one, [Parameter("a", grids.values([1]), conditions={"1": [{"nowhere": [1]}]})])

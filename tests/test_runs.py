@@ -172,3 +172,15 @@ def test_streams_follow_new_reports_and_count_a_resent_leaf_once(spark, tmp_path
     leaves = ingest.current_leaves(spark, str(tmp_path / "log"))
     summary = runs.group_summary(leaves, "machine").first()
     assert (summary.num_runs, summary.result, summary.latest_leaf) == (4, "pass", "app-u1-m1-2024_05_01T10_20_30")
+
+
+def test_fold_up_sees_the_results_of_children(spark):
+    from gaugeframe.operators import hierarchy
+
+    paths = spark.createDataFrame([("e", "x", "b1", 4), ("e", "x", "b2", 6), ("e", "y", "b3", 1), ("w", "z", "b4", 9)], "side string, town string, leaf string, n int")
+    results = {"side": {"n": F.max("n"), "top": F.max_by("town", "n")}, None: {"n": F.sum("n"), "tops": F.sort_array(F.collect_set("top"))}}
+    tables = hierarchy.fold_up(paths, ["side", "town"], {"n": F.sum("n")}, results.__getitem__)
+    assert {tuple(r) for r in tables["town"].collect()} == {("e", "x", 10), ("e", "y", 1), ("w", "z", 9)}
+    assert {tuple(r) for r in tables["side"].collect()} == {("e", 10, "x"), ("w", 9, "z")}
+    assert tables["root"].first().asDict() == {"n": 19, "tops": ["x", "z"]}
+    assert tables["root"]._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
