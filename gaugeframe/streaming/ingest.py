@@ -1,14 +1,16 @@
 """New run reports as they arrive: facts appended, summaries kept current.
 
-Both streams are stateless. A report is flattened on its own, so nothing is held
-between batches and a late report is never dropped; a report that is sent again
-replaces its leaf when the log is read.
+The streams hold no state in memory. A report is flattened on its own, so a late report is never
+dropped; one that is sent again replaces its leaf in the table of summaries, which is kept in
+hash buckets of which a batch rewrites those it touches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,59 @@ def ingest(reports: DataFrame, flatten: Callable[[DataFrame], DataFrame], out: s
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
+BUCKETS = 64
+
+
+def _slots(spark: SparkSession, log: str, before: int | None = None) -> dict[int, int]:
+    """Which of its two slots each bucket is in, after the last batch (before a given one); at most a row per bucket is read."""
+    try:
+        rows = spark.read.parquet(f"{log}/current/*")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return {}
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    found = rows.collect()  # two lists of buckets at most
+    last = max((r["batch"] for r in found), default=None)
+    return {r["bucket"]: r["slot"] for r in found if r["batch"] == last}
+
+
+def _kept(spark: SparkSession, log: str, slots: Mapping[int, int]) -> DataFrame | None:
+    """The leaves of these buckets; other buckets and slots are not read."""
+    if not slots:
+        return None
+    rows = spark.read.parquet(f"{log}/leaves")
+    places = [(F.col("slot") == slot) & F.col("bucket").isin([b for b, s in slots.items() if s == slot]) for slot in sorted(set(slots.values()))]
+    return rows.where(reduce(lambda a, b: a | b, places)).drop("slot")
+
+
+def merge_batch(leaves: DataFrame, log: str, number: int, leaf: str = "leaves", buckets: int = BUCKETS) -> None:
+    """Put the leaf summaries of a batch in place of those that are kept.
+
+    The table is dealt to hash buckets, each with two slots. A batch reads and rewrites only the buckets that it touches,
+    into the slot that isn't in use, and then writes the list of slots in use, to one of two places in turn. Until that is done
+    readers see the state before. A batch that is run again, after a failure between the two writes or after both, finds the list of
+    the batch before it and does the same again.
+    """
+    spark = leaves.sparkSession
+    new = leaves.withColumn("bucket", F.pmod(F.xxhash64(col(leaf)), F.lit(buckets)).cast("int")).persist()
+    try:
+        before = _slots(spark, log, number)
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        if touched:
+            kept = _kept(spark, log, {b: before[b] for b in touched if b in before})
+            merged = new if kept is None else kept.join(new.select(col(leaf)), leaf, "left_anti").unionByName(new)
+            target = {b: 1 - before.get(b, 1) for b in touched}
+            slot = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col("bucket")]
+            writer = merged.withColumn("slot", slot).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("slot", "bucket").parquet(f"{log}/leaves")
+            before = before | target
+        state = spark.createDataFrame([(number, b, s) for b, s in sorted(before.items())], "batch bigint, bucket int, slot int")
+        state.coalesce(1).write.mode("overwrite").parquet(f"{log}/current/place={number % 2}")
+    finally:
+        new.unpersist()
+
+
 def keep_summaries(
     reports: DataFrame,
     flatten: Callable[[DataFrame], DataFrame],
@@ -51,26 +106,26 @@ def keep_summaries(
     checkpoint: str,
     leaf: str = "leaves",
     levels: Sequence[str] = (),
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Write the leaf summaries of each batch to a folder of its own.
+    """Keep the leaf summaries current: each batch replaces the leaves it brings (see :func:`merge_batch`).
 
     ``flatten`` keeps the column ``sent``, the time and name of the file. Of two sendings of a
-    leaf in one batch only the rows of the later file count. A batch that is run again
-    after a failure overwrites the same folder.
+    leaf in one batch only the rows of the later file count, of several batches those of the last.
     """
     def write(batch: DataFrame, number: int) -> None:
         facts = flatten(batch)
         last = facts.groupBy(col(leaf)).agg(F.max("sent").alias("__last"))
         newest = null_safe_join(facts, last, [leaf]).where(F.col("sent") == F.col("__last")).drop("sent", "__last")
-        leaf_summary(newest, leaf, levels).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        merge_batch(leaf_summary(newest, leaf, levels), log, number, leaf, buckets)
 
     writer = reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
 def current_leaves(spark: SparkSession, log: str, leaf: str = "leaves") -> DataFrame:
-    """Leaf summaries of all batches; a leaf that was sent again counts once, as sent last."""
-    rows = spark.read.option("basePath", log).parquet(f"{log}/batch=*")
-    names = [c for c in rows.columns if c not in (leaf, "batch")]
-    newest = F.max_by(F.struct(*cols(names)), F.col("batch")).alias("__row")
-    return rows.groupBy(col(leaf)).agg(newest).select(col(leaf), *[F.col("__row")[n].alias(n) for n in names])
+    """The leaf summaries as of the last batch; as many files are read after many batches as after one."""
+    rows = _kept(spark, log, _slots(spark, log))
+    if rows is None:
+        raise ValueError(f"no batch has been written to {log}")
+    return rows.drop("bucket")

@@ -184,3 +184,43 @@ def test_fold_up_sees_the_results_of_children(spark):
     assert {tuple(r) for r in tables["side"].collect()} == {("e", 10, "x"), ("w", 9, "z")}
     assert tables["root"].first().asDict() == {"n": 19, "tops": ["x", "z"]}
     assert tables["root"]._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def _leaves(spark, rows):
+    return spark.createDataFrame(rows, "leaves string, num_runs int")
+
+
+def test_batches_replace_leaves_and_may_run_again(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    state = {}
+
+    def batch(number, rows):
+        ingest.merge_batch(_leaves(spark, rows), log, number, buckets=4)
+
+    def seen():
+        return {r.leaves: r.num_runs for r in ingest.current_leaves(spark, log).collect()}
+
+    with pytest.raises(ValueError, match="no batch"):
+        ingest.current_leaves(spark, log)
+    for number in range(6):
+        rows = [(f"leaf{(number * 3 + i) % 10}", number * 100 + i) for i in range(4)]
+        batch(number, rows)
+        state.update(rows)
+        assert seen() == state
+        batch(number, rows)  # once more, after it was done
+        assert seen() == state
+    files = len(ingest.current_leaves(spark, log).inputFiles())
+    # The data of a batch are written, the list of slots is not: nothing is seen, and the next run mends it.
+    real = spark.createDataFrame
+    rows = [("leaf1", -1), ("new", -2)]
+    new = _leaves(spark, rows)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ingest.merge_batch(new, log, 6, buckets=4)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **k: real(*a, **k))
+    assert seen() == state
+    batch(6, rows)
+    assert seen() == state | dict(rows)
+    batch(7, [])
+    assert seen() == state | dict(rows)
+    assert len(ingest.current_leaves(spark, log).inputFiles()) <= 2 * 4 and files <= 2 * 4  # a file a bucket and slot
