@@ -254,15 +254,15 @@ def supplier_paths(t: Tables) -> DataFrame:
 @query(
     "agg_callback_children",
     f"""WITH n AS (SELECT r_name, n_name, count(*) AS leaves, sum(s_suppkey)::BIGINT AS total FROM {SUPPLIER_PATHS} GROUP BY ALL),
-         r AS (SELECT r_name, sum(leaves)::BIGINT AS leaves, (max(total) - min(total))::BIGINT AS total, arg_max(n_name, leaves * 1000000 + ascii(n_name)) AS busiest,
+         r AS (SELECT r_name, sum(leaves)::BIGINT AS leaves, (max(total) - min(total))::BIGINT AS total, arg_max(n_name, lpad(leaves::VARCHAR, 12, '0') || n_name) AS busiest,
                count(*) AS children FROM n GROUP BY r_name)
        SELECT 'nation' AS node_type, n_name AS node, leaves, total, NULL AS busiest, NULL AS children FROM n
        UNION ALL SELECT 'region', r_name, leaves, total, busiest, children FROM r
-       UNION ALL SELECT 'root', NULL, sum(leaves)::BIGINT, max(total), arg_max(r_name, leaves * 1000000 + ascii(r_name)), count(*) FROM r""",
+       UNION ALL SELECT 'root', NULL, sum(leaves)::BIGINT, max(total), arg_max(r_name, lpad(leaves::VARCHAR, 12, '0') || r_name), count(*) FROM r""",
 )
 def agg_callback_children(t: Tables) -> DataFrame:
     """A region reports how far its nations lie apart, the root the widest region, and both their largest child."""
-    first = lambda name: F.max_by(name, F.col("leaves") * 1_000_000 + F.ascii(name)).alias("busiest")
+    first = lambda name: F.max_by(name, F.struct("leaves", name)).alias("busiest")
     children = {"busiest": None, "children": F.count(F.lit(1)), "leaves": F.sum("leaves")}
     results = {
         "r_name": children | {"total": F.max("total") - F.min("total"), "busiest": first("n_name")},
