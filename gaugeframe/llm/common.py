@@ -105,7 +105,7 @@ class Known:
     """
 
     def __init__(self, most: int = KNOWN_BYTES):
-        self.most, self.held = most, 0
+        self.most, self.held, self.full = most, 0, False
         self.place: dict = {}
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -128,15 +128,20 @@ class Known:
         return (np.cumsum(sizes) - sizes)[place], sizes[place], pool
 
     def _keep(self, fresh: list, more: np.ndarray, row: np.ndarray) -> None:
-        room = np.cumsum([len(u) + UNIT_COST if len(u) <= LONGEST_UNIT else 0 for u in fresh])
-        kept = [i for i, u in enumerate(fresh) if len(u) <= LONGEST_UNIT and self.held + room[i] <= self.most]
-        if not kept:
+        if self.full:
+            return
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        room = np.cumsum(np.where(sizes <= LONGEST_UNIT, sizes + UNIT_COST + 4 * more, 0))
+        fits = self.held + room <= self.most
+        self.full = not fits.all()
+        kept = np.flatnonzero(fits & (sizes <= LONGEST_UNIT))
+        if not len(kept):
             return
         if len(kept) < len(fresh):
             row, _ = gather((np.cumsum(more) - more)[kept], more[kept], row)
-            more = more[kept]
-        self.held += int(room[kept[-1]]) + 4 * len(row)
-        self.place.update(zip((fresh[i] for i in kept), range(len(self.sizes), len(self.sizes) + len(kept))))
+            more, fresh = more[kept], [fresh[i] for i in kept.tolist()]
+        self.held += int(room[kept[-1]])
+        self.place.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
         self.sizes, self.pool = np.concatenate([self.sizes, more]), np.concatenate([self.pool, row])
 
 

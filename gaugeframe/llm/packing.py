@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.llm.common import KNOWN_BYTES, Known, body, gather, slices, small_batches, store
+from gaugeframe.llm.common import Known, body, gather, slices, small_batches, store
 
 TOKENIZED_BYTES = 6 << 20
 RANKED_ROWS = 100_000
@@ -43,7 +43,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.parts = Known(KNOWN_BYTES // 2), Known(KNOWN_BYTES // 2)
+        self.words, self.parts = Known(), Known()
 
     @staticmethod
     def cut(word: str) -> tuple[str, ...]:

@@ -72,3 +72,15 @@ def test_given_table(spark):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     got = sorted(bpe.encode_texts(docs, "doc_id", "text", PATH).collect(), key=lambda r: r.doc_id)
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == library([r.text for r in rows])
+
+
+def test_remembered_units_are_bounded_by_bytes():
+    from gaugeframe.llm.common import LONGEST_UNIT, UNIT_COST, Known
+
+    known = Known(50 * (UNIT_COST + 20))
+    work_out = lambda units: (np.array([len(u) for u in units]), np.concatenate([np.frombuffer(u, np.uint8) for u in units]).astype(np.uint32))
+    for turn in range(20):
+        units = [b"u%d-%d" % (turn, i) for i in range(9)] + [b"long%d" % turn * LONGEST_UNIT, b"again"]
+        starts, sizes, pool = known.look_up(units, work_out)
+        assert [bytes(pool[a : a + n].astype(np.uint8)) for a, n in zip(starts, sizes)] == units
+    assert known.held <= known.most and all(len(u) <= LONGEST_UNIT for u in known.place) and len(known.pool) < known.most
