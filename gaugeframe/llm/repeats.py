@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.llm.common import BASE, body, flat, mix, powers, release, shuffle_partitions, slices, small_batches, store
+from gaugeframe.session import check_warehouse
 
 INDEXED_BYTES = 1 << 17  # the sorts stay in the processor's cache
 MOST_PASSAGES = 4096
@@ -334,6 +335,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, window: int = 20
     key = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
 
     # Each text once, in a table bucketed by its digest: later joins bring rows to the texts and move no text.
+    check_warehouse(spark)
     table = f"texts_{uuid.uuid4().hex[:12]}"
     one = docs.select(*key, text.cast("binary").alias("text")).groupBy(*TEXT_KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     one.write.bucketBy(parts, *TEXT_KEY).option("compression", "zstd").saveAsTable(table)
