@@ -3,29 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
-from decimal import Decimal
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeframe.functions.columns import col, data_type, python_text, rare
+from gaugeframe.functions.decimals import fixed_digits, leading_digits
 
 _FORMAT = re.compile(r"^((?:[^%]|%%)*)%([-+ 0#]*)(\d*)(?:\.(\d+))?([a-zA-Z])((?:[^%]|%%)*)$")
 _NUMERIC = (T.NumericType, T.BooleanType)
-
-
-def _product_error(x: Column, factor: float, product: Column) -> Column:
-    """What rounding took from ``x * factor``: halves of 26 bits multiply exactly."""
-    def halves(v):
-        wide = v * F.lit(134217729.0)
-        high = wide - (wide - v)
-        return high, v - high
-
-    xh, xl = halves(x)
-    fh, fl = halves(F.lit(factor))
-    return ((xh * fh - product) + xh * fl + xl * fh) + xl * fl
+# Up to so many digits the built-in format is exact wherever the next three are not next to a half step.
+BUILT_IN_DIGITS = 11
 
 
 def fixed(value: Column, digits: int) -> Column:
@@ -36,55 +26,70 @@ def fixed(value: Column, digits: int) -> Column:
     large that steps blur, and those cases are worked out exactly.
     """
     x = value.cast("double")
+    exact = rare(x, lambda v: _signed(v, lambda size: fixed_digits(size, digits)))
+    if digits > BUILT_IN_DIGITS:
+        return exact
     scaled = F.abs(x) * F.lit(10.0**digits)
     clear = (F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > 1e-4) & (scaled < 1e11)
-    return F.when(clear, F.format_string(f"%.{digits}f", x)).otherwise(rare(x, lambda v: _exact_fixed(v, digits)))
+    return F.when(clear, F.format_string(f"%.{digits}f", x)).otherwise(exact)
 
 
-def _exact_fixed(value: Column, digits: int) -> Column:
-    """Whole part and fraction apart, as both are exact.
+def _signed(value: Column, shown: Callable[[Column], Column]) -> Column:
+    """``shown`` of the size of a double behind its sign; ``nan``, ``inf`` and ``-inf`` by name."""
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    size = F.abs(value)
+    named = F.when(F.isnan(value), F.lit("nan")).when(size == float("inf"), F.concat(sign, F.lit("inf")))
+    return named.when(value.isNotNull(), F.concat(sign, shown(size)))
 
-    The product of the fraction with 10^digits is compared with the half step, and
-    where it seems to sit on it its rounding error decides. From 2^52 on there is no
-    fraction; such a number is a multiple of 2^62 and a rest, which decimals hold up
-    to 8e37, beyond which they end and the shortest digits are printed.
+
+def scientific(value: Column, digits: int) -> Column:
+    """``%.<digits>e`` as Python prints it, by the exact binary value.
+
+    The built-in format is right unless the three digits after the last one are next to
+    a half step; then, and for more digits than it has, the value is worked out.
     """
-    x = F.abs(value)
-    small = F.when(x < 2.0**52, x).otherwise(0.0)
-    part = small - F.floor(small).cast("double")
-    scaled = part * F.lit(10.0**digits)
-    low = F.floor(scaled).cast("double")
-    half = (scaled - low) - F.lit(0.5)
-    error = _product_error(part, 10.0**digits, scaled)
-    odd = F.pmod(low, F.lit(2.0)) == 1 if digits else F.pmod(F.floor(small), F.lit(2)) == 1
-    up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & odd)))
-    units = (low + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
-    over = units >= 10**digits
-    large = F.when((x >= 2.0**52) & (x < 8e37), x).otherwise(0.0)
-    high = F.floor(large / 2.0**62)
-    rest = (large - high.cast("double") * 2.0**62).cast("bigint")
-    wide = high.cast("decimal(19,0)") * F.lit(Decimal(2**62)) + rest.cast("decimal(19,0)")
-    left = F.when(x < 2.0**52, (F.floor(small) + F.when(over, 1).otherwise(0)).cast("string")).otherwise(wide.cast("string"))
-    right = F.lpad(F.when(over, units - 10**digits).otherwise(units).cast("string"), digits, "0")
-    shown = F.concat(left, F.lit("."), right) if digits else left
-    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
-    return (
-        F.when(F.isnan(value), "nan")
-        .when(x < 8e37, F.concat(sign, shown))
-        .when(x == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
-    )
-
-
-def _general(value: Column, digits: int) -> Column:
-    """``%g``: fixed between 1e-4 and 10^digits, else an exponent; no trailing zeros."""
-    digits = max(digits, 1)
-    text = F.format_string(f"%.{digits - 1}e", value)
+    x = value.cast("double")
+    exact = rare(x, lambda v: _signed(v, lambda size: rare(leading_digits(size, digits + 1), _with_exponent)))
+    if digits > BUILT_IN_DIGITS:
+        return exact
+    next_three = F.right(F.substring_index(F.format_string(f"%.{digits + 3}e", x), "e", 1), F.lit(3)).try_cast("int")
+    # Below 2^-1022 doubles have fewer digits than they are printed with.
+    clear = (F.abs(next_three - 500) > 2) & ((F.abs(x) >= 2.0**-1022) | (x == 0))
+    return F.when(clear, F.format_string(f"%.{digits}e", x)).otherwise(exact)
+
+
+def _with_exponent(number: Column) -> Column:
+    first, rest = F.substring(number["digits"], 1, 1), F.substring(number["digits"], 2, 2**31 - 1)
+    mantissa = F.when(rest == "", first).otherwise(F.concat(first, F.lit("."), rest))
+    return F.concat(mantissa, _exponent_text(number["exponent"]))
+
+
+def _exponent_text(exponent: Column) -> Column:
+    size = F.abs(exponent).cast("string")
+    return F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+
+
+def general(value: Column, digits: int, keep_zeros: bool = False) -> Column:
+    """``%.<digits>g``: fixed between 1e-4 and 10^digits, else an exponent; no trailing zeros unless kept.
+
+    Both layouts show the digits that ``%e`` rounds to.
+    """
+    count = max(digits, 1)
+    return rare(scientific(value, count - 1), lambda text: _laid_out(text, count, keep_zeros))
+
+
+def _laid_out(text: Column, count: int, keep_zeros: bool) -> Column:
+    sign = F.when(text.startswith("-"), "-").otherwise("")
     exponent = F.regexp_extract(text, r"e([-+]\d+)$", 1).try_cast("int")
-    strip = lambda t: F.regexp_replace(F.when(t.contains("."), F.regexp_replace(t, "0+$", "")).otherwise(t), r"\.$", "")
-    plain = strip(text.try_cast("decimal(38,18)").cast("string"))
-    scientific = F.concat(strip(F.substring_index(text, "e", 1)), F.concat(F.lit("e"), F.substring_index(text, "e", -1)))
-    return F.when((exponent >= -4) & (exponent < digits), plain).otherwise(scientific)
+    digits = F.regexp_replace(F.substring_index(text, "e", 1), r"[-.]", "")
+    whole = F.when(exponent >= 0, F.substring(digits, F.lit(1), exponent + 1)).otherwise("0")
+    behind = F.when(exponent >= 0, F.substring(digits, exponent + 2, F.lit(count)))
+    behind = behind.otherwise(F.concat(F.repeat(F.lit("0"), -exponent - 1), digits))
+    strip = lambda t: t if keep_zeros else F.regexp_replace(t, r"\.?0*$", "")
+    plain = strip(F.concat(whole, F.lit("."), behind))
+    powered = F.concat(strip(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, count))), _exponent_text(exponent))
+    shown = F.when((exponent >= -4) & (exponent < count), plain).otherwise(powered)
+    return F.when(exponent.isNull(), text).otherwise(F.concat(sign, shown))  # nan and inf have no exponent
 
 
 def printf(value: Column, dtype: T.DataType, template: str) -> Column:
@@ -108,14 +113,20 @@ def printf(value: Column, dtype: T.DataType, template: str) -> Column:
         number = value.cast("int") if isinstance(dtype, T.BooleanType) else value
         double = number.cast("double")
         if kind in "di":
-            whole = F.when(double < 0, F.ceil(number)).otherwise(F.floor(number))
-            body = whole.cast("string")
+            whole = F.when(double < 0, F.ceil(number)).otherwise(F.floor(number)).cast("string")
+            if isinstance(dtype, (T.DoubleType, T.FloatType)):
+                # A double past 2^53 is whole, and it may be more than a bigint holds.
+                body = F.when(F.abs(double) < 2.0**53, whole).otherwise(fixed(double, 0))
+            else:
+                body = whole
         elif kind in "fF":
             body = fixed(double, digits)
         elif kind in "gG":
-            body = rare(double, lambda v: _general(v, digits))
+            body = general(double, digits, "#" in flags)
         else:
-            body = F.format_string(f"%.{digits}e", double)
+            body = scientific(double, digits)
+        if "#" in flags and kind in "eEfF" and digits == 0:
+            body = F.regexp_replace(body, r"^(-?\d+)", "$1.")
         body = F.upper(body) if kind.isupper() else body
         if "+" in flags or " " in flags:
             sign = "+" if "+" in flags else " "
@@ -141,13 +152,44 @@ def value_map(value: Column, dtype: T.DataType, labels: Mapping[str, str]) -> Co
     return F.coalesce(lookup[text], text)
 
 
+def _whole_number_column(df: DataFrame, name: str, template: str) -> bool:
+    match = _FORMAT.match(template)
+    return bool(match) and match[5] in "di" and isinstance(data_type(df, name), _NUMERIC)
+
+
+def _not_whole(df: DataFrame, name: str) -> Column:
+    """1 for a cell that ``%d`` can't print: null, nan, infinite."""
+    value, dtype = col(name), data_type(df, name)
+    bad = value.isNull()
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        bad = bad | F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.max(bad.cast("int"))
+
+
+def _cell_text(df: DataFrame, name: str) -> Column:
+    """Text of a cell of a column with gaps: numbers are doubles there, and a flag that is missing is ``None``."""
+    value, dtype = col(name), data_type(df, name)
+    if isinstance(dtype, T.BooleanType):
+        return F.coalesce(python_text(value, dtype), F.lit("None"))
+    return F.coalesce(python_text(value.cast("double"), T.DoubleType()), F.lit("nan"))
+
+
 def format_columns(df: DataFrame, formats: Mapping[str, str | Mapping[str, str]]) -> DataFrame:
-    """printf template or value map per column; names the table lacks are skipped. Results are texts."""
+    """printf template or value map per column; names the table lacks are skipped. Results are texts.
+
+    One cell that ``%d`` can't print (null, nan, infinite) makes the whole column plain texts; all such
+    columns are looked through in one pass.
+    """
+    whole = [n for n, rule in formats.items() if n in df.columns and isinstance(rule, str) and _whole_number_column(df, n, rule)]
+    broken = df.agg(F.struct(*[_not_whole(df, n).alias(f"c{i}") for i, n in enumerate(whole)])).scalar() if whole else None
     made = {}
     for name, rule in formats.items():
         if name in df.columns:
             apply = printf if isinstance(rule, str) else value_map
             made[name] = apply(col(name), data_type(df, name), rule)
+            if name in whole:
+                has_gap = broken[f"c{whole.index(name)}"] == 1
+                made[name] = F.when(has_gap, _cell_text(df, name)).otherwise(made[name])
     return df.withColumns(made) if made else df
 
 

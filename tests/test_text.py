@@ -1,5 +1,7 @@
+import math
 import random
 import string
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +32,33 @@ def test_printf_is_python(numbers, template):
     assert list(got) == [template % v for v in values]
 
 
+@pytest.fixture(scope="module")
+def wide_numbers(spark):
+    """Doubles of all exponents, ties of every length and the ends of the range."""
+    rng = random.Random(5)
+    values = [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(400)]
+    values = [v for v in values if math.isfinite(v)]
+    values += [5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 8e37, 1e22, 1e23, 2.0**200, 2.0**-1074 * 3, 2.0**-44, 2e-3]
+    values += [0.0, -0.0, 1.0, 9.5, 99.5, 999999.5, 9999995.0, 0.00009999995, 0.0001, 1e15, 1e16, 2.5, 3.5, 0.125, 12345.0, float("nan"), float("inf"), float("-inf")]
+    values += [(rng.randrange(10**6) + 0.5) * 2.0 ** rng.randrange(-40, 40) for _ in range(200)]
+    return values, spark.createDataFrame([(v,) for v in values], "x double")
+
+
+@pytest.mark.parametrize(
+    "template", ["%e", "%.0e", "%.3e", "%.15e", "%.40e", "%g", "%.0g", "%.3G", "%.17g", "%.30g", "%#.4g", "%#.0e", "%#.0f", "%.0f", "%.3f", "%.20f", "%.400f", "%012.2e"]
+)
+def test_printf_of_any_size_is_python(wide_numbers, template):
+    values, df = wide_numbers
+    got = [r[0] for r in df.select(scalars.printf(F.col("x"), T.DoubleType(), template)).collect()]
+    assert [(v, g) for v, g in zip(values, got) if g != template % v] == []
+
+
+def test_whole_numbers_of_any_size(spark, wide_numbers):
+    values = [v for v in wide_numbers[0] if math.isfinite(v)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in scalars.format_columns(df, {"x": "<%d>"}).collect()] == ["<%d>" % v for v in values]
+
+
 def test_number_text_is_python(numbers):
     values, df = numbers
     assert [r[0] for r in df.select(number_text(F.col("x"))).collect()] == [str(v) for v in values]
@@ -38,8 +67,14 @@ def test_number_text_is_python(numbers):
 def test_printf_by_type(spark):
     df = spark.createDataFrame([(7.9, "t", True, 3), (None, None, None, None)], "d double, s string, b boolean, i int")
     got = scalars.format_columns(df, {"d": "%i", "s": "%.2f", "b": "%d", "i": {"3": "three"}, "zz": "%d"}).collect()
-    assert tuple(got[0]) == ("7", "t", "1", "three")
-    assert tuple(got[1]) == ("nan", None, "nan", None)
+    # A cell that %d can't print makes the whole column plain texts.
+    assert tuple(got[0]) == ("7.9", "t", "True", "three")
+    assert tuple(got[1]) == ("nan", None, "None", None)
+    whole = scalars.format_columns(df.where("i is not null"), {"d": "%i", "b": "%d", "i": "%03d"}).first()
+    assert tuple(whole) == ("7", "t", "1", "003")
+    gaps = spark.createDataFrame([(1, 2), (None, 3)], "a int, b int")
+    assert [tuple(r) for r in scalars.format_columns(gaps, {"a": "%d", "b": "%d"}).collect()] == [("1.0", "2"), ("nan", "3")]
+    assert scalars.format_columns(gaps.where("b > 9"), {"a": "%d"}).collect() == []
     assert one(spark, scalars.printf(F.lit(1234.5), T.DoubleType(), "%.3g")) == "%.3g" % 1234.5
     assert one(spark, scalars.printf(F.lit(0.25), T.DoubleType(), "%g")) == "0.25"
 
