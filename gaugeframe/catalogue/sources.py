@@ -284,12 +284,15 @@ def snk_lines(t: Tables) -> DataFrame:
        WHERE text <> '' AND (turn <= 2 OR conv_id IN (SELECT conv_id FROM logs WHERE kind = 'output_log' AND text <> ''))""",
 )
 def snk_logs(t: Tables) -> DataFrame:
+    """The pages of all cases, packed into files and cut out of them again by the index."""
     kind = F.when(F.col("turn") == 0, "script").when(F.col("turn") == 1, "output_log").when(F.col("turn") == 2, "error_log")
     kind = F.coalesce(kind, F.concat(F.lit("turn"), F.col("turn").cast("string")))
     talks = t("conversations")
     written = F.when((F.col("turn") != 1) | (F.col("conv_id") % 3 != 0), F.col("text"))  # some output logs are missing
     logs = talks.select("conv_id", kind.alias("kind"), written.alias("text"))
-    return sinks.log_sections(talks.select("conv_id").distinct(), logs, "conv_id")
+    path = scratch_dir(t.spark, "snk-logs")
+    sinks.write_log_pages(sinks.log_sections(talks.select("conv_id").distinct(), logs, "conv_id"), "conv_id", path)
+    return sinks.read_log_pages(t.spark, path)
 
 
 # ----------------------------------------------------------- declarative plans

@@ -8,15 +8,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, text_of
+from gaugeframe.functions.columns import col, cols, explode_rows, text_of
 from gaugeframe.functions.scalars import sanitize
 from gaugeframe.functions.text import latex_escape
 from gaugeframe.operators.aggregates import spread
-from gaugeframe.operators.ordinals import group_ordinals
+from gaugeframe.operators.ordinals import group_ordinals, running_total
 from gaugeframe.operators.transforms import Axes
+from gaugeframe.session import scratch_dir
 
 
 def figure_table(cells: DataFrame, axes: Axes, levels: Sequence[Any]) -> DataFrame:
@@ -96,7 +97,49 @@ def log_sections(cases: DataFrame, logs: DataFrame, key: str, kind: str = "kind"
     return head.unionByName(standard).unionByName(custom)
 
 
-def write_log_pages(sections: DataFrame, key: str, path: str) -> None:
-    """One folder per case; its files, read in name order, are the page."""
-    ordered = sections.repartitionByRange(col(key), "rank", "kind").sortWithinPartitions(col(key), "rank", "kind")
-    ordered.select(col(key), "value").write.mode("overwrite").partitionBy(key).text(path)
+# Bytes after which a file of log pages is full; it ends with the section that fills it.
+PAGE_FILE_BYTES = 16 * 1024 * 1024
+
+
+def write_log_pages(sections: DataFrame, key: str, path: str, file_bytes: int = PAGE_FILE_BYTES) -> None:
+    """The pages of all cases one after the other, packed into text files of bounded size, with an index.
+
+    ``pages/file=<n>`` holds one file each, so their number follows the bytes and not the cases; a long page
+    goes on in the next file. ``index`` has a row per section: ``(key, rank, kind, file, offset, length)`` in bytes.
+    A section with a null text is empty. Sections are placed once and stored, as files and index must agree.
+    """
+    spark = sections.sparkSession
+    value = F.coalesce("value", F.lit(""))
+    # Sections that are alike in all of this are interchangeable.
+    order = F.struct(col(key), F.col("rank"), F.col("kind"), F.sha2(value, 256).alias("digest"))
+    size = (F.octet_length(value) + 1).cast("bigint")  # the line end counts
+    sized = sections.select(col(key), "rank", "kind", value.alias("value"), order.alias("__order"), size.alias("__size"))
+    ends = running_total(sized, [], "__order", "__size", "__end", width=10_000)
+    start = F.col("__end") - F.col("__size")
+    in_files = ends.withColumn("__start", start).withColumn("file", F.call_function("div", start, F.lit(file_bytes).cast("bigint")))
+    offset = F.col("__start") - F.min("__start").over(Window.partitionBy("file"))
+    placed = in_files.select(col(key), "rank", "kind", "value", "file", offset.alias("offset"), (F.col("__size") - 1).alias("length"))
+    stored = scratch_dir(spark, "log-pages")
+    placed.write.parquet(stored)
+    rows = spark.read.schema(placed.schema).parquet(stored)
+    texts = rows.repartition("file").sortWithinPartitions("file", "offset").select("file", "value")
+    texts.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("file").text(f"{path}/pages")
+    rows.drop("value").repartitionByRange(col(key)).sortWithinPartitions(col(key), "rank").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_log_pages(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """The sections of written pages, or of those whose index rows pass ``where``.
+
+    A file meets its part of the index, which its size bounds, and is cut by bytes; files without a wanted section
+    drop out in the join.
+    """
+    index = spark.read.parquet(f"{path}/index")
+    wanted = index if where is None else index.where(where)
+    cuts = wanted.groupBy("file").agg(F.collect_list(F.struct(*cols(c for c in index.columns if c != "file"))).alias("__cuts"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/pages")
+    number = F.col("file") if "file" in files.columns else F.lit(None)  # no page, no folder
+    joined = files.select(number.cast("bigint").alias("file"), "content").join(cuts, "file")
+    cut = lambda c: F.substring(F.col("content"), (c["offset"] + 1).cast("int"), c["length"].cast("int"))
+    names = [c for c in index.columns if c not in ("file", "offset", "length")]
+    sliced = F.transform("__cuts", lambda c: F.struct(*[c[n].alias(n) for n in names], F.decode(cut(c), "UTF-8").alias("value")))
+    return explode_rows(joined, [], sliced, "__section").select(*[F.col("__section")[n].alias(n) for n in [*names, "value"]])

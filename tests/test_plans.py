@@ -133,7 +133,7 @@ def test_table_object_keeps_nulls_and_order(spark):
     ]
 
 
-def test_log_pages(spark, tmp_path):
+def test_log_pages(spark, tmp_path, rows):
     cases = spark.createDataFrame([("a",), ("b",)], "case string")
     logs = spark.createDataFrame(
         [("a", "script", "run"), ("a", "output_log", "ok"), ("a", "error_log", ""), ("a", "my.log", "mine"), ("b", "my.log", "hidden"), ("z", "script", "no")],
@@ -142,9 +142,32 @@ def test_log_pages(spark, tmp_path):
     sections = sinks.log_sections(cases, logs, "case")
     got = {k: [r.kind for r in sections.where(f"case = '{k}'").orderBy("rank").collect()] for k in ("a", "b", "z")}
     assert got == {"a": ["head", "script", "output_log", "my.log"], "b": ["head"], "z": []}
-    sinks.write_log_pages(sections, "case", str(tmp_path / "pages"))
-    page = "".join(p.read_text() for p in sorted((tmp_path / "pages" / "case=a").glob("*.txt")))
-    assert page.index("= Logs") < page.index("== Scheduler script") < page.index("== Output log") < page.index("== my.log")
+    path = str(tmp_path / "pages")
+    sinks.write_log_pages(sections, "case", path)
+    (page,) = (tmp_path / "pages" / "pages").rglob("*.txt")
+    text = page.read_text()
+    places = [text.index(t) for t in ("= Logs", "== Scheduler script", "== Output log", "== my.log")]
+    assert places == sorted(places) and text.count("= Logs") == 2
+    assert rows(sinks.read_log_pages(spark, path)) == rows(sections.select("case", "rank", "kind", "value"))
+
+
+def test_packed_log_pages(spark, tmp_path, rows):
+    """Files follow the bytes, a long page goes on in the next file, and the index cuts every section out of them."""
+    texts = [(i % 70, 1 + i % 3, f"k{i % 5}", "é" * (i % 11) + f"line {i % 35}\nend\n" * (i % 4)) for i in range(900)]
+    texts += [(None, 1, "k", "no case"), (7, 4, "k", None), (7, 4, "k", ""), (8, 4, "k", "x" * 3000), (8, 4, "k", "x" * 3000)]
+    sections = spark.createDataFrame(texts, "case int, rank int, kind string, value string").repartition(5)
+    path = str(tmp_path / "packed")
+    sinks.write_log_pages(sections, "case", path, file_bytes=1000)
+    read = sinks.read_log_pages(spark, path)
+    assert rows(read) == sorted([(c, r, k, v or "") for c, r, k, v in texts], key=repr)
+    files = list((tmp_path / "packed" / "pages").rglob("*.txt"))
+    total = sum(len((v or "").encode()) + 1 for *_, v in texts)
+    assert sum(f.stat().st_size for f in files) == total and len(files) <= total / 1000 + 1
+    assert max(f.stat().st_size for f in files) <= 1000 + 3001
+    one = sinks.read_log_pages(spark, path, F.col("case") == 8)
+    assert rows(one) == sorted([t for t in texts if t[0] == 8], key=repr)
+    sinks.write_log_pages(sections.limit(0), "case", path)
+    assert sinks.read_log_pages(spark, path).count() == 0
 
 
 def test_scratch_folder_follows_the_session(spark):
