@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -13,6 +14,7 @@ from gaugeframe.functions.columns import col
 from gaugeframe.functions.scalars import capitalise_words, strip_newlines
 from gaugeframe.operators import runs
 from gaugeframe.plans.table_options import TableOptions, apply_options
+from gaugeframe.session import scratch_dir
 from gaugeframe.sources import readers
 
 Preprocessor = Callable[[DataFrame], DataFrame]
@@ -81,13 +83,58 @@ class Field:
         )
 
 
+def _adds_nothing(field: Field) -> bool:
+    """A reference without a preprocessor: before its options it is the field it refers to."""
+    return field.source == "ref" and field.preprocessor is None
+
+
+def _passes_on(field: Field) -> bool:
+    """A plain reference is the other field itself, or a sorted view of it that each reader works out."""
+    sorts = field.options is not None and bool(field.options.sort)
+    return _adds_nothing(field) and (sorts or (field.options is None and field.kind is None))
+
+
+def count_readings(fields: Mapping[str, Field], sinks: Iterable[str]) -> Counter[str]:
+    """How often each field is worked out if nothing is stored but what is read several times.
+
+    References are followed backwards from the sinks: a stored field reads its source once, however
+    many read it, and one that passes its source on reads it each time.
+    """
+    wanted = Counter(sinks)
+    users: dict[str, list[Field]] = {}
+    for field in fields.values():
+        if field.source == "ref":
+            users.setdefault(field.given, []).append(field)
+    counted: Counter[str] = Counter()
+
+    def count(name: str, waiting: tuple[str, ...]) -> int:
+        if name in waiting:
+            return 0  # a circle; resolving it fails
+        if name not in counted:
+            counted[name] = wanted[name]
+            for user in users.get(name, []):
+                readings = count(user.name, (*waiting, name))
+                counted[name] += readings if _passes_on(user) else min(readings, 1)
+        return counted[name]
+
+    for name in fields:
+        count(name, ())
+    return counted
+
+
 class Fields:
-    """Resolves fields by name; every field is planned once and shared by its references."""
+    """Resolves fields by name; every field is planned once and shared by its references.
+
+    ``sinks`` names the fields that the outputs of a request read, one name for each reading. A field that is read
+    several times, by outputs or by other fields that are needed, is worked out once and stored in the shared folder when it is
+    resolved; the others stay lazy. A sorted table is stored before its options, as stored rows have no order.
+    """
 
-    def __init__(self, spark: SparkSession, fields: Iterable[Field]):
+    def __init__(self, spark: SparkSession, fields: Iterable[Field], sinks: Iterable[str] = ()):
         self.spark = spark
         self.fields = {f.name: f for f in fields}
         self.planned: dict[str, DataFrame] = {}
+        self.readings = count_readings(self.fields, sinks)
 
     def kind(self, name: str) -> str:
         field = self.fields[name]
@@ -104,9 +151,22 @@ class Fields:
             if field.preprocessor:
                 step = field.preprocessor
                 df = df.transform(PREPROCESSORS[step] if isinstance(step, str) else step)
-            self.planned[name] = self._process(field, df)
+            keep = self.readings[name] > 1 and field.source not in ("columns", "object", "value")
+            is_sorted = bool(field.options and field.options.sort)
+            if keep and is_sorted and not _adds_nothing(field):
+                df = self._stored(df, name)
+            df = self._process(field, df)
+            self.planned[name] = self._stored(df, name) if keep and not is_sorted and not _passes_on(field) else df
         return self.planned[name]
 
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows as a file; what a file can't hold (no columns, a column without a type) stays lazy."""
+        if not df.columns or any(f.dataType.typeName() == "void" for f in df.schema):
+            return df
+        path = scratch_dir(self.spark, f"field-{len(self.planned)}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _load(self, field: Field, waiting: tuple[str, ...]) -> DataFrame:
         if field.source == "ref":
             return self.resolve(field.given, waiting)

@@ -39,10 +39,13 @@ def nodes(contents: Sequence[Mapping[str, Any]]) -> Iterator[Mapping[str, Any]]:
 def report_data(
     spark: SparkSession, request: Mapping[str, Any], defaults: Sequence[Mapping[str, Any]] = ()
 ) -> tuple[Fields, list[tuple[str, str, DataFrame]]]:
-    """The fields and ``(type, title, rows)`` of every node, all lazy."""
-    fields = Fields(spark, map(Field.from_config, merge_defaults(defaults, request.get("data", []))))
+    """The fields and ``(type, title, rows)`` of every node; all lazy, but for fields that several nodes read, which are stored."""
+    contents = list(nodes(request.get("contents", [])))
+    # Every chart type of a plot reads its table.
+    sinks = [node["ref"] for node in contents if node.get("ref") for _ in (node["plot"]["plot_types"] if node["type"] == "plot" else [0])]
+    fields = Fields(spark, map(Field.from_config, merge_defaults(defaults, request.get("data", []))), sinks)
     shown = []
-    for node in nodes(request.get("contents", [])):
+    for node in contents:
         if node["type"] == "table":
             arrangement = node.get("layout") or {}
             table = layout(fields.resolve(node["ref"]), arrangement.get("column_order"), arrangement.get("rename"))
