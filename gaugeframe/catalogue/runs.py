@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.catalogue.registry import Tables, query
 from gaugeframe.operators import grids, hierarchy, metrics, runs
 from gaugeframe.operators.grids import Parameter
 from gaugeframe.operators.metrics import CustomVariable
+from gaugeframe.session import scratch_dir
 
 # ---------------------------------------------------------------- run reports
 # Every order is a report of one run with three cases: one with two metrics and
@@ -384,6 +385,49 @@ def metrics_tsv(t: Tables) -> DataFrame:
     return metrics.tsv_metrics(files, "text", ["event_id"], F.col("user_id"), "file")
 
 
+def event_lines(t: Tables, header: str, line: Column) -> str:
+    """Files of some 20,000 lines, one for each event, under a header; more events make more files."""
+    path = scratch_dir(t.spark, "metric-files")
+    part = F.floor(F.col("event_id") / 20_000).alias("part")
+    rows = t("events").withColumn("amount", F.col("value").cast("string")).select(part, F.col("event_id").alias("at"), line.alias("value"))
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("bigint").alias("at"), F.lit(header).alias("value"))
+    lines = rows.union(heads).repartition("part").sortWithinPartitions("part", "at")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def part_of_file() -> Column:
+    return F.regexp_extract("file", r"part=(\d+)", 1)
+
+
+@query(
+    "metrics_csv_files",
+    """SELECT part, m.* FROM (SELECT *, event_id // 20000 AS part, CASE WHEN count(*) OVER (PARTITION BY event_id // 20000) > 1
+       THEN '_' || (row_number() OVER (PARTITION BY event_id // 20000 ORDER BY event_id) - 1) ELSE '' END AS i FROM events),
+       LATERAL (SELECT 'kind' || i AS name, NULL::DOUBLE AS value, event_type AS value_str, 's' AS unit
+       UNION ALL SELECT 'amount' || i, value, NULL, 'EUR' UNION ALL SELECT 'id' || i, event_id, NULL, 's') m""",
+)
+def metrics_csv_files(t: Tables) -> DataFrame:
+    """Rows are numbered in their file, which several tasks may read."""
+    path = event_lines(t, "kind, amount,id\n", F.format_string("%s,%s , %d", "event_type", "amount", "event_id"))
+    found = metrics.csv_file_metrics(t.spark, path, units={"*": "s", "amount": "EUR"})
+    return found.withColumn("file", part_of_file().cast("bigint")).withColumnRenamed("file", "part")
+
+
+@query(
+    "metrics_tsv_files",
+    """SELECT part, m.* FROM (SELECT event_id // 20000 AS part, min(event_id) AS id, arg_min(value, event_id) AS amount
+       FROM events WHERE event_id % 2 = 0 GROUP BY ALL), LATERAL (SELECT 'file_amount' AS name, amount AS value, NULL::VARCHAR AS value_str, 's' AS unit
+       UNION ALL SELECT 'file_id', id, NULL, 's') m""",
+)
+def metrics_tsv_files(t: Tables) -> DataFrame:
+    """The first row of every file whose first field is its number; rows of odd events have another."""
+    first = F.when(F.col("event_id") % 2 == 0, F.floor(F.col("event_id") / 20_000).cast("string")).otherwise("odd")
+    line = F.concat_ws(" \t", first, F.col("amount"), F.col("event_id").cast("string"))
+    found = metrics.tsv_file_metrics(t.spark, event_lines(t, "# part amount   id", line), part_of_file(), "file")
+    return found.withColumn("file", part_of_file().cast("bigint")).withColumnRenamed("file", "part")
+
+
 JSON_TEXT = '{"hardware":{"%s":{"mem":{"host":%s,"dev":"%d"}},"gpu":{"mem":{"host":1}}},"props":%s}'
 
 

@@ -1,7 +1,7 @@
-"""Metrics from the text of csv, tsv, json and log files, one file text per row.
+"""Metrics from csv, tsv, json and log files as ``(name, value, value_str, unit)`` rows.
 
-Every extractor maps a file to its ``(name, value, value_str, unit)`` rows inside
-the file's own partition; only merging stages shuffles.
+Extractors of file texts, one per row, work inside the text's own partition; only merging
+stages shuffles. Csv and tsv files of any size are read line by line, in blocks.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.columns import col, cols, explode_rows, variant_text
 from gaugeframe.functions.nested import FOUND, entry, fields_of, nesting_bound, unfold
+from gaugeframe.session import scratch_dir
 
 DEFAULT_UNITS = {"*": "s"}
 # A csv cell that is a number, and a text Python reads as a float.
@@ -69,9 +70,7 @@ def csv_metrics(
     header is an error.
     """
     lines = F.filter(F.split(col(text), r"\r?\n"), lambda line: F.trim(line) != "")
-    table = F.transform(
-        lines, lambda line: F.filter(F.transform(F.split(line, ","), lambda c: F.trim(c)), lambda c: c != "")
-    )
+    table = F.transform(lines, _csv_cells)
     parsed = files.select(*cols(keys), table.alias("__t")).select(
         *cols(keys),
         F.get("__t", F.lit(0)).alias("__header"),
@@ -79,6 +78,15 @@ def csv_metrics(
     )
     kept = [*cols(keys), F.col("__header"), F.size("__rows").alias("__n")]
     in_rows = explode_rows(parsed, kept, F.col("__rows"), "__cells", "__row")
+    return _csv_rows(in_rows, keys, stage, units)
+
+
+def _csv_cells(line: Column) -> Column:
+    return F.filter(F.transform(F.split(line, ","), lambda c: F.trim(c)), lambda c: c != "")
+
+
+def _csv_rows(in_rows: DataFrame, keys: Sequence[str], stage: str | None, units: Mapping[str, str]) -> DataFrame:
+    """Metrics of rows with ``__header`` and number of rows ``__n`` of their file, place ``__row`` and ``__cells``."""
     width = F.size("__cells") == F.size("__header")
     cells = F.when(width, F.col("__cells")).otherwise(F.raise_error(F.lit("csv row and header differ in width")))
     in_cells = explode_rows(in_rows, cols([*keys, "__header", "__n", "__row"]), cells, "__cell", "__i")
@@ -88,6 +96,75 @@ def csv_metrics(
     return _finish(in_cells, keys, name, F.col("__cell"), stage, suffix, units, CSV_NUMBER)
 
 
+def _placed_lines(spark: SparkSession, paths: str | Sequence[str], blank: bool) -> tuple[DataFrame, DataFrame]:
+    """Lines of files of any size as ``(file, __line, __at)``, and ``(file, __first, __lines)`` of every file.
+
+    A file is read in blocks by several tasks. A block numbers its own lines, and the numbers of lines of the
+    blocks before, a row each, give the place in the file; so no file passes through one task. The numbered
+    lines are stored, as blocks are cut anew whenever files are read again. Lines are blank only if asked for.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block")]
+    lines = spark.read.text(paths).select(*place, F.col("value").alias("__line"))
+    # A file's first line may start with a byte order mark.
+    lines = lines.withColumn("__line", F.when(F.col("__block") == 0, F.regexp_replace("__line", "^\ufeff", "")).otherwise(F.col("__line")))
+    if not blank:
+        lines = lines.where(F.trim("__line") != "")
+    numbered = lines.withColumn("__id", F.monotonically_increasing_id())
+    path = scratch_dir(spark, "metric-lines")
+    numbered.write.parquet(path)
+    rows = spark.read.schema(numbered.schema).parquet(path)
+    blocks = rows.groupBy("file", "__block").agg(
+        F.count(F.lit(1)).alias("__size"), F.min("__id").alias("__low"), F.min_by("__line", "__id").alias("__top")
+    )
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__low")
+    starts = blocks.select("file", "__block", start.alias("__shift"))
+    placed = rows.join(starts, ["file", "__block"]).select("file", "__line", (F.col("__id") + F.col("__shift")).alias("__at"))
+    return placed, blocks.groupBy("file").agg(F.min_by("__top", "__block").alias("__first"), F.sum("__size").alias("__lines"))
+
+
+def csv_file_metrics(
+    spark: SparkSession, paths: str | Sequence[str], stage: str | None = None, units: Mapping[str, str] = DEFAULT_UNITS
+) -> DataFrame:
+    """:func:`csv_metrics` of files of any size, with the path in ``file``; a file is read by as many tasks as it has blocks.
+
+    A file without rows gives no metrics; line ends are those of any system.
+    """
+    lines, heads = _placed_lines(spark, paths, blank=False)
+    heads = heads.select("file", _csv_cells(F.col("__first")).alias("__header"), (F.col("__lines") - 1).alias("__n"))
+    rows = lines.where("__at > 0").join(heads, "file")
+    rows = rows.select("file", "__header", "__n", (F.col("__at") - 1).alias("__row"), _csv_cells(F.col("__line")).alias("__cells"))
+    return _csv_rows(rows, ["file"], stage, units)
+
+
+def _tsv_fields(line: Column) -> Column:
+    return F.split(F.trim(line), r"\s+")
+
+
+def _tsv_header(line: Column) -> Column:
+    return _tsv_fields(F.regexp_replace(line, "# ", ""))
+
+
+def tsv_file_metrics(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    index: Column | str,
+    stage: str | None = None,
+    units: Mapping[str, str] = DEFAULT_UNITS,
+) -> DataFrame:
+    """:func:`tsv_metrics` of files of any size, with the path in ``file``; ``index`` may be made from that column.
+
+    Only the first line of a file and the first row that fits travel. A file without that row fails the query,
+    one without any line gives nothing.
+    """
+    lines, heads = _placed_lines(spark, paths, blank=True)
+    wanted = (index if isinstance(index, Column) else F.lit(index)).cast("string")
+    fits = lines.where("__at > 0").where(F.get(_tsv_fields(F.col("__line")), F.lit(0)) == wanted)
+    found = fits.groupBy("file").agg(F.min_by("__line", "__at").alias("__line"))
+    joined = heads.join(found, "file", "left").select("file", _tsv_header(F.col("__first")).alias("__header"), _tsv_fields(F.col("__line")).alias("__fields"))
+    return _tsv_row(joined, ["file"], stage, units)
+
+
 def tsv_metrics(
     files: DataFrame,
     text: str,
@@ -99,11 +176,16 @@ def tsv_metrics(
     """The first row whose first field is the index, under a ``# `` header; its other fields are the metrics."""
     wanted = (index if isinstance(index, Column) else F.lit(index)).cast("string")
     lines = F.split(col(text), r"\r?\n")
-    header = F.split(F.trim(F.regexp_replace(F.get(lines, F.lit(0)), "# ", "")), r"\s+")
-    rows = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.split(F.trim(line), r"\s+"))
+    header = _tsv_header(F.get(lines, F.lit(0)))
+    rows = F.transform(F.slice(lines, F.lit(2), F.size(lines)), _tsv_fields)
     found = F.filter(rows, lambda fields: F.get(fields, F.lit(0)) == F.col("__index"))
     parsed = files.select(*cols(keys), col(text), wanted.alias("__index"))
     parsed = parsed.select(*cols(keys), header.alias("__header"), F.get(found, F.lit(0)).alias("__fields"))
+    return _tsv_row(parsed, keys, stage, units)
+
+
+def _tsv_row(parsed: DataFrame, keys: Sequence[str], stage: str | None, units: Mapping[str, str]) -> DataFrame:
+    """Metrics of the row that was found, ``__fields``, under ``__header``."""
     row = F.when(F.col("__fields").isNotNull(), F.col("__fields")).otherwise(F.raise_error(F.lit("index not found in tsv text")))
     fields = _last_of_name(explode_rows(parsed, cols([*keys, "__header"]), row, "__field", "__i").where("__i > 0"))
     return _finish(fields, keys, F.get("__header", F.col("__i")), F.col("__field"), stage, None, units)

@@ -39,6 +39,52 @@ def test_tsv_row_by_index(spark):
         metrics.tsv_metrics(files(spark, text), "text", ["id"], 64).collect()
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of 60 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "60", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "64"}
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in old.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_files_of_many_blocks_are_like_texts(spark, tmp_path, small_blocks, rows):
+    """Blank lines, line ends of two systems, files of one row, of a header, of nothing; the order is that of the file."""
+    texts = {
+        "long.csv": "a, b,a\n" + "".join(f"{i},x{i} ,{-i}e-1\n" + "\n \n" * (i % 3 == 0) for i in range(90)),
+        "crlf.csv": "\r\na,c\r\n" + "".join(f"{i}, {i * i}\r\n" for i in range(25)),
+        "one.csv": "a,b\n1,2", "head.csv": "a,b\n", "none.csv": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    got = metrics.csv_file_metrics(spark, str(tmp_path / "*.csv"), "st").withColumn("file", F.regexp_extract("file", r"[^/]+$", 0))
+    assert spark.read.text(str(tmp_path / "long.csv")).rdd.getNumPartitions() > 5
+    want = metrics.csv_metrics(spark.createDataFrame(list(texts.items()), "file string, text string"), "text", ["file"], "st")
+    assert rows(got) == rows(want) and got.count() == 90 * 2 + 25 * 2 + 2
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n1\n")
+    with pytest.raises(Exception, match="differ in width"):
+        metrics.csv_file_metrics(spark, str(tmp_path / "*.csv")).collect()
+
+
+def test_tsv_files_of_many_blocks(spark, tmp_path, small_blocks, rows):
+    def text(n):
+        return "# n  t   v\n" + "".join(f" {i // 2 + n} {i}\t{i * 0.5}  \n" for i in range(60))
+
+    texts = {f"{n}.tsv": text(n) for n in range(4)}
+    for name, body in texts.items():
+        (tmp_path / name).write_text(body)
+    number = F.regexp_extract("file", r"(\d+)\.tsv$", 1)
+    got = metrics.tsv_file_metrics(spark, str(tmp_path), (number.cast("int") * 2 + 20).cast("string"), "f")
+    got = got.withColumn("file", F.regexp_extract("file", r"[^/]+$", 0))
+    want = [(f"{n}.tsv", name, value, None, "s") for n in range(4) for name, value in (("f_t", 2.0 * (n + 20)), ("f_v", n + 20.0))]
+    assert rows(got) == sorted(want, key=repr)
+    with pytest.raises(Exception, match="index not found"):
+        metrics.tsv_file_metrics(spark, str(tmp_path), "2").collect()
+
+
 def test_regex_with_and_without_names(spark):
     text = "assembly: 0.012\nsolve: 1.42\npostprocess: n/a"
     pattern = r"^(?P<name>\w+):\s+(?P<value>\S+)$"
