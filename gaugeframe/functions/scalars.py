@@ -26,14 +26,47 @@ def fixed(value: Column, digits: int) -> Column:
     large that steps blur, and those cases are worked out exactly.
     """
     x = value.cast("double")
-    exact = rare(x, lambda v: _signed(v, lambda size: fixed_digits(size, digits)))
     if digits > BUILT_IN_DIGITS:
-        return exact
+        return rare(x, lambda v: _signed(v, lambda size: fixed_digits(size, digits)))
+    near = lambda size: F.when(size < 2.0**52, _near_half(size, digits)).otherwise(fixed_digits(size, digits))
+    exact = rare(x, lambda v: _signed(v, near))
     scaled = F.abs(x) * F.lit(10.0**digits)
     clear = (F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > 1e-4) & (scaled < 1e11)
     return F.when(clear, F.format_string(f"%.{digits}f", x)).otherwise(exact)
 
 
+def _product_error(x: Column, factor: float, product: Column) -> Column:
+    """What rounding took from ``x * factor``: halves of 26 bits multiply exactly."""
+    def halves(v):
+        wide = v * F.lit(134217729.0)
+        high = wide - (wide - v)
+        return high, v - high
+
+    xh, xl = halves(x)
+    fh, fl = halves(F.lit(factor))
+    return ((xh * fh - product) + xh * fl + xl * fh) + xl * fl
+
+
+def _near_half(x: Column, digits: int) -> Column:
+    """A number below 2^52, whole part and fraction apart, as both are exact.
+
+    The product of the fraction with 10^digits is compared with the half step, and
+    where it seems to sit on it its rounding error decides. Much quicker than all digits.
+    """
+    part = x - F.floor(x).cast("double")
+    scaled = part * F.lit(10.0**digits)
+    low = F.floor(scaled).cast("double")
+    half = (scaled - low) - F.lit(0.5)
+    error = _product_error(part, 10.0**digits, scaled)
+    odd = F.pmod(low, F.lit(2.0)) == 1 if digits else F.pmod(F.floor(x), F.lit(2)) == 1
+    up = (half > 0) | ((half == 0) & ((error > 0) | ((error == 0) & odd)))
+    units = (low + F.when(up, 1.0).otherwise(0.0)).cast("bigint")
+    over = units >= 10**digits
+    left = (F.floor(x) + F.when(over, 1).otherwise(0)).cast("string")
+    right = F.lpad(F.when(over, units - 10**digits).otherwise(units).cast("string"), digits, "0")
+    return F.concat(left, F.lit("."), right) if digits else left
+
+
 def _signed(value: Column, shown: Callable[[Column], Column]) -> Column:
     """``shown`` of the size of a double behind its sign; ``nan``, ``inf`` and ``-inf`` by name."""
     sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
