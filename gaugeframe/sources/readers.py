@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def read_json(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """One document per file, or one per line. Broken documents fail the read."""
+    """One document or one list of documents per file, or one per line. Broken documents fail the read."""
     reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 

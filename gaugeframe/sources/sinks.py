@@ -72,6 +72,23 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_json_lists(documents: DataFrame, key: str, document: str, path: str, files: int) -> None:
+    """JSON documents (texts of any number of lines) as ``files`` files, each one list in the order of a unique key.
+
+    The number of files follows what the caller knows of the size and not the number of documents. Rows are
+    dealt by the key's hash, so neither gaps nor a run of keys make files uneven. Documents must not be null.
+    """
+    part = F.pmod(F.xxhash64(col(key)), F.lit(files)).cast("int")
+    dealt = documents.select(part.alias("part"), col(key).alias("__key"), col(document).alias("value"))
+    in_file = Window.partitionBy("part").orderBy("__key")
+    before = F.when(F.row_number().over(in_file) == 1, F.lit("[")).otherwise(F.lit(","))
+    after = F.when(F.lead("part").over(in_file).isNull(), F.lit("\n]")).otherwise(F.lit(""))
+    lines = dealt.withColumn("value", F.concat(before, F.lit("\n"), F.col("value"), after))
+    # The number of rows at once doesn't split a list: a file ends with its part.
+    writer = lines.sortWithinPartitions("part", "__key").select("part", "value").write.mode("overwrite")
+    writer.option("maxRecordsPerFile", 0).partitionBy("part").text(path)
+
+
 # Section titles of a log page in page order.
 LOG_SECTIONS = {"script": "Scheduler script", "error_log": "Error log", "output_log": "Output log"}
 

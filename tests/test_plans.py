@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import gaugeframe.catalogue.all  # noqa: F401  (registers the queries)
+from gaugeframe.catalogue.registry import QUERIES
 from gaugeframe.operators.transforms import Axes
 from gaugeframe.plans.fields import Field, Fields
 from gaugeframe.plans.report import plugin_columns, read_request, report_data
@@ -208,3 +210,26 @@ def test_scratch_folder_follows_the_session(spark):
     path = scratch_dir(spark, "x")
     assert path.startswith(base) if base else "gaugeframe" in path
     assert path != scratch_dir(spark, "x")
+
+
+def test_many_json_documents_share_a_file(spark, tmp_path, rows):
+    """The number of files follows the bytes and not the documents; a customer without a key has no document."""
+    orders = [(i, i % 200 * 10**6 if i % 7 else None) for i in range(1000)] + [(None, 5)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["src_json_documents"](spark, str(tmp_path))
+    assert len(got.inputFiles()) == 1
+    want = {}
+    for key, customer in orders:
+        if customer is not None:
+            want.setdefault(customer, []).extend([] if key is None else [key])
+    assert rows(got) == rows(spark.createDataFrame([(c, len(k), sum(k)) for c, k in want.items()], "c bigint, n bigint, k bigint"))
+
+
+def test_json_lists(spark, tmp_path):
+    documents = spark.range(50).selectExpr("id", """concat('{\n "a": ', id, '\n}') AS doc""")
+    sinks.write_json_lists(documents, "id", "doc", str(tmp_path / "lists"), 4)
+    read = readers.read_json(spark, str(tmp_path / "lists"), "a BIGINT")
+    assert sorted(r.a for r in read.collect()) == list(range(50))
+    assert len(read.inputFiles()) == 4
+    sinks.write_json_lists(documents.limit(0), "id", "doc", str(tmp_path / "none"), 4)
+    assert readers.read_json(spark, str(tmp_path / "none"), "a BIGINT").count() == 0
