@@ -123,11 +123,12 @@ def _likely(threshold: float):
 
 
 def _difference_rows(width: int, percent: int):
-    """Per text its shingles that are in it or its hub but not in both, and how many of them, rarest first, can hold a link.
+    """Per text whether it is linked with its hub, its shingles that are in it or the hub but not in both, and how many of them, rarest first, can hold a link.
 
     Let D(x) be the difference of x to its hub h. Texts x and y of n and m shingles are linked if they differ in at
     most (n + m) (1 - t) / (1 + t) shingles, and D(x) and D(y) differ in the same ones: so they share
-    c = (|D(x)| + |D(y)| - that) / 2. A link that is still unknown has an end that is not linked with h. For that end
+    c = (|D(x)| + |D(y)| - that) / 2. If both ends are linked with h, they are in one component by these two links, which the
+    caller takes as they are found here; else one end is not linked with h. For that end
     c >= |D| - n (1 - t) / t, as m <= n / t; for its partner c > (|D| + (|h| - n) (1 - t) / (1 + t)) / 2 as well. In any
     order of the shingles the first |D| - c + 1 of both then have one in common.
     """
@@ -135,7 +136,7 @@ def _difference_rows(width: int, percent: int):
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "x"), "h"):
             (x, ox), (h, oh) = (shingles(*flat(batch.column(n)), width) for n in ("x", "h"))
-            found, probe, index = [], [], []
+            found, near, probe, index = [], [], [], []
             for i in range(batch.num_rows):
                 own, hub = x[ox[i] : ox[i + 1]], h[oh[i] : oh[i + 1]]
                 apart = np.setxor1d(own, hub, assume_unique=True)
@@ -145,12 +146,13 @@ def _difference_rows(width: int, percent: int):
                 linked = 100 * same >= percent * (n + m - same)
                 half = (d * (100 + percent) + (m - n) * (100 - percent)) // (2 * (100 + percent)) + 1
                 found.append(apart.view(np.int64))
+                near.append(linked)
                 probe.append(0 if linked else min(d, widest + 1))
                 index.append(max(d - max(d - widest, half, 1) + 1, 0))
             sizes = np.diff(ox)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in ("hub", "node", "label")] + [pa.array(sizes), pa.array(probe, pa.int32()), pa.array(index, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-                names=["hub", "node", "label", "n", "probe", "index", "apart"],
+                [batch.column(n) for n in ("hub", "node", "label", "alien")] + [pa.array(sizes), pa.array(near, pa.bool_()), pa.array(probe, pa.int32()), pa.array(index, pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                names=["hub", "node", "label", "alien", "n", "near", "probe", "index", "apart"],
             )
 
     return spell
@@ -288,7 +290,8 @@ def _by_difference(apart: DataFrame, links: DataFrame, texts: DataFrame, width:
 
     The hub of a band is the text with the most links in the component of that member that has most of them, so that a crowd
     of copies has one hub or few. Any text would do: both ends of a pair only need the same. Its text is sent to
-    ``SALTS`` places, so that the members of a hub are spread. Where both differences hold at most ``BRIEF`` shared shingles, the join
+    ``SALTS`` places, so that the members of a hub are spread. A member that is linked with the hub and has
+    another label is a pair with it, as the two may never have been compared. Where both differences hold at most ``BRIEF`` shared shingles, the join
     itself decides on them; longer ones are decided on the texts later.
     """
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
@@ -296,13 +299,13 @@ def _by_difference(apart: DataFrame, links: DataFrame, texts: DataFrame, width:
     top = F.max(F.struct("degree", (-F.col("node")).alias("down"), "label")).alias("top")
     centre = held.select("label", "node", "degree").distinct().groupBy("label").agg(F.max(F.struct("degree", (-F.col("node")).alias("down"))).alias("top"))
     centre = centre.select("label", (-F.col("top.down")).alias("hub"))
-    hubs = held.groupBy("band").agg(top).select("band", F.col("top.label").alias("label")).join(centre, "label").select("band", "hub")
-    pairs = store(held.join(hubs, "band").select("hub", "node", "label").distinct(), "hubs")
+    hubs = held.groupBy("band").agg(top).select("band", F.col("top.label").alias("label")).join(centre, "label").select("band", "hub", F.col("label").alias("home"))
+    pairs = store(held.join(hubs, "band").select("hub", "node", "label", (F.col("label") != F.col("home")).alias("alien")).distinct(), "hubs")
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     centres = pairs.select(F.col("hub").alias("node")).distinct().join(texts, "node").select(F.col("node").alias("hub"), spread, F.col("text").alias("h"))
-    both = pairs.join(texts, "node").withColumn("salt", salt).join(centres, ["hub", "salt"]).select("hub", "node", "label", F.col("text").alias("x"), "h")
-    schema = "hub bigint, node bigint, label bigint, n bigint, probe int, index int, apart array<bigint>"
+    both = pairs.join(texts, "node").withColumn("salt", salt).join(centres, ["hub", "salt"]).select("hub", "node", "label", "alien", F.col("text").alias("x"), "h")
+    schema = "hub bigint, node bigint, label bigint, alien boolean, n bigint, near boolean, probe int, index int, apart array<bigint>"
     taken = store(both.mapInArrow(_difference_rows(width, percent), schema), "differences")
     spelt = taken.where("probe > 0 OR index > 0").select("hub", "node", F.explode("apart").alias("shingle"))
     # A shingle that no other difference has comes first in the order and can't be shared.
@@ -323,4 +326,6 @@ def _by_difference(apart: DataFrame, links: DataFrame, texts: DataFrame, width:
     enough = 100 * (F.col("n") + F.col("size") - differ) >= percent * (F.col("n") + F.col("size") + differ)
     known = F.col("mine").isNotNull() & F.col("brief").isNotNull()
     met = probes.join(index, ["hub", "shingle"]).where(alike & (~known | enough))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    pair = lambda one, other: [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+    to_hub = taken.where("near AND alien").select(*pair("hub", "node"))
+    return met.select(*pair("x", "node")).union(to_hub).distinct()

@@ -189,6 +189,23 @@ def test_difference_filter_keeps_every_link(spark):
                     assert (j, i) in got
 
 
+def test_links_to_the_hub_are_among_the_pairs(spark):
+    """Texts that are linked with the hub of their band but were never compared with it: the pairs join all that is linked."""
+    rows = [(i, t) for i, (_, t) in enumerate(heavily_edited(7, 120))]
+    words = [re.findall(r"\S+", t) for _, t in rows]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+    hub = max(range(120), key=lambda i: sum(near(i, j) for j in range(120)))
+    texts = spark.createDataFrame(rows, "node bigint, text string")
+    apart = spark.createDataFrame([(5, n, n) for n, _ in rows], "band bigint, node bigint, label bigint")
+    links = spark.createDataFrame([(hub, 1000), (hub, 1001)], "a bigint, b bigint")
+    got = {(r.a, r.b) for r in nd._by_difference(apart, links, texts, 3, 85).collect()}
+    assert {(min(hub, j), max(hub, j)) for j in range(120) if j != hub and near(hub, j)} <= got
+    joined = lambda pairs: {r.node: r.label for r in components(spark.createDataFrame(sorted(pairs), "a bigint, b bigint")).collect()}
+    every = {(j, i) for i in range(120) for j in range(i) if near(i, j)}
+    assert joined({p for p in got if near(*p)}) == joined(every)
+
+
 def test_words_that_a_polynomial_confuses(spark):
     """Thue-Morse words have one value under every odd base modulo 2^64."""
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
