@@ -156,7 +156,9 @@ def read_log_pages(spark: SparkSession, path: str, where: Column | None = None)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{path}/pages")
     number = F.col("file") if "file" in files.columns else F.lit(None)  # no page, no folder
     joined = files.select(number.cast("bigint").alias("file"), "content").join(cuts, "file")
-    cut = lambda c: F.substring(F.col("content"), (c["offset"] + 1).cast("int"), c["length"].cast("int"))
     names = [c for c in index.columns if c not in ("file", "offset", "length")]
-    sliced = F.transform("__cuts", lambda c: F.struct(*[c[n].alias(n) for n in names], F.decode(cut(c), "UTF-8").alias("value")))
+    cut = lambda data, c: F.decode(F.substring(data, (c["offset"] + 1).cast("int"), c["length"].cast("int")), "UTF-8")
+    section = lambda data: lambda c: F.struct(*[c[n].alias(n) for n in names], cut(data, c).alias("value"))
+    # The bytes are taken out of the row once, as an item of an array: a column would be copied whole for every section.
+    sliced = F.get(F.transform(F.array("content"), lambda data: F.transform("__cuts", section(data))), F.lit(0))
     return explode_rows(joined, [], sliced, "__section").select(*[F.col("__section")[n].alias(n) for n in [*names, "value"]])
