@@ -13,6 +13,7 @@ from gaugeframe.functions.columns import col, cols, explode_rows, null_safe_join
 from gaugeframe.functions.nested import canonical_digest, entry, fields_of, items_of, nesting_bound, truthy, unfold
 from gaugeframe.operators.aggregates import spread
 from gaugeframe.operators.ordinals import group_ordinals
+from gaugeframe.session import scratch_dir
 
 
 def union_rows(*frames: DataFrame) -> DataFrame:
@@ -57,6 +58,13 @@ def _writes(df: DataFrame, document: str, keys: Sequence[str], order_by: str, ke
     return rows.select(*cols(keys), "__order", "__most", F.col("m.path").alias("__path"), F.col("m.node").alias("__node"), kind.alias("kind"), filled.alias("__filled"))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def merge_documents(df: DataFrame, document: str, keys: Sequence[str], order_by: str, keep_empty: bool = False) -> DataFrame:
     """The documents of each key merged in the order of a unique column: ``(keys, path, position, value, kind)`` rows.
 
@@ -72,7 +80,8 @@ def merge_documents(df: DataFrame, document: str, keys: Sequence[str], order_by:
     gives nothing. No rows of a key or path are gathered in one place, so a path may be written by any number of documents.
     """
     place = [*keys, "__path"]
-    writes = _writes(df, document, keys, order_by, keep_empty)
+    # The walks through the documents are done once: the steps below read what they found some six times.
+    writes = _stored(_writes(df, document, keys, order_by, keep_empty), "merge-writes")
     solid = F.col("__filled") & (F.col("kind") != "object")
     # A value in place of an object ends what was written below it before.
     resets = writes.where(solid).groupBy(*cols(keys), F.col("__path").alias("__above")).agg(F.max("__order").alias("__reset"))
@@ -116,7 +125,8 @@ def merge_documents(df: DataFrame, document: str, keys: Sequence[str], order_by:
         F.when(F.col("__lists") > 1, canonical_digest(F.col("__item"), F.col("__most"))).otherwise(F.col("__at").cast("string")).alias("__digest"),
     )
     firsts = items.groupBy(*cols(place), "__digest").agg(F.min("__first").alias("__first"), F.min_by("value", "__first").alias("value"))
-    placed = group_ordinals(firsts, place, "__first", "position")
+    # The digests of nested items are as dear, and positions read their rows several times.
+    placed = group_ordinals(_stored(firsts, "merge-items"), place, "__first", "position")
     return plain.unionByName(placed.select(*cols(keys), name, "position", "value", F.lit("list").alias("kind")))
 
 

@@ -231,3 +231,12 @@ def test_flatten_document(spark):
     deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":1}}}}',)], "doc string")
     with pytest.raises(Exception, match="deeper than 2"):
         columns.flatten_document(deep, "doc", [], depth=2).collect()
+
+
+def test_merged_documents_are_walked_once(spark, tmp_path):
+    """All steps read what one walk found, and positions the digests worked out once: the result doesn't read the documents again."""
+    spark.createDataFrame([(1, 1, '{"a":[{"x":1},2],"b":3}'), (1, 2, '{"a":[{"x":1.0}],"b":0}')], "k int, n int, doc string").write.parquet(str(tmp_path / "docs"))
+    merged = sets.merge_documents(spark.read.parquet(str(tmp_path / "docs")), "doc", ["k"], "n")
+    assert not [f for f in merged.inputFiles() if str(tmp_path) in f]
+    got = sorted((r.path, r.position, r.value, r.kind) for r in merged.collect())
+    assert got == [("a", 0, '{"x":1}', "list"), ("a", 1, "2", "list"), ("b", None, "3", "scalar")]
