@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,8 +75,29 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in runs of at most ``most`` bytes of text; a longer text is a run of its own."""
+HELD: dict = {}  # what a worker keeps from task to task, by name
+
+
+def let_go(but: str | None = None) -> None:
+    """Drop what the worker keeps for other work, and give that memory back to the system.
+
+    Workers are used again by later steps, which would have it on top of their own.
+    """
+    other = [name for name in HELD if name != but]
+    for name in other:
+        del HELD[name]
+    if other:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, uses: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in runs of at most ``most`` bytes of text; a longer text is a run of its own.
+
+    Of what the worker holds, only what the step ``uses`` stays.
+    """
+    let_go(uses)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeframe.llm.common import Known, body, gather, slices, small_batches, store
+from gaugeframe.llm.common import HELD, Known, body, gather, slices, small_batches, store
 
-TOKENIZED_BYTES = 6 << 20
+TOKENIZED_BYTES = 2 << 20
 RANKED_ROWS = 100_000
 
 
@@ -79,14 +79,11 @@ class WordEncoder:
         return row, ends[offsets - offsets[0]]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """One encoder per worker and file, until the worker goes on to other work."""
+    if path not in HELD:
+        HELD[path] = WordEncoder(path)
+    return HELD[path]
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -94,7 +91,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        for batch in slices(batches, "text", TOKENIZED_BYTES):
+        for batch in slices(batches, "text", TOKENIZED_BYTES, uses=tokenizer_path):
             ids, offsets = coder.texts(batch.column("text"))
             owner, piece, start, length, crc = [], [], [], [], []
             for row in range(batch.num_rows):

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gaugeframe.llm import packing
+from gaugeframe.llm import common, near_dedup, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -87,3 +88,12 @@ def test_fullest_is_exact():
         got = packing.fullest(counts, target)
         assert all(m <= counts[n] for n, m in got)
         assert sum(n * m for n, m in got) == brute(counts, target)
+
+
+def test_other_work_frees_the_encoder():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([7]), pa.array([b"one two three"])], names=["rid", "id", "text"])
+    coder = packing.encoder(PATH)
+    list(common.slices(iter([batch]), "text", uses=PATH))
+    assert packing.encoder(PATH) is coder
+    list(near_dedup._sign(3, 50)(iter([batch])))
+    assert PATH not in common.HELD
