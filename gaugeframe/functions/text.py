@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.columns import col, cols, rare, variant_text
+from gaugeframe.functions.columns import col, cols, variant_text
 
 PLACEHOLDER = r"@\{([^}]+)\}@"
 CONFIG_PLACEHOLDER = r"\{\{([^{}]+)\}\}"
@@ -95,37 +96,83 @@ def fill_config(df: DataFrame, target: str, lookup: str, pattern: str = CONFIG_P
 
     Chains may have any length: every row goes on until nothing changes. Unknown names
     stay as written, and so do names whose value leads back to themselves. A text that
-    still runs in a circle, through names built from values, is left unchanged.
+    still runs in a circle, through names built from values, is left unchanged. The pattern
+    is Python's: the rows are filled by a small function on Arrow batches, as a chain of
+    names in built-ins takes a pass of every expression for each of its links.
     """
-    tokens = lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     nothing = F.array().cast("array<string>")
     named = F.transform_keys(F.coalesce(col(lookup), F.map_from_arrays(nothing, nothing)), lambda k, v: F.trim(k))
-    rows = df.withColumn("__map", named)
-    # Names that lead to no other name are taken out again and again; what is left runs in circles or into them.
-    direct = F.transform_values("__map", lambda k, v: F.array_distinct(F.transform(tokens(v), lambda t: F.trim(t))))
-    linked = F.map_filter(direct, lambda k, names: F.size(names) > 0)
-    trim = lambda m: F.map_filter(m, lambda k, names: F.exists(names, lambda n: F.map_contains_key(m, n)))
-    # Of these, the names that lead back to themselves; the reach doubles with every step.
-    beyond = lambda m, names: F.flatten(F.transform(names, lambda n: F.coalesce(m[n], nothing)))
-    further = lambda m: F.transform_values(m, lambda k, names: F.array_distinct(F.concat(names, beyond(m, names))))
-    without_circles = lambda reach: F.map_filter("__map", lambda k, v: ~F.coalesce(F.array_contains(reach[k], k), F.lit(False)))
-    doubling = lambda m: F.sequence(F.lit(1), F.length(F.bin(F.size(m))))
-    names = F.aggregate(
-        F.sequence(F.lit(0), F.size("__map")),
-        linked,
-        lambda m, _: trim(m),
-        lambda m: F.when(F.size(m) == 0, F.col("__map")).otherwise(F.aggregate(doubling(m), m, lambda r, _: further(r), without_circles)),
-    )
-    rows = rows.withColumn("__names", names)
+
+    def fill(texts: pa.Array, maps: pa.Array) -> pa.Array:
+        found, ends = re.compile(pattern), maps.offsets.to_pylist()
+        rows, keys, values = (a.to_numpy(zero_copy_only=False).tolist() for a in (texts, maps.keys, maps.items))
+        return pa.array([_filled(t, dict(zip(keys[a:b], values[a:b])), found) for t, a, b in zip(rows, ends, ends[1:])], pa.string())
+
+    return df.withColumn(target, F.arrow_udf(fill, "string")(col(target).cast("string"), named))
+
+
+def _filled(text: str | None, names: dict[str, str | None], found: re.Pattern) -> str | None:
+    """The text of one row with its names filled, all of them at once in each turn until nothing changes."""
+    if text is None or not found.search(text):
+        return text
+    circles = _circles(names, found)
+    known = {k: v for k, v in names.items() if k not in circles}
+    hit = False
+
+    def value_of(match: re.Match) -> str:
+        nonlocal hit
+        name = (match[1] or "").strip(" ")
+        if name not in known:
+            return match[0]
+        hit = True
+        return match[0] if known[name] is None else known[name]
+
     # A chain is no longer than the names there are, for each level of nested names.
-    opened = F.size(tokens(F.concat_ws(" ", col(target), F.map_values("__map")))) + 1
-    turns = F.sequence(F.lit(0), (F.size("__map") + 1) * opened)
-    known = lambda text: F.exists(tokens(text), lambda t: F.map_contains_key("__names", F.trim(t)))
-    state = lambda text: rare(text, lambda t: F.struct(t.alias("text"), known(t).alias("more")))
-    fill = lambda text: replace_tokens(text, pattern, lambda token, whole: F.coalesce(F.col("__names")[F.trim(token)], whole))
-    step = lambda acc, _: F.when(acc["more"], state(fill(acc["text"]))).otherwise(acc)
-    finish = lambda acc: F.when(acc["more"], col(target)).otherwise(acc["text"])
-    return rows.withColumn(target, F.aggregate(turns, state(col(target)), step, finish)).drop("__map", "__names")
+    filled, turn, most = text, 0, len(names) + 1
+    while True:
+        hit = False
+        after = found.sub(value_of, filled)
+        if not hit:
+            return filled
+        if turn == most:
+            every = " ".join([text, *(v for v in names.values() if v is not None)])
+            most = (len(names) + 1) * (len(found.findall(every)) + 1) + 1
+            if turn == most:
+                return text
+        filled, turn = after, turn + 1
+
+
+def _circles(names: dict[str, str | None], found: re.Pattern) -> set[str]:
+    """The names that lead back to themselves."""
+    first = (lambda groups: groups[0]) if found.groups > 1 else (lambda group: group)
+    leads = {k: {first(g).strip(" ") for g in inner} for k, v in names.items() if v and (inner := found.findall(v))}
+    # Names that lead to no such name are taken out one after the other; what is left runs in circles or into them.
+    open_ = {k: sum(n in leads for n in direct) for k, direct in leads.items()}
+    back: dict[str, list[str]] = {}
+    for k, direct in leads.items():
+        for n in direct:
+            back.setdefault(n, []).append(k)
+    done = [k for k, n in open_.items() if not n]
+    while done:
+        k = done.pop()
+        del open_[k]
+        for p in back.get(k, ()):
+            open_[p] -= 1
+            if not open_[p]:
+                done.append(p)
+
+    def returns(name: str) -> bool:
+        seen, ahead = set(), [name]
+        while ahead:
+            for n in leads[ahead.pop()]:
+                if n == name:
+                    return True
+                if n in open_ and n not in seen:
+                    seen.add(n)
+                    ahead.append(n)
+        return False
+
+    return {k for k in open_ if returns(k)}
 
 
 def path_map(flat: DataFrame, keys: list[str], name: str = "lookup") -> DataFrame:

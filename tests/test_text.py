@@ -143,6 +143,31 @@ def test_fill_config(spark, target, lookup, want):
     assert text.fill_config(df, "t", "m").first().t == want
 
 
+LADDER = {f"n{i}": f"{{{{ n{i + 1} }}}}{{{{n{i + 1}}}}}" for i in range(8)} | {"n8": "x"}
+RINGS = {"a": "{{b}}", "b": "{{c}} {{gone}}", "c": "{{a}}", "in": "{{a}}{{ok}}", "ok": "y", "self": "-{{ self }}", "null": None}
+
+
+@pytest.mark.parametrize(
+    "target, lookup, want",
+    [
+        ("{{n0}}", LADDER, "x" * 256),
+        ("{{in}} {{b}} {{self}}", RINGS, "{{a}}y {{b}} {{self}}"),
+        ("{{null}} {{ok}}", RINGS, "{{null}} {{ok}}"),
+        ("{{x{{y}}}}", {"y": "1", "x1": "{{x{{y}}}}"}, "{{x{{y}}}}"),
+        (None, {"a": "b"}, None),
+    ],
+)
+def test_fill_config_ladders_and_rings(spark, target, lookup, want):
+    df = spark.createDataFrame([(1, target, lookup), (2, "{{ok}}", {"ok": "2"})], "id int, t string, m map<string,string>")
+    assert {r.id: r.t for r in text.fill_config(df, "t", "m").collect()} == {1: want, 2: "2"}
+
+
+def test_fill_config_works_a_chain_out_in_one_step(spark):
+    df = spark.createDataFrame([("{{a}}", {"a": "b"})], "t string, m map<string,string>")
+    plan = text.fill_config(df, "t", "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(sequence" not in plan
+
+
 @pytest.mark.parametrize(
     "markup, latex",
     [
