@@ -47,6 +47,8 @@ def ingest(reports: DataFrame, flatten: Callable[[DataFrame], DataFrame], out: s
 
 
 BUCKETS = 64
+LEAVES_A_TASK = 500_000
+TASKS_A_SPLIT = 4
 
 
 def _slots(spark: SparkSession, log: str, before: int | None = None) -> dict[int, int]:
@@ -78,19 +80,24 @@ def merge_batch(leaves: DataFrame, log: str, number: int, leaf: str = "leaves",
     The table is dealt to hash buckets, each with two slots. A batch reads and rewrites only the buckets that it touches,
     into the slot that isn't in use, and then writes the list of slots in use, to one of two places in turn. Until that is done
     readers see the state before. A batch that is run again, after a failure between the two writes or after both, finds the list of
-    the batch before it and does the same again.
+    the batch before it and does the same again. A bucket of many leaves is dealt to several tasks, a file each.
     """
     spark = leaves.sparkSession
     new = leaves.withColumn("bucket", F.pmod(F.xxhash64(col(leaf)), F.lit(buckets)).cast("int")).persist()
     try:
         before = _slots(spark, log, number)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        sized = lambda rows: {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # at most ``buckets``
+        touched = sized(new)
         if touched:
             kept = _kept(spark, log, {b: before[b] for b in touched if b in before})
-            merged = new if kept is None else kept.join(new.select(col(leaf)), leaf, "left_anti").unionByName(new)
+            held = {} if kept is None else sized(kept)
+            pieces = 1 + max(n + held.get(b, 0) for b, n in touched.items()) // LEAVES_A_TASK
+            piece = F.pmod(F.hash(col(leaf)), F.lit(pieces))
+            tasks = len(touched) * pieces
+            merged = new if kept is None else kept.repartition(tasks, col(leaf)).join(new.select(col(leaf)), leaf, "left_anti").unionByName(new)
             target = {b: 1 - before.get(b, 1) for b in touched}
             slot = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col("bucket")]
-            writer = merged.withColumn("slot", slot).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer = merged.withColumn("slot", slot).repartition(tasks, "bucket", piece).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("slot", "bucket").parquet(f"{log}/leaves")
             before = before | target
         state = spark.createDataFrame([(number, b, s) for b, s in sorted(before.items())], "batch bigint, bucket int, slot int")
@@ -117,7 +124,17 @@ def keep_summaries(
         facts = flatten(batch)
         last = facts.groupBy(col(leaf)).agg(F.max("sent").alias("__last"))
         newest = null_safe_join(facts, last, [leaf]).where(F.col("sent") == F.col("__last")).drop("sent", "__last")
-        merge_batch(leaf_summary(newest, leaf, levels), log, number, leaf, buckets)
+        # The tasks of the shuffles follow the splits of the batch. They are not put together by their bytes on disk, which
+        # are a small part of what their rows take in memory.
+        conf, parts, together = batch.sparkSession.conf, "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+        usual = {name: conf.get(name) for name in (parts, together)}
+        conf.set(parts, str(max(int(usual[parts]), TASKS_A_SPLIT * batch.rdd.getNumPartitions())))
+        conf.set(together, "false")
+        try:
+            merge_batch(leaf_summary(newest, leaf, levels), log, number, leaf, buckets)
+        finally:
+            for name, value in usual.items():
+                conf.set(name, value)
 
     writer = reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -224,3 +224,14 @@ def test_batches_replace_leaves_and_may_run_again(spark, tmp_path, monkeypatch):
     batch(7, [])
     assert seen() == state | dict(rows)
     assert len(ingest.current_leaves(spark, log).inputFiles()) <= 2 * 4 and files <= 2 * 4  # a file a bucket and slot
+
+
+def test_a_bucket_of_many_leaves_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "LEAVES_A_TASK", 20)
+    log = str(tmp_path / "log")
+    for number in range(2):
+        ingest.merge_batch(_leaves(spark, [(f"l{i}", number) for i in range(200)]), log, number, buckets=2)
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "log" / "leaves").glob("slot=*/bucket=*")]
+    assert len(files) == 4 and min(files) > 1
+    found = [(r.leaves, r.num_runs) for r in ingest.current_leaves(spark, log).collect()]
+    assert sorted(found) == sorted((f"l{i}", 1) for i in range(200))
